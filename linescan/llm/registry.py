@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from . import media
+from . import chat, media, secrets_scan
 
 QUERIES = {
     "op3_media_columns": media.op3_media_columns,
+    "op6_secret_scans": secrets_scan.op6_secret_scans,
+    "op9_chat_formatting": chat.op9_chat_formatting,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op6_secret_scans": secrets_scan.ORACLE_SQL,
+    "op9_chat_formatting": chat.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
