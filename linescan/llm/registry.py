@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, media, secrets_scan
+from . import chat, media, packing, secrets_scan
 
 QUERIES = {
     "op3_media_columns": media.op3_media_columns,
     "op6_secret_scans": secrets_scan.op6_secret_scans,
     "op9_chat_formatting": chat.op9_chat_formatting,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_secret_scans": secrets_scan.ORACLE_SQL,
