@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, media, packing, secrets_scan
+from . import chat, jaccard, media, packing, secrets_scan
 
 QUERIES = {
+    "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
     "op3_media_columns": media.op3_media_columns,
     "op6_secret_scans": secrets_scan.op6_secret_scans,
     "op9_chat_formatting": chat.op9_chat_formatting,
