@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, media, packing, secrets_scan, voronoi
+from . import chat, jaccard, media, packing, secrets_scan, url_lists, voronoi
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
     "op3_media_columns": media.op3_media_columns,
     "op5_voronoi_top_k": voronoi.op5_voronoi_top_k,
     "op6_secret_scans": secrets_scan.op6_secret_scans,
+    "op7_url_filters": url_lists.op7_url_filters,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_voronoi_top_k": voronoi.ORACLE_SQL,
     "op6_secret_scans": secrets_scan.ORACLE_SQL,
+    "op7_url_filters": url_lists.ORACLE_SQL,
     "op9_chat_formatting": chat.ORACLE_SQL,
 }
