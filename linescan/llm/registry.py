@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, language_id, media, packing, secrets_scan, url_lists, voronoi
+from . import chat, jaccard, language_id, media, packing, secrets_scan, toxicity, url_lists, voronoi
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_voronoi_top_k": voronoi.op5_voronoi_top_k,
     "op6_secret_scans": secrets_scan.op6_secret_scans,
     "op7_url_filters": url_lists.op7_url_filters,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
