@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, language_id, media, packing, secrets_scan, toxicity, url_lists, voronoi
+from . import chat, jaccard, language_id, media, packing, pieces, secrets_scan, toxicity, url_lists, voronoi
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
     "op2_language_id": language_id.op2_language_id,
     "op3_media_columns": media.op3_media_columns,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_voronoi_top_k": voronoi.op5_voronoi_top_k,
     "op6_secret_scans": secrets_scan.op6_secret_scans,
     "op7_url_filters": url_lists.op7_url_filters,
