@@ -1,8 +1,79 @@
-"""The corpus pipeline: stages over ``documents``."""
+"""The corpus pipeline over ``documents``: five stages, each written and read again.
 
-STAGES: list = []
+1. language: documents whose language cannot be told go.
+2. toxicity: documents that the network finds toxic go.
+3. near_duplicates: of documents linked by shared word shingles, one stays.
+4. secrets: secrets inside the texts are replaced.
+5. packing: the tokens of what is left, in sequences.
+
+All stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linescan.llm import jaccard, language_id, packing, secrets_scan, toxicity
+from linescan.llm.tables import keep, table
+
+#: A document stays if its language has at least this probability.
+LEAST_LANGUAGE_SCORE = 0.5
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop texts without a letter, and those whose language is a guess."""
+    found = language_id.with_language(docs, language_id.trained_on(docs), COLUMNS)
+    sure = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    return found.where(sure).select(*COLUMNS)
+
+
+def low_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that score as toxic."""
+    model = toxicity.trained_on(docs, table(spark, sf_dir, "labels"))
+    return toxicity.with_toxicity(docs, model, COLUMNS).where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least doc_id of each class, and one row of it; those without a doc_id stay."""
+    classes = jaccard.jaccard_join(docs)
+    gone = classes.where("class_id <> doc_id").select("doc_id").distinct()
+    named = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put a mark in place of every secret; texts without one stay as they are."""
+    found, _ = secrets_scan.scan_secrets(docs)
+    hits = found.where(F.size("spans") > 0).select(F.col("blob").alias("hit"), "spans").dropDuplicates(["hit"])
+    blob = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    marked = docs.join(hits, blob == F.col("hit"), "left")
+    text = F.when(F.col("spans").isNotNull(), secrets_scan.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    return marked.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens with their places in sequences of 1024."""
+    return packing.best_fit_packing(keep(packing.token_pieces(docs), "pieces"))
+
+
+STAGES = [
+    ("language", language),
+    ("toxicity", low_toxicity),
+    ("near_duplicates", near_duplicates),
+    ("secrets", without_secrets),
+    ("packing", pack),
+]
+
+#: Trained models and token ids are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
