@@ -25,7 +25,8 @@ WINDOW, STRIDE = 32, 16
 SAMPLE, SAMPLE_CHARS = (2000, 800), 20_000
 #: Words that occur this often in the sample get an embedding, so many at most.
 LEAST_COUNT, MOST_WORDS = 3, 20_000
-EPOCHS, BATCH = 10, 256
+#: Rounds over the windows: ten, or as many more as make so many steps.
+EPOCHS, BATCH, LEAST_STEPS = 8, 256, 300
 THRESHOLD = 0.7
 
 
@@ -105,7 +106,7 @@ def sample_texts(docs: DataFrame, labels: DataFrame, sample: tuple[int, int]) ->
 
 
 def fit(rows: list[tuple[str, int]], share: float, epochs: int = EPOCHS, seed: int = 0) -> ToxicityModel:
-    """Train on labelled texts: first on all windows, then on each document's highest ones.
+    """Train on labelled texts: each round on each document's highest windows and on random clean ones.
 
     A fifth of the documents is set aside to turn the highest logit into a
     probability, given the ``share`` of toxic documents in general. With one class only, every score is that class's share.
@@ -133,25 +134,28 @@ def fit(rows: list[tuple[str, int]], share: float, epochs: int = EPOCHS, seed: i
     words = list(place)
     word_ids = np.array([model.vocabulary.get(w, 0) for w in words], np.int64)
     chars, offsets = gru.char_ngrams(words)
+    p["word"][:, 0], p["char"][:, 0] = first_evidence(docs, kinds_of, word_ids, len(known) + 1, chars, offsets)
     adam = gru.Adam(p)
+    batch = int(np.clip(2 * (kinds_of > 0).sum(), 32, BATCH))
+    epochs = max(epochs, min(60, -(-LEAST_STEPS * batch // (4 * int(kinds_of.sum()) + 3 * len(train)))))
     for epoch in range(epochs):
         adam.rate = 0.02 if epoch < epochs - 2 else 0.005
+        inputs = gru.word_inputs(p, word_ids, chars, offsets)
         if epoch:
-            logits = window_logits(p, gru.word_inputs(p, word_ids, chars, offsets), windows)
+            logits = window_logits(p, inputs, windows)
         else:
-            logits = rng.random(len(windows))
+            logits = np.append(inputs[:, 0] + inputs[:, gru.WORD_DIM], -9)[windows].max(1)
         # The highest windows of each document: one that made it toxic, or those most wrongly taken for toxic.
         by_height = np.lexsort((-logits, owner))
         place_in = np.arange(len(owner)) - np.repeat(np.flatnonzero(np.diff(owner, prepend=-1)), np.bincount(owner))
-        most = (np.where(kind > 0, 8, 4) if not epoch else np.where(kind > 0, 1 + (epoch < 3), 3))[by_height]
+        most = np.where(kind > 0, 1 + (epoch < 3), 3)[by_height]
         take = by_height[place_in < most]
-        if epoch:
-            take = np.concatenate([take, rng.choice(np.flatnonzero(kind == 0), len(take))])
+        take = np.concatenate([take, rng.choice(np.flatnonzero(kind == 0), len(take))])
         take = rng.permutation(take)
         y = kind[take].astype(np.float32)
         weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
-        for at in range(0, len(take), BATCH):
-            part = slice(at, at + BATCH)
+        for at in range(0, len(take), batch):
+            part = slice(at, at + batch)
             _train_step(p, adam, windows[take[part]], y[part], weight[part], word_ids, chars, offsets, rng)
     held = sorted(aside)
     logits = model.best_logits([rows[i][0] for i in held])
@@ -159,6 +163,26 @@ def fit(rows: list[tuple[str, int]], share: float, epochs: int = EPOCHS, seed: i
     return model
 
 
+def first_evidence(docs, kinds, word_ids, n_words, chars, offsets) -> tuple[np.ndarray, np.ndarray]:
+    """Where the first dimension of the embeddings starts: the log odds of a word's, or an
+    n-gram's, documents between the classes, shrunk where there are few documents."""
+    seen_words, seen_grams = np.zeros((2, n_words)), np.zeros((2, gru.CHAR_BUCKETS))
+    for windows, kind in zip(docs, kinds):
+        places = np.unique(windows)
+        places = places[places >= 0]
+        seen_words[kind, np.unique(word_ids[places])] += 1
+        sizes = offsets[places + 1] - offsets[places]
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - offsets[places], sizes)
+        seen_grams[kind, np.unique(chars[at])] += 1
+    total = np.array([(kinds == 0).sum(), (kinds == 1).sum()])[:, None]
+    out = []
+    for seen in (seen_words, seen_grams):
+        odds = np.log((seen[1] + 0.5) / (total[1] + 1)) - np.log((seen[0] + 0.5) / (total[0] + 1))
+        out.append(odds * seen.sum(0) / (seen.sum(0) + 5) / 2)
+    out[0][0] = 0
+    return out[0], out[1]
+
+
 def _train_step(p, adam, windows, y, weight, word_ids, chars, offsets, rng) -> None:
     """One step of Adam on a batch of windows of word places. A third of the word embeddings
     is left out, so that the characters have to do as well."""
