@@ -1,6 +1,471 @@
-"""Queries of the line search over the given tables, with their DuckDB twins."""
+"""Queries of the line search over the given tables, with their DuckDB twins.
+
+Object catalogs are read off ``events``: a row is an object whose key holds the
+hour, whose size is that of its properties, in one of three buckets.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linescan.functions import delivery, hours, layout
+from linescan.functions.layout import Bucket, check_buckets
+from linescan.functions.matching import matches
+from linescan.operators import batches, summary
+from linescan.operators import catalog as objects
+from linescan.plans.search import match_lines
+from linescan.session import scratch
+from linescan.sources import lines as line_source
+from linescan.sources.catalog import from_inventory, list_objects
+from linescan.sources.zstd_lines import write_lines, write_partitioned
+from linescan.streaming import search_stream as streams
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- what several queries share ---------------------------------------------------------------
+
+LINES_SQL = """lines AS (
+  SELECT doc_id, source, lang, unnest(CASE WHEN right(text, 1) = chr(10) THEN string_split(text, chr(10))[:-2] WHEN text = '' THEN [] ELSE string_split(text, chr(10)) END) AS value
+  FROM documents WHERE text IS NOT NULL
+)"""
+EVENTS_SQL = """ev AS (
+  SELECT *, strftime(ts, '%Y%m%d') AS dt, strftime(ts, '%H') AS hour, 'b' || (user_id % 3) AS bucket FROM events
+), objects AS (
+  SELECT bucket, 'logs/dt=' || dt || '/hour=' || hour || '/' || event_type || '-' || user_id || '.json.zst' AS key,
+    CAST(strlen(props) AS BIGINT) AS size, ts AS last_modified, dt, hour FROM ev
+)"""
+PATTERN = "(the|und).*[0-9]"
+
+
+def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_source.explode_lines(table(spark, sf_dir, "documents"), "text", "doc_id", "source", "lang")
+
+
+def keyed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = hours.with_hour_key(table(spark, sf_dir, "events"), "ts")
+    return events.withColumn("bucket", F.concat(F.lit("b"), (F.col("user_id") % 3).cast("string")))
+
+
+def event_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = keyed_events(spark, sf_dir)
+    name = F.concat(F.lit("logs/"), layout.hive(F.col("dt"), F.col("hour")), F.lit("/"), "event_type", F.lit("-"), F.col("user_id").cast("string"), F.lit(".json.zst"))
+    return from_inventory(events.select("bucket", name.alias("key"), F.octet_length("props").cast("long").alias("size"), F.col("ts").alias("last_modified")))
+
+
+def buckets() -> list[Bucket]:
+    return [Bucket(f"b{i}", [("static", "logs/"), ("date", "dt=20240101/hour=00")]) for i in range(3)]
+
+
+def event_hours(spark: SparkSession, sf_dir: str, share: int = 1) -> DataFrame:
+    """The hours between the first event and the last one, or the first part of them."""
+    ts = F.col("ts").cast("timestamp_ntz")
+    bounds = table(spark, sf_dir, "events").agg(F.min(ts).alias("a"), F.max(ts).alias("z"))
+    bounds = bounds.select(F.date_trunc("hour", "a").cast("timestamp_ntz").alias("a"), "z")
+    return hours.grid_between(bounds, "a", "z") if share == 1 else hours.grid_between(bounds, "a", "z").where(F.col("hour") < str(24 // share).zfill(2))
+
+
+GRID_SQL = """bounds AS (SELECT date_trunc('hour', min(ts)) AS a, max(ts) AS z FROM events),
+grid AS (SELECT strftime(ts, '%Y%m%d') AS dt, strftime(ts, '%H') AS hour, ts FROM (SELECT unnest(generate_series(a, z, INTERVAL 1 HOUR)) AS ts FROM bounds)),
+prefixes AS (SELECT 'b' || i AS bucket, 'logs/dt=' || dt || '/hour=' || hour AS prefix, dt, hour FROM grid, range(3) r(i))"""
+
+
+def tagged_catalog(spark: SparkSession, sf_dir: str, distinct: bool = False) -> DataFrame:
+    grid = objects.prefix_grid(event_hours(spark, sf_dir, 2), buckets())
+    return objects.select_prefixes(event_catalog(spark, sf_dir), grid, distinct)
+
+
+TAGGED_SQL = f"{EVENTS_SQL}, {GRID_SQL}, tagged AS (SELECT o.bucket, o.key, o.size, o.last_modified, p.prefix, p.dt, p.hour FROM objects o JOIN prefixes p ON o.bucket = p.bucket AND starts_with(o.key, p.prefix) WHERE p.hour < '12')"
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matched lines and bytes by source."""
+    found = match_lines(doc_lines(spark, sf_dir), PATTERN, ignore_case=True)
+    return summary.output_by_prefix(found, "source")
+
+
+# --- A: time range and layout -----------------------------------------------------------------
+
+
+@query("a1_hour_grid", f"WITH {GRID_SQL} SELECT ts, dt, hour FROM grid")
+def a1(spark, sf_dir):
+    return event_hours(spark, sf_dir)
+
+
+@query("a2_hour_key", "SELECT strftime(o_orderdate, '%Y%m%d') AS dt, strftime(o_orderdate, '%H') AS hour, count(*) AS n FROM orders GROUP BY ALL")
+def a2(spark, sf_dir):
+    return hours.with_hour_key(table(spark, sf_dir, "orders"), "o_orderdate").groupBy("dt", "hour").agg(F.count("*").alias("n"))
+
+
+def _by_layout(spark, sf_dir, part):
+    events = keyed_events(spark, sf_dir)
+    return events.groupBy(part(F.col("dt"), F.col("hour")).alias("prefix")).agg(F.count("*").alias("n"))
+
+
+def _layout_sql(expression: str) -> str:
+    return f"WITH {EVENTS_SQL} SELECT {expression} AS prefix, count(*) AS n FROM ev GROUP BY ALL"
+
+
+@query("a3_layout_hive", _layout_sql("'prefix--suffixdt=' || dt || '/hour=' || hour"))
+def a3(spark, sf_dir):
+    return _by_layout(spark, sf_dir, lambda d, h: layout.date_part("prefix-dt=x/hour=99-suffix", d, h))
+
+
+@query("a4_layout_hive_short", _layout_sql("'dt=' || dt || '/h=' || hour"))
+def a4(spark, sf_dir):
+    return _by_layout(spark, sf_dir, lambda d, h: layout.date_part("dt=20240101/h=00", d, h))
+
+
+@query("a5_layout_path", _layout_sql("dt[1:4] || '/' || dt[5:6] || '/' || dt[7:8] || '/' || hour"))
+def a5(spark, sf_dir):
+    return _by_layout(spark, sf_dir, lambda d, h: layout.date_part(layout.YMDH, d, h))
+
+
+@query("a6_layout_literal", _layout_sql("'everything'"))
+def a6(spark, sf_dir):
+    return _by_layout(spark, sf_dir, lambda d, h: layout.literal("everything"))
+
+
+@query("a7_check_date", "SELECT strftime(l_shipdate, '%Y%m%d') AS dt, count(*) AS n FROM lineitem GROUP BY ALL")
+def a7(spark, sf_dir):
+    dt, _ = hours.hour_key(F.col("l_shipdate"))
+    return table(spark, sf_dir, "lineitem").groupBy(layout.checked_date(dt).alias("dt")).agg(F.count("*").alias("n"))
+
+
+@query("a8_prefix_grid", f"WITH {GRID_SQL} SELECT * FROM prefixes")
+def a8(spark, sf_dir):
+    return objects.prefix_grid(event_hours(spark, sf_dir), buckets())
+
+
+@query("a9_check_buckets", f"WITH {GRID_SQL} SELECT bucket, count(*) AS hours FROM prefixes GROUP BY ALL")
+def a9(spark, sf_dir):
+    return objects.prefix_grid(event_hours(spark, sf_dir), check_buckets(buckets())).groupBy("bucket").agg(F.count("*").alias("hours"))
+
+
+# --- B: catalog -------------------------------------------------------------------------------
+
+
+@query("b1_list_objects", f"WITH {EVENTS_SQL} SELECT bucket, key, size, last_modified FROM objects")
+def b1(spark, sf_dir):
+    return event_catalog(spark, sf_dir)
+
+
+@query("b2_select_prefixes", f"WITH {TAGGED_SQL} SELECT * FROM tagged")
+def b2(spark, sf_dir):
+    return tagged_catalog(spark, sf_dir).select("bucket", "key", "size", "last_modified", "prefix", "dt", "hour")
+
+
+OVERLAP_SQL = f"WITH {EVENTS_SQL}, days AS (SELECT DISTINCT bucket, dt FROM ev), grid AS (SELECT bucket, 'logs/dt=' || dt AS prefix FROM days UNION ALL SELECT DISTINCT bucket, 'logs/dt=' || dt || '/hour=' || hour FROM ev)"
+
+
+def _overlapping(spark, sf_dir, distinct):
+    events = keyed_events(spark, sf_dir)
+    days = events.select("bucket", F.concat(F.lit("logs/dt="), "dt").alias("prefix")).distinct()
+    grid = days.union(events.select("bucket", F.concat(F.lit("logs/"), layout.hive(F.col("dt"), F.col("hour"))).alias("prefix")).distinct())
+    return objects.select_prefixes(event_catalog(spark, sf_dir), grid, distinct)
+
+
+@query("b3_keep_multiplicity", OVERLAP_SQL + " SELECT o.bucket, o.key, count(*) AS n FROM objects o JOIN grid g ON o.bucket = g.bucket AND starts_with(o.key, g.prefix) GROUP BY ALL")
+def b3(spark, sf_dir):
+    return _overlapping(spark, sf_dir, False).groupBy("bucket", "key").agg(F.count("*").alias("n"))
+
+
+@query("b3_distinct_objects", OVERLAP_SQL + " SELECT DISTINCT o.bucket, o.key FROM objects o JOIN grid g ON o.bucket = g.bucket AND starts_with(o.key, g.prefix)")
+def b3d(spark, sf_dir):
+    return _overlapping(spark, sf_dir, True).select("bucket", "key")
+
+
+@query("b4_filter_keys", r"SELECT page_id, url FROM pages WHERE regexp_matches(url, 'example\.com/(fr|en)/')")
+def b4(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("key"))
+    return objects.filter_keys(pages, r"example\.com/(fr|en)/").withColumnRenamed("key", "url")
+
+
+@query("b5_filter_suffix_any", rf"WITH {TAGGED_SQL} SELECT bucket, key, prefix FROM tagged WHERE regexp_matches(substr(key, length(prefix) + 1), '^/click-') OR regexp_matches(substr(key, length(prefix) + 1), '-1\d*\.json')")
+def b5(spark, sf_dir):
+    return objects.filter_suffixes(tagged_catalog(spark, sf_dir), ["^/click-", r"-1\d*\.json"]).select("bucket", "key", "prefix")
+
+
+@query("b6_catalog_totals", f"WITH {EVENTS_SQL} SELECT count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes, sum(size) / 1000000.0 AS mb FROM objects")
+def b6(spark, sf_dir):
+    return objects.totals(event_catalog(spark, sf_dir))
+
+
+@query("b7_catalog_by_prefix", f"WITH {TAGGED_SQL} SELECT bucket, prefix, count(*) AS listed, count(*) FILTER (regexp_matches(key, 'error|click')) AS kept FROM tagged GROUP BY ALL")
+def b7(spark, sf_dir):
+    return objects.by_prefix(tagged_catalog(spark, sf_dir), "error|click")
+
+
+@query("b8_order_by_size", f"WITH {EVENTS_SQL} SELECT bucket, key, size FROM objects ORDER BY size, bucket, key")
+def b8(spark, sf_dir):
+    return objects.order_by_size(event_catalog(spark, sf_dir)).select("bucket", "key", "size")
+
+
+@query("b9_require_objects", f"WITH {TAGGED_SQL} SELECT bucket, count(*) AS n FROM tagged GROUP BY ALL")
+def b9(spark, sf_dir):
+    return objects.require_objects(tagged_catalog(spark, sf_dir)).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+# --- C: lines ---------------------------------------------------------------------------------
+
+MEASURES_SQL = "count(*) AS lines, CAST(sum(strlen(value) + 1) AS BIGINT) AS plaintext_bytes"
+
+
+def _measures(df: DataFrame, *by) -> DataFrame:
+    return df.groupBy(*by).agg(F.count("*").alias("lines"), F.sum(batches.line_bytes()).alias("plaintext_bytes"))
+
+
+def _read_back(spark, sf_dir, kind):
+    """All lines of the documents, written as files of one kind, and read."""
+    root = scratch(spark, f"lines-{kind}")
+    found = doc_lines(spark, sf_dir)
+    if kind in ("plain", "mixed"):
+        found.where("doc_id % 2 = 0" if kind == "mixed" else "true").select("value").write.option("lineSep", "\n").text(f"{root}/plain")
+    if kind in ("gzip", "mixed"):
+        found.where("doc_id % 4 = 1" if kind == "mixed" else "true").select("value").write.option("lineSep", "\n").option("compression", "gzip").text(f"{root}/gz")
+    if kind in ("zstd", "mixed"):
+        some = found.where("doc_id % 4 = 3" if kind == "mixed" else "true")
+        write_lines(some.withColumn("prefix", F.concat(F.lit("zst/"), "source")), root)
+    return root
+
+
+for _kind, _name in (("plain", "c1_read_lines"), ("gzip", "c2_read_gzip"), ("zstd", "c3_read_zstd"), ("mixed", "c4_read_mixed")):
+
+    @query(_name, f"WITH {LINES_SQL} SELECT value, count(*) AS n FROM lines GROUP BY ALL")
+    def c1(spark, sf_dir, kind=_kind):
+        return line_source.read_lines(spark, _read_back(spark, sf_dir, kind)).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query("c5_with_source", f"WITH {LINES_SQL} SELECT 'zst/' || source || '.zst' AS key, {MEASURES_SQL} FROM lines GROUP BY ALL")
+def c5(spark, sf_dir):
+    root = _read_back(spark, sf_dir, "zstd")
+    return _measures(line_source.with_source(line_source.read_lines(spark, root), root), "key")
+
+
+HALF_DAYS_SQL = "half AS (SELECT strftime(ts, '%Y%m%d') AS dt, CASE WHEN hour(ts) < 12 THEN '00' ELSE '12' END AS hour, props AS value FROM events)"
+
+
+def _hour_tree(spark, sf_dir):
+    root = scratch(spark, "hours")
+    events = keyed_events(spark, sf_dir)
+    write_partitioned(events.select("dt", F.when(F.col("hour") < "12", "00").otherwise("12").alias("hour"), F.col("props").alias("value")), root)
+    return root
+
+
+@query("c6_prune_hours", f"WITH {HALF_DAYS_SQL} SELECT dt, hour, {MEASURES_SQL} FROM half WHERE hour = '12' AND dt[7:8] < '15' GROUP BY ALL")
+def c6(spark, sf_dir):
+    days = [r.dt for r in keyed_events(spark, sf_dir).select("dt").distinct().toLocalIterator()]
+    return _measures(line_source.read_hours(spark, _hour_tree(spark, sf_dir), [(d, "12") for d in days if d[6:] < "15"]), "dt", "hour")
+
+
+@query("c7_explode_lines", f"WITH {LINES_SQL} SELECT doc_id, {MEASURES_SQL} FROM lines GROUP BY ALL")
+def c7(spark, sf_dir):
+    return _measures(doc_lines(spark, sf_dir), "doc_id")
+
+
+@query("c8_skip_bad_files", f"WITH {LINES_SQL} SELECT {MEASURES_SQL} FROM lines")
+def c8(spark, sf_dir):
+    return _measures(line_source.read_lines(spark, _read_back(spark, sf_dir, "gzip"), skip_bad=True))
+
+
+# --- D: matching ------------------------------------------------------------------------------
+
+
+@query("d1_match_lines", f"WITH {LINES_SQL} SELECT doc_id, value FROM lines WHERE regexp_matches(value, '{PATTERN}')")
+def d1(spark, sf_dir):
+    return match_lines(doc_lines(spark, sf_dir), PATTERN).select("doc_id", "value")
+
+
+@query("d2_ignore_case", f"WITH {LINES_SQL} SELECT doc_id, value FROM lines WHERE regexp_matches(value, '(?i)été|{PATTERN}')")
+def d2(spark, sf_dir):
+    return match_lines(doc_lines(spark, sf_dir), f"été|{PATTERN}", ignore_case=True).select("doc_id", "value")
+
+
+@query("d3_all_lines", f"WITH {LINES_SQL} SELECT source, {MEASURES_SQL} FROM lines GROUP BY ALL")
+def d3(spark, sf_dir):
+    return _measures(match_lines(doc_lines(spark, sf_dir), None), "source")
+
+
+@query("d4_checked_pattern", "SELECT page_id, url FROM pages WHERE regexp_matches(url, '^https://[a-z]+\\.')")
+def d4(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("value"))
+    return match_lines(pages, r"^https://[a-z]+\.").withColumnRenamed("value", "url")
+
+
+@query("d5_byte_lengths", f"WITH {LINES_SQL} SELECT lang, CAST(sum(strlen(value)) AS BIGINT) AS bytes, CAST(sum(length(value)) AS BIGINT) AS chars FROM lines GROUP BY ALL")
+def d5(spark, sf_dir):
+    found = match_lines(doc_lines(spark, sf_dir), None).withColumn("raw", F.col("value").cast("binary"))
+    return found.groupBy("lang").agg(F.sum(F.octet_length("raw")).alias("bytes"), F.sum(F.char_length("value")).alias("chars"))
+
+
+@query("d6_project_prefix", "SELECT 'role/' || role AS prefix, text AS value FROM conversations WHERE regexp_matches(text, 'tion[^a-z]')")
+def d6(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("role/"), "role").alias("prefix"), F.col("text").alias("value"))
+    return turns.where(matches(F.col("value"), "tion[^a-z]"))
+
+
+# --- E: measures ------------------------------------------------------------------------------
+
+MATCHED_SQL = f"{LINES_SQL}, matched AS (SELECT * FROM lines WHERE regexp_matches(value, '(?i){PATTERN}'))"
+
+
+def _matched(spark, sf_dir):
+    return match_lines(doc_lines(spark, sf_dir), PATTERN, ignore_case=True)
+
+
+@query("e1_match_count", f"WITH {MATCHED_SQL} SELECT count(*) AS matches FROM matched")
+def e1(spark, sf_dir):
+    return summary.match_count(_matched(spark, sf_dir))
+
+
+@query("e2_files_searched", f"WITH {TAGGED_SQL} SELECT count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes, sum(size) / 1000000.0 AS mb FROM tagged")
+def e2(spark, sf_dir):
+    return objects.totals(tagged_catalog(spark, sf_dir))
+
+
+@query("e3_output_by_prefix", f"WITH {MATCHED_SQL} SELECT source, {MEASURES_SQL} FROM matched GROUP BY ALL")
+def e3(spark, sf_dir):
+    return summary.output_by_prefix(_matched(spark, sf_dir), "source")
+
+
+@query("e4_output_files")
+def e4(spark, sf_dir):
+    return summary.output_files(spark, _read_back(spark, sf_dir, "zstd"))
+
+
+@query("e5_compression_ratio", "SELECT source, sum(CASE WHEN n_chars > 300 THEN strlen(text) ELSE 0 END) / CAST(nullif(sum(n_chars), 0) AS DOUBLE) AS ratio FROM documents GROUP BY ALL")
+def e5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").groupBy("source")
+    plain = F.sum(F.when(F.col("n_chars") > 300, F.octet_length("text")).otherwise(0))
+    return docs.agg(summary.compression_ratio(plain, F.sum("n_chars")).alias("ratio"))
+
+
+@query("e6_throughput", "SELECT user_id, sum(value) / 1000000 / (date_diff('microsecond', min(ts), max(ts)) / 1000000.0) AS mb_s FROM events GROUP BY user_id HAVING max(ts) > min(ts)")
+def e6(spark, sf_dir):
+    took = F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / 1_000_000
+    rates = table(spark, sf_dir, "events").groupBy("user_id").agg(summary.throughput(F.sum("value"), took).alias("mb_s"), took.alias("took"))
+    return rates.where("took > 0").select("user_id", "mb_s")
+
+
+@query("e7_run_summary", f"""WITH {MATCHED_SQL}, {EVENTS_SQL}, m AS (SELECT {MEASURES_SQL} FROM matched), o AS (SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM objects)
+SELECT files AS files_searched, bytes AS bytes_searched, lines AS matches, plaintext_bytes, CAST(1000 AS BIGINT) AS compressed_bytes, plaintext_bytes / 1000.0 AS ratio, '{PATTERN}' AS pattern, 'files' AS destination FROM m, o""")
+def e7(spark, sf_dir):
+    by = summary.output_by_prefix(_matched(spark, sf_dir), "source")
+    return summary.run_summary(event_catalog(spark, sf_dir), by, PATTERN, "files", 1000, 1.0).drop("plaintext_mb_s", "compressed_mb_s")
+
+
+# --- F: sinks and delivery --------------------------------------------------------------------
+
+
+@query("f1_write_lines", f"WITH {LINES_SQL} SELECT source || '/' || lang AS prefix, {MEASURES_SQL} FROM lines GROUP BY ALL")
+def f1(spark, sf_dir):
+    root = scratch(spark, "written")
+    write_lines(doc_lines(spark, sf_dir).withColumn("prefix", F.concat_ws("/", "source", "lang")), root)
+    back = line_source.with_source(line_source.read_lines(spark, root), root)
+    return _measures(back, F.regexp_replace("key", r"\.zst$", "").alias("prefix"))
+
+
+@query("f2_compression_level", f"WITH {LINES_SQL} SELECT lang AS prefix, {MEASURES_SQL} FROM lines GROUP BY ALL")
+def f2(spark, sf_dir):
+    root = scratch(spark, "level")
+    write_lines(doc_lines(spark, sf_dir).withColumn("prefix", F.col("lang")), root, level=9, parts=4)
+    back = line_source.with_source(line_source.read_lines(spark, root), root)
+    return _measures(back, F.regexp_replace("key", r"-\d+\.zst$", "").alias("prefix"))
+
+
+@query("f3_overwrite", f"WITH {LINES_SQL} SELECT source AS prefix, {MEASURES_SQL} FROM lines WHERE source <> 'src1' OR regexp_matches(value, '{PATTERN}') GROUP BY ALL")
+def f3(spark, sf_dir):
+    root = scratch(spark, "again")
+    found = doc_lines(spark, sf_dir).withColumn("prefix", F.col("source"))
+    write_lines(found, root)
+    write_lines(match_lines(found.where("source = 'src1'"), PATTERN), root)
+    back = line_source.with_source(line_source.read_lines(spark, root), root)
+    return _measures(back, F.regexp_replace("key", r"\.zst$", "").alias("prefix"))
+
+
+@query("f4_partitioned_text", f"WITH {HALF_DAYS_SQL} SELECT dt, hour, {MEASURES_SQL} FROM half GROUP BY ALL")
+def f4(spark, sf_dir):
+    lines = spark.read.option("lineSep", "\n").schema("value string, dt string, hour string").text(_hour_tree(spark, sf_dir))
+    return _measures(lines, "dt", "hour")
+
+
+@query("f5_pack_batches", """WITH b AS (
+  SELECT strftime(ts, '%Y%m%d') AS dt, event_id, props, coalesce(sum(strlen(props) + 1) OVER (PARTITION BY strftime(ts, '%Y%m%d') ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events
+) SELECT dt, CAST(before // 256 AS BIGINT) AS batch_id, count(*) AS lines, CAST(sum(strlen(props) + 1) AS BIGINT) AS plaintext_bytes FROM b GROUP BY ALL""")
+def f5(spark, sf_dir):
+    events = keyed_events(spark, sf_dir).select("dt", "event_id", F.col("props").alias("value"))
+    return _measures(batches.pack_batches(events, ["dt"], ["event_id"], 256), "dt", "batch_id")
+
+
+#: A delivery log read off the events: one try each, its status, and a Retry-After for some.
+LOG_SQL = "log AS (SELECT event_id, [200, 204, 429, 404, 503, 302][user_id % 6 + 1] AS status, 1 + event_id % 5 AS retry, CASE WHEN event_id % 3 = 0 THEN value / 100 END AS retry_after, strlen(props) AS n FROM events)"
+
+
+def _log(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    status = F.element_at(F.array(*(F.lit(s) for s in (200, 204, 429, 404, 503, 302))), (F.col("user_id") % 6 + 1).cast("int"))
+    return events.select("event_id", status.alias("status"), (1 + F.col("event_id") % 5).alias("retry"), F.when(F.col("event_id") % 3 == 0, F.col("value") / 100).alias("retry_after"), F.octet_length("props").alias("n"))
+
+
+CLASS_SQL = "CASE WHEN status BETWEEN 200 AND 299 THEN 'ok' WHEN status = 429 THEN 'throttled' WHEN status BETWEEN 400 AND 499 THEN 'fatal' ELSE 'retry' END"
+
+
+@query("f7_classify_response", f"WITH {LOG_SQL} SELECT status, {CLASS_SQL} AS class, count(*) AS n FROM log GROUP BY ALL")
+def f7(spark, sf_dir):
+    return _log(spark, sf_dir).groupBy("status", delivery.classify_response(F.col("status")).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("f8_retry_delay", f"WITH {LOG_SQL} SELECT event_id, coalesce(retry_after * 1000, 100 * pow(2.0, retry - 1)) AS delay_ms FROM log")
+def f8(spark, sf_dir):
+    return _log(spark, sf_dir).select("event_id", delivery.retry_delay_ms(F.col("retry"), F.col("retry_after")).alias("delay_ms"))
+
+
+@query("f9_delivery_stats", f"WITH {LOG_SQL} SELECT count(*) FILTER ({CLASS_SQL} = 'ok') AS sent, count(*) FILTER ({CLASS_SQL} <> 'ok') AS dropped, CAST(sum(n) FILTER ({CLASS_SQL} = 'ok') AS BIGINT) AS bytes FROM log")
+def f9(spark, sf_dir):
+    ok = delivery.classify_response(F.col("status")) == "ok"
+    return _log(spark, sf_dir).agg(F.count_if(ok).alias("sent"), F.count_if(~ok).alias("dropped"), F.sum(F.when(ok, F.col("n"))).alias("bytes"))
+
+
+ERRORS_SQL = "['AccessDenied', 'slow down', 'error NoSuchBucket: x', 'timeout', '', 'ExpiredTokenException'][user_id % 6 + 1] || ' at ' || event_type"
+
+
+@query("f13_classify_errors", f"SELECT class, count(*) AS n FROM (SELECT CASE WHEN regexp_matches({ERRORS_SQL}, '{'|'.join(delivery.FATAL_ERRORS)}') THEN 'fatal' ELSE 'transient' END AS class FROM events) GROUP BY ALL")
+def f13(spark, sf_dir):
+    texts = F.array(*(F.lit(s) for s in ("AccessDenied", "slow down", "error NoSuchBucket: x", "timeout", "", "ExpiredTokenException")))
+    message = F.concat(F.element_at(texts, (F.col("user_id") % 6 + 1).cast("int")), F.lit(" at "), "event_type")
+    return table(spark, sf_dir, "events").groupBy(delivery.classify_error(message).alias("class")).agg(F.count("*").alias("n"))
+
+
+# --- G: streaming -----------------------------------------------------------------------------
+
+
+@query("g1_search_stream", f"WITH {HALF_DAYS_SQL} SELECT dt, hour, {MEASURES_SQL} FROM half WHERE regexp_matches(value, '[13579]\\}}') GROUP BY ALL")
+def g1(spark, sf_dir):
+    root, out = _hour_tree(spark, sf_dir), scratch(spark, "stream")
+    found = streams.search_stream(streams.line_stream(spark, root, max_files=64), r"[13579]\}")
+    streams.to_table(found, out, scratch(spark, "stream-state")).awaitTermination()
+    return _measures(spark.read.schema("value string, dt string, hour string").parquet(out), "dt", "hour")
+
+
+@query("g2_intake_limit", f"WITH {HALF_DAYS_SQL} SELECT {MEASURES_SQL} FROM half")
+def g2(spark, sf_dir):
+    root, out = _hour_tree(spark, sf_dir), scratch(spark, "limited")
+    found = streams.search_stream(streams.line_stream(spark, root, max_bytes=100_000), None)
+    streams.to_table(found, out, scratch(spark, "limited-state")).awaitTermination()
+    return _measures(spark.read.schema("value string, dt string, hour string").parquet(out))
