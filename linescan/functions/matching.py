@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +16,10 @@ def java_pattern(pattern: str, ignore_case: bool = False) -> str:
 
 def check_pattern(spark: SparkSession, pattern: str) -> None:
     """Raise ValueError for a bad pattern, before any data is read."""
-    from py4j.protocol import Py4JJavaError
-
     try:
         spark._jvm.java.util.regex.Pattern.compile(java_pattern(pattern))
-    except Py4JJavaError as error:
-        raise ValueError(f"Invalid regex pattern: {error.java_exception.getMessage()}") from None
+    except IllegalArgumentException as error:
+        raise ValueError(f"Invalid regex pattern: {error}") from None
 
 
 def matches(value: Column, pattern: str | None, ignore_case: bool = False) -> Column:

@@ -1,0 +1,81 @@
+from datetime import datetime, timedelta, timezone
+
+import pytest
+from pyspark.sql import functions as F
+
+from linescan.functions import hours, layout
+from linescan.functions.layout import Bucket, check_buckets
+from linescan.operators.catalog import prefix_grid
+
+
+def grid(spark, *args, **kw):
+    return [(r.dt[6:], r.hour) for r in hours.hour_grid(spark, *args, **kw).orderBy("ts").collect()]
+
+
+@pytest.mark.parametrize(
+    "start, end, expected",
+    [
+        (datetime(2023, 12, 25, 14), datetime(2023, 12, 25, 16), [("25", "14"), ("25", "15"), ("25", "16")]),
+        (datetime(2023, 12, 25, 14), datetime(2023, 12, 25, 14), [("25", "14")]),
+        (datetime(2023, 12, 25, 23), datetime(2023, 12, 26, 1), [("25", "23"), ("26", "00"), ("26", "01")]),
+        (datetime(2023, 12, 25, 10, 30), datetime(2023, 12, 25, 12, 15), [("25", "10"), ("25", "11")]),
+    ],
+)
+def test_steps(spark, start, end, expected):
+    assert grid(spark, start, end) == expected
+    assert [(d[6:], h) for d, h in hours.hour_list(start, end)] == expected
+
+
+def test_truncated_and_zoned(spark):
+    assert grid(spark, datetime(2023, 12, 25, 10, 30), datetime(2023, 12, 25, 12, 15), truncate=True) == [("25", "10"), ("25", "11"), ("25", "12")]
+    east = timezone(timedelta(hours=2))
+    assert grid(spark, datetime(2023, 12, 25, 1, tzinfo=east), datetime(2023, 12, 25, 2, tzinfo=east)) == [("24", "23"), ("25", "00")]
+
+
+def test_wrong_order(spark):
+    with pytest.raises(ValueError, match="after end"):
+        hours.hour_grid(spark, datetime(2023, 12, 26, 14), datetime(2023, 12, 25, 14))
+    bad = spark.sql("SELECT timestamp_ntz'2023-12-26' a, timestamp_ntz'2023-12-25' z")
+    with pytest.raises(Exception, match="after end"):
+        hours.grid_between(bad, "a", "z").collect()
+
+
+S, D = "static", "date"
+
+
+@pytest.mark.parametrize(
+    "path, expected",
+    [
+        ([(S, "logs"), (D, "dt=20231225/hour=14")], "logs/dt=20231225/hour=14"),
+        ([(S, "raw"), (D, "2006/01/02/15")], "raw/2023/12/25/14"),
+        ([(S, "app"), (D, "prefix-dt=placeholder/hour=99-suffix")], "app/prefix--suffixdt=20231225/hour=14"),
+        ([(D, "prefix-2006/01/02/15-suffix")], "prefix--suffix2023/12/25/14"),
+        ([(S, ""), (S, "logs"), (D, "dt=1/hour=00"), (S, "")], "logs/dt=20231225/hour=14"),
+        ([(D, "dt=20240101/h=00")], "dt=20231225/h=14"),
+        ([(S, "log-archives/"), (D, "dt=%Y%m%d/hour=%H")], "log-archives/dt=20231225/hour=14"),
+    ],
+)
+def test_layouts(spark, path, expected):
+    one = spark.sql("SELECT '20231225' dt, '14' hour")
+    assert prefix_grid(one, [Bucket("b", path)]).first().prefix == expected
+
+
+def test_unknown_layout_is_literal(spark):
+    one = spark.sql("SELECT '20231225' dt, '14' hour")
+    with pytest.warns(UserWarning, match="same prefix"):
+        assert prefix_grid(one, [Bucket("b", [(S, "logs"), (D, "unknown-format")])]).first().prefix == "logs/unknown-format"
+
+
+def test_bad_date(spark):
+    one = spark.sql("SELECT 'invalid' dt, '14' hour")
+    with pytest.raises(Exception, match="not a date of 8 characters"):
+        one.select(layout.by_path(F.col("dt"), F.col("hour"))).collect()
+
+
+def test_buckets_need_dates():
+    with pytest.raises(ValueError, match="no date part"):
+        check_buckets([Bucket("b", [(S, "logs")])])
+    with pytest.raises(ValueError, match="no buckets"):
+        check_buckets([])
+    made = Bucket.of({"bucket": "x", "path": [{"static_path": "a"}, {"datefmt": "2006/01/02/15"}], "only_prefix_patterns": ["k"]})
+    assert check_buckets([made]) == [Bucket("x", [(S, "a"), (D, "2006/01/02/15")], ["k"])]
