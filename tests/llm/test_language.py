@@ -1,0 +1,52 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from linescan.llm import language_id as L
+from tests.conftest import DATA
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return L.trained_on(spark.read.parquet(f"{DATA}/documents.parquet"))
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang")
+    rows = L.op2_language_id(spark, DATA).join(docs, "doc_id").collect()
+    assert len(rows) == 200 and all(0 <= r.score <= 1 for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert 30 < len(held) < 70 and np.mean([r.lang == r.lang_pred for r in held]) > 0.9
+
+
+def test_edge_rows(spark, model):
+    rows = [(1, None, "a"), (2, "", "b"), (3, "123 !?", "c"), (4, "The and of the with", "d"), (4, "The and of the with", "d"), (None, "É", None), (5, "the and that " * 30_000, "e")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, score string")
+    got = {(r.doc_id): (r.lang_pred, r.score) for r in L.with_language(df, model, ["doc_id", "score"]).collect()}
+    assert got[1] == got[2] == got[3] == ("und", 0.0)
+    assert got[4][0] == "en" and got[5][0] == "en" and got[None][0] != "und"
+    assert L.with_language(df, model, ["doc_id"]).count() == 7
+
+
+def test_little_to_learn_from(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert L.train(none).predict("text") == ("und", 0.0)
+    one = spark.createDataFrame([(1, "some text", "xx"), (2, "more", "xx"), (3, "u", None), (4, None, "yy")], "doc_id long, text string, lang string")
+    assert L.train(one).predict("text") == ("xx", 1.0)
+
+
+def test_statistics_cover_all_rows(spark):
+    docs = spark.range(3000).select(F.lit("aaa bbb").alias("text")).union(spark.sql("SELECT null text UNION ALL SELECT '12'"))
+    seen, total = L.document_frequencies(docs)
+    assert total == 3000 and set(seen) == {0, 3000}
+
+
+def test_elastic_net_is_sparse(model):
+    assert 0 < (model.weights != 0).mean() < 0.5
+
+
+def test_temperature_calibrates():
+    rng = np.random.default_rng(0)
+    margins = rng.normal(size=(4000, 3)) * 2
+    targets = np.array([rng.choice(3, p=L.softmax(m / 2)) for m in margins])
+    assert 1.5 < L.fit_temperature(margins, targets) < 2.7
