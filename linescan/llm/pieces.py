@@ -8,7 +8,8 @@ piece covers becomes its UTF-8 bytes, so decoding gives the text back.
 
 from __future__ import annotations
 
-import zlib
+import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,7 +27,7 @@ SPACE = "▁"
 #: What a character outside the vocabulary costs beside the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Encoded words are kept for re-use up to so many, then forgotten all at once.
-CACHED_WORDS = 100_000
+CACHED_WORDS = 250_000
 
 
 class PieceModel:
@@ -39,103 +40,91 @@ class PieceModel:
         self.pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.byte_ids = {}
         self.automaton = ahocorasick.Automaton()
+        self.single: set[str] = set()
         worst, inner = 0.0, False
         for i, piece in enumerate(self.pieces):
             if model.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 score = model.get_score(i)
-                self.automaton.add_word(piece, (i, len(piece), score))
+                self.automaton.add_word(piece, (len(piece), score, i))
                 worst = min(worst, score)
                 inner |= SPACE in piece.lstrip(SPACE)
+                if len(piece) == 1:
+                    self.single.add(piece)
         self.automaton.make_automaton()
         self.unknown = worst - UNKNOWN_PENALTY
-        self.of_id = {i: b for b, i in self.byte_ids.items()}
+        of_id = {i: b for b, i in self.byte_ids.items()}
+        self.spelled = [bytes([of_id[i]]) if i in of_id else p.encode("utf-8") for i, p in enumerate(self.pieces)]
         self.inner = inner
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
 
     def best_path(self, text: str) -> list[int]:
         """Ids of the segmentation of marked text with the highest sum of scores; of equal ones, at each end the longest last piece."""
         n = len(text)
-        best = [0.0] + [None] * n
-        back: list[tuple[int, int] | None] = [None] * (n + 1)
-        single_from = 0
-
-        def unknown(end: int) -> None:
-            # Only where no piece is that character by itself.
-            score = best[end - 1] + self.unknown
-            if best[end] is None or score > best[end]:
-                best[end], back[end] = score, (-1, end - 1)
-
-        at = 0
-        lone = False
-        for last, (i, size, score) in self.automaton.iter(text):
-            end = last + 1
-            while at < end:
-                if at and not lone:
-                    unknown(at)
-                at, lone = at + 1, False
-            start = end - size
-            lone |= size == 1
-            total = best[start] + score
-            if best[end] is None or total > best[end]:
-                best[end], back[end] = total, (i, start)
-        while at <= n:
-            if at and not lone:
-                unknown(at)
-            at, lone = at + 1, False
+        best = [0.0] + [float("-inf")] * n
+        unknown = (1, self.unknown, -1)
+        last = [unknown] * (n + 1)
+        if self.single.issuperset(text):
+            for end, piece in self.automaton.iter(text):
+                end += 1
+                total = best[end - piece[0]] + piece[1]
+                if total > best[end]:
+                    best[end], last[end] = total, piece
+        else:
+            # A character that is no piece by itself may also stand alone, as unknown.
+            ending: list[list[tuple[int, float, int]]] = [[] for _ in range(n + 1)]
+            for end, piece in self.automaton.iter(text):
+                ending[end + 1].append(piece)
+            for end in range(1, n + 1):
+                if text[end - 1] not in self.single:
+                    ending[end].append(unknown)
+                for piece in ending[end]:
+                    total = best[end - piece[0]] + piece[1]
+                    if total > best[end]:
+                        best[end], last[end] = total, piece
         ids: list[int] = []
         end = n
         while end:
-            i, start = back[end]
+            size, _, i = last[end]
             if i < 0:
-                raw = text[start:end].encode("utf-8", "surrogatepass")
-                ids.extend(self.byte_ids.get(b, 0) for b in reversed(raw))
+                ids.extend(self.byte_ids.get(b, 0) for b in reversed(text[end - 1].encode("utf-8", "surrogatepass")))
             else:
                 ids.append(i)
-            end = start
+            end -= size
         ids.reverse()
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text. No piece goes on into the next word (marks and what follows them),
+    def _word(self, word: str) -> bytes:
+        """int32 ids of a word, its marks in front; kept for the next time."""
+        found = array("i", self.best_path(word)).tobytes()
+        if len(self.cache) >= CACHED_WORDS:
+            self.cache.clear()
+        if len(word) <= 64:
+            self.cache[word] = found
+        return found
+
+    def encode(self, text: str) -> np.ndarray:
+        """int32 ids of a text. No piece goes on into the next word (marks and what follows them),
         so words are encoded one by one, repeated ones once; if some piece does, the text is one word."""
         if not text:
-            return []
+            return np.empty(0, np.int32)
         marked = SPACE + text.replace(" ", SPACE)
         if self.inner:
-            return self.best_path(marked)
-        ids: list[int] = []
-        cache = self.cache
-        for word in _words(marked):
-            found = cache.get(word)
-            if found is None:
-                found = self.best_path(word)
-                if len(cache) >= CACHED_WORDS:
-                    cache.clear()
-                if len(word) <= 64:
-                    cache[word] = found
-            ids += found
-        return ids
-
-    def decode(self, ids: list[int]) -> str:
-        parts: list[bytes] = []
-        for i in ids:
-            parts.append(bytes([self.of_id[i]]) if i in self.of_id else self.pieces[i].encode("utf-8"))
-        text = b"".join(parts).decode("utf-8", "surrogatepass").replace(SPACE, " ")
+            return np.array(self.best_path(marked), np.int32)
+        words = _WORD.findall(marked)
+        found = list(map(self.cache.get, words))
+        if None in found:
+            found = [self._word(w) if f is None else f for w, f in zip(words, found)]
+        return np.frombuffer(b"".join(found), np.int32)
+
+    def decode(self, ids: np.ndarray) -> str:
+        text = b"".join(map(self.spelled.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
 
-def _words(marked: str) -> Iterator[str]:
-    """Runs of marks together with what follows them up to the next mark."""
-    held = ""
-    for part in marked.split(SPACE)[1:]:
-        held += SPACE
-        if part:
-            yield held + part
-            held = ""
-    if held:
-        yield held
+#: Runs of marks together with what follows them up to the next mark.
+_WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
 _MODELS: dict[str, PieceModel] = {}
@@ -167,7 +156,7 @@ def encode_texts(docs: DataFrame, kept: list[str], vocabulary: str = VOCABULARY,
         model = load(vocabulary)
         for batch in by_bytes(batches, text):
             values = batch.column(text).to_pylist()
-            ids = lists([np.array(model.encode(v or ""), np.int32) for v in values], pa.int32())
+            ids = lists([model.encode(v or "") for v in values], pa.int32())
             if batch.column(text).null_count:
                 ids = pa.array([None if v is None else i for v, i in zip(values, ids.to_pylist())], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), ids], [*kept, "ids"])
@@ -186,7 +175,7 @@ def decode_ids(encoded: DataFrame, kept: list[str], vocabulary: str = VOCABULARY
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [None if v is None else model.decode(v) for v in part.column(ids).to_pylist()]
+                texts = [model.decode(v.values.to_numpy()) if v.is_valid else None for v in part.column(ids)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
 
     return encoded.select(*(F.col(f"`{c}`") for c in wanted)).mapInArrow(decode, ", ".join([*fields, "text string"]))
