@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.errors import IllegalArgumentException
@@ -22,13 +23,37 @@ def check_pattern(spark: SparkSession, pattern: str) -> None:
         raise ValueError(f"Invalid regex pattern: {error}") from None
 
 
+#: A literal, or literals to choose from, then anything, then the rest.
+_LITERALS_FIRST = re.compile(r"([\w -]+|\([\w -]+(?:\|[\w -]+)*\))\.\*([^|]+)")
+
+
+def one_pass_form(pattern: str) -> str | None:
+    """A pattern that finds the same lines as ``pattern`` in time that follows the line, or None.
+
+    ``(the|und).*[0-9]`` tries the rest of the line again for each of its words.
+    Where the words are equally long, the first one will do: what another reaches,
+    it reaches too. This holds within a line only.
+    """
+    if not (found := _LITERALS_FIRST.fullmatch(pattern)):
+        return None
+    first, rest = found.groups()
+    if rest[0] in "?+*{" or len({len(w) for w in first.strip("()").split("|")}) > 1:
+        return None
+    return f"^(?>.*?{first}).*{rest}"
+
+
 def matches(value: Column, pattern: str | None, ignore_case: bool = False) -> Column:
     """Is the pattern found anywhere in the value? Without a pattern every value passes.
 
     A line is matched without its newline, so ``$`` is the end of the line. Bytes
     that are not UTF-8 are matched as replacement characters; the value is untouched.
     """
-    return F.lit(True) if pattern is None else value.rlike(java_pattern(pattern, ignore_case))
+    if pattern is None:
+        return F.lit(True)
+    found = value.rlike(java_pattern(pattern, ignore_case))
+    if (quick := one_pass_form(pattern)) is None:
+        return found
+    return F.when(value.contains("\n"), found).otherwise(value.rlike(java_pattern(quick, ignore_case)))
 
 
 def matches_any(value: Column, patterns: list[str]) -> Column:

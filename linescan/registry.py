@@ -55,7 +55,8 @@ PATTERN = "(the|und).*[0-9]"
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_source.explode_lines(table(spark, sf_dir, "documents"), "text", "doc_id", "source", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return line_source.explode_lines(line_source.spread(docs), "text", "doc_id", "source", "lang")
 
 
 def keyed_events(spark: SparkSession, sf_dir: str) -> DataFrame:

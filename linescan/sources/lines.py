@@ -63,6 +63,17 @@ def with_source(lines: DataFrame, root: str, bucket: str | None = None) -> DataF
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out evenly if it comes in fewer partitions than tasks can run at once.
+
+    A small table in one row group is one task, whatever is done with each row; a
+    large one has partitions enough and is left alone.
+    """
+    spark = df.sparkSession
+    tasks = spark.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df._jdf.rdd().getNumPartitions() < tasks else df
+
+
 def explode_lines(df: DataFrame, text: str, *kept: str) -> DataFrame:
     """(kept columns, line_no from 0, value): the lines of a text column.
 

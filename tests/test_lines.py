@@ -5,7 +5,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from linescan.functions import delivery
-from linescan.functions.matching import check_pattern, matches
+from linescan.functions.matching import check_pattern, java_pattern, matches, one_pass_form
 from linescan.operators import catalog as objects
 from linescan.operators.batches import pack_batches
 from linescan.plans.search import match_lines
@@ -115,6 +115,20 @@ def test_matching(spark):
     assert lines.where(matches(F.col("value"), None)).count() == 8
 
 
+def test_one_pass_forms(spark):
+    import random
+
+    assert one_pass_form("(the|und).*[0-9]") == "^(?>.*?(the|und)).*[0-9]" and one_pass_form("ab.*c$") == "^(?>.*?ab).*c$"
+    for other in ("(the|a).*x", "a.*b|c", "a.*?b", "a.*", "x+.*y", "[ab].*c", "a|b.*c"):
+        assert one_pass_form(other) is None, other
+    rng = random.Random(0)
+    lines = spark.createDataFrame([("".join(rng.choice(["ab", "a", "b", "AB", "c", "1", "\n", "é"]) for _ in range(rng.randint(0, 9))),) for _ in range(3000)], "value string")
+    for pattern in ("(ab|ba).*1", "ab.*c$", "a.*b.*1", r"ab.*\d[^c]"):
+        for fold in (False, True):
+            got = lines.select(matches(F.col("value"), pattern, fold).alias("a"), F.col("value").rlike(java_pattern(pattern, fold)).alias("b")).collect()
+            assert all(r.a == r.b for r in got) and any(r.a for r in got)
+
+
 def test_explode_lines(spark):
     docs = spark.createDataFrame([(1, "a\nb\n"), (2, "a\n\nb"), (3, ""), (4, None), (5, "\n"), (6, "x\r\ny")], "id int, t string")
     got = sorted((r.id, r.line_no, r.value) for r in explode_lines(docs, "t", "id").collect())
