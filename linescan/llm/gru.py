@@ -23,14 +23,14 @@ def char_ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     begins = np.cumsum(sizes) - sizes
     left = np.repeat(begins + sizes, sizes) - np.arange(len(codes))  # bytes from here to the word's end
     found, owners = [], []
-    owner = np.repeat(np.arange(len(words)), sizes)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     for n in CHAR_ORDERS:
         rolled = np.zeros(max(0, len(codes) - n + 1), np.uint32)
         for i in range(n):
             rolled = (rolled + codes[i : i + len(rolled)] + np.uint32(1)) * np.uint32(0x9E3779B1)
         inside = left[: len(rolled)] >= n
         key = (rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - CHAR_BUCKETS.bit_length() + 1)
-        found.append(key[inside].astype(np.int64))
+        found.append(key[inside].astype(np.int32))
         owners.append(owner[: len(rolled)][inside])
     owners, found = np.concatenate(owners), np.concatenate(found)
     order = np.argsort(owners, kind="stable")
@@ -93,8 +93,14 @@ def _run(proj: np.ndarray, mask: np.ndarray, U: np.ndarray, backward: bool, stor
     return states, kept
 
 
-def word_inputs(p: dict[str, np.ndarray], word_ids: np.ndarray, chars: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return np.concatenate([p["word"][word_ids], segment_means(p["char"][chars], offsets)], axis=1)
+def word_inputs(p: dict[str, np.ndarray], word_ids: np.ndarray, chars: np.ndarray, offsets: np.ndarray, block: int = 8192) -> np.ndarray:
+    """Inputs of words, a block at a time, since an embedding for each of all their n-grams would be many times as large."""
+    out = np.empty((len(word_ids), WORD_DIM + CHAR_DIM), p["char"].dtype)
+    out[:, :WORD_DIM] = p["word"][word_ids]
+    for at in range(0, len(word_ids), block):
+        own = offsets[at : at + block + 1]
+        out[at : at + block, WORD_DIM:] = segment_means(p["char"][chars[own[0] : own[-1]]], own - own[0])
+    return out
 
 
 def forward(p: dict[str, np.ndarray], inputs: np.ndarray, windows: np.ndarray, store: bool = False):

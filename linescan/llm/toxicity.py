@@ -7,7 +7,6 @@ its highest window.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,7 +49,7 @@ def windows_over(ids: np.ndarray) -> np.ndarray:
     return padded[starts[:, None] + np.arange(WINDOW)]
 
 
-def window_logits(parameters: dict[str, np.ndarray], inputs: np.ndarray, windows: np.ndarray, most: int = 4096) -> np.ndarray:
+def window_logits(parameters: dict[str, np.ndarray], inputs: np.ndarray, windows: np.ndarray, most: int = 2048) -> np.ndarray:
     return np.concatenate([gru.forward(parameters, inputs, windows[a : a + most]) for a in range(0, len(windows), most)])
 
 
@@ -119,21 +118,25 @@ def fit(rows: list[tuple[str, int]], share: float, epochs: int = EPOCHS, seed: i
         model = ToxicityModel(gru.new_parameters(1), {}, 0.0, 8.0 if kinds == {1} else -8.0)
         model.slope = 1e-9
         return model
-    split = [words_of(t) for t, _ in rows]
+    place: dict[str, int] = {}
+    split = [np.array([place.setdefault(w, len(place)) for w in words_of(t)], np.int32) for t, _ in rows]
     order = rng.permutation(len(rows))
     aside = set(order[::5].tolist())
-    counts = Counter(w for i, ws in enumerate(split) if i not in aside for w in set(ws))
-    known = [w for w, n in counts.most_common(MOST_WORDS) if n >= LEAST_COUNT]
+    words = list(place)
+    counts = np.zeros(len(words), np.int64)
+    for i, ids in enumerate(split):
+        if i not in aside:
+            counts[np.unique(ids)] += 1
+    by_count = np.argsort(-counts, kind="stable")[:MOST_WORDS]
+    known = [words[i] for i in by_count if counts[i] >= LEAST_COUNT]
     model = ToxicityModel(gru.new_parameters(len(known) + 1, seed), {w: i + 1 for i, w in enumerate(known)})
-    p, train = model.parameters, [i for i in order.tolist() if i not in aside and split[i]]
+    p, train = model.parameters, [i for i in order.tolist() if i not in aside and len(split[i])]
     if {rows[i][1] for i in train} != {0, 1}:
         return fit([], share)
-    place: dict[str, int] = {}
-    docs = [windows_over(np.array([place.setdefault(w, len(place)) for w in split[i]], np.int64)) for i in train]
+    docs = [windows_over(split[i]) for i in train]
     kinds_of = np.array([rows[i][1] for i in train])
     owner = np.repeat(np.arange(len(train)), [len(d) for d in docs])
     windows, kind = np.concatenate(docs), kinds_of[owner]
-    words = list(place)
     word_ids = np.array([model.vocabulary.get(w, 0) for w in words], np.int64)
     chars, offsets = gru.char_ngrams(words)
     p["word"][:, 0], p["char"][:, 0] = first_evidence(docs, kinds_of, word_ids, len(known) + 1, chars, offsets)
