@@ -1,0 +1,29 @@
+"""What becomes of batches, as tables over a delivery log."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from linescan.functions.delivery import classify_response
+
+
+def until_fatal(log: DataFrame, task: str, order: str, status: str = "status") -> DataFrame:
+    """``log`` plus outcome: sent, dropped, or stopped for what a task had left when it met a fatal answer.
+
+    Each task sends in ``order`` and stops for itself; the batch that met the fatal answer is dropped.
+    """
+    kind = classify_response(F.col(status))
+    before = Window.partitionBy(task).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    stopped = F.coalesce(F.max((kind == "fatal").cast("int")).over(before), F.lit(0)) == 1
+    return log.withColumn("outcome", F.when(stopped, "stopped").when(kind == "ok", "sent").otherwise("dropped"))
+
+
+def paced(log: DataFrame, task: str, order: str, size: str, rate: float, burst: float) -> DataFrame:
+    """``log`` plus earliest, the seconds from a task's start before which a batch may not be sent.
+
+    A task may send ``burst`` bytes at once and ``rate`` bytes a second; a batch
+    waits until the bytes up to and with it fit.
+    """
+    upto = Window.partitionBy(task).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return log.withColumn("earliest", F.greatest(F.lit(0.0), (F.sum(size).over(upto) - burst) / rate))

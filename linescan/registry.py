@@ -14,6 +14,7 @@ from linescan.functions.layout import Bucket, check_buckets
 from linescan.functions.matching import matches
 from linescan.operators import batches, summary
 from linescan.operators import catalog as objects
+from linescan.operators import delivery as delivery_log
 from linescan.plans.search import match_lines
 from linescan.session import scratch
 from linescan.sources import lines as line_source
@@ -443,6 +444,21 @@ def f9(spark, sf_dir):
     return _log(spark, sf_dir).agg(F.count_if(ok).alias("sent"), F.count_if(~ok).alias("dropped"), F.sum(F.when(ok, F.col("n"))).alias("bytes"))
 
 
+@query("f10_fatal_abort", f"""WITH {LOG_SQL}, k AS (SELECT event_id, {CLASS_SQL} AS class FROM log), o AS (
+  SELECT e.user_id % 10 AS task, class, coalesce(max(CAST(class = 'fatal' AS INT)) OVER (PARTITION BY e.user_id % 10 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM k JOIN events e USING (event_id)
+) SELECT task, CASE WHEN stopped = 1 THEN 'stopped' WHEN class = 'ok' THEN 'sent' ELSE 'dropped' END AS outcome, count(*) AS n FROM o GROUP BY ALL""")
+def f10(spark, sf_dir):
+    tasks = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 10).alias("task"))
+    log = _log(spark, sf_dir).join(tasks, "event_id")
+    return delivery_log.until_fatal(log, "task", "event_id").groupBy("task", "outcome").agg(F.count("*").alias("n"))
+
+
+@query("f11_max_rate", "SELECT event_id, greatest(0.0, (sum(strlen(props)) OVER (PARTITION BY user_id ORDER BY event_id) - 64) / CAST(16 AS DOUBLE)) AS earliest FROM events")
+def f11(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select("event_id", "user_id", F.octet_length("props").alias("n"))
+    return delivery_log.paced(log, "user_id", "event_id", "n", 16.0, 64.0).select("event_id", "earliest")
+
+
 ERRORS_SQL = "['AccessDenied', 'slow down', 'error NoSuchBucket: x', 'timeout', '', 'ExpiredTokenException'][user_id % 6 + 1] || ' at ' || event_type"
 
 
@@ -470,3 +486,13 @@ def g2(spark, sf_dir):
     found = streams.search_stream(streams.line_stream(spark, root, max_bytes=100_000), None)
     streams.to_table(found, out, scratch(spark, "limited-state")).awaitTermination()
     return _measures(spark.read.schema("value string, dt string, hour string").parquet(out))
+
+
+@query("g3_progress", f"WITH {HALF_DAYS_SQL} SELECT count(*) AS input_rows, count(*) FILTER (regexp_matches(value, '[13579]\\}}')) AS matches FROM half")
+def g3(spark, sf_dir):
+    root, out = _hour_tree(spark, sf_dir), scratch(spark, "watched")
+    found = streams.search_stream(streams.line_stream(spark, root, max_files=16), r"[13579]\}")
+    run = streams.to_table(found, out, scratch(spark, "watched-state"))
+    run.awaitTermination()
+    progress = streams.progress_table(spark, run)
+    return progress.agg(F.sum("input_rows").alias("input_rows"), F.sum("matches").alias("matches"))

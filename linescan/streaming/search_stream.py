@@ -55,6 +55,18 @@ def to_http(found: DataFrame, url: str, checkpoint: str, available_now: bool = T
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def progress_row(p) -> tuple:
+    """The measures of one trigger."""
+    seen = p.observedMetrics.get("matched")
+    matches, size = (seen["matches"], seen["plaintext_bytes"]) if seen else (None, None)
+    return p.name or str(p.id), p.batchId, p.numInputRows, matches, size, p.processedRowsPerSecond, p.batchDuration
+
+
+def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """The measures of a query's latest triggers (spark.sql.streaming.numRecentProgressUpdates of them)."""
+    return spark.createDataFrame([progress_row(p) for p in query.recentProgress], PROGRESS_SCHEMA)
+
+
 class ProgressRows(StreamingQueryListener):
     """Keeps the measures of the latest triggers: rows in, matches, bytes, rates."""
 
@@ -65,11 +77,7 @@ class ProgressRows(StreamingQueryListener):
         pass
 
     def onQueryProgress(self, event) -> None:
-        p = event.progress
-        seen = p.observedMetrics.get("matched")
-        self.rows.append(
-            (p.name or str(p.id), p.batchId, p.numInputRows, seen["matches"] if seen else None, seen["plaintext_bytes"] if seen else None, p.processedRowsPerSecond, p.batchDuration)
-        )
+        self.rows.append(progress_row(event.progress))
 
     def onQueryIdle(self, event) -> None:
         pass
