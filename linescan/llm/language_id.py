@@ -132,7 +132,7 @@ def sample_features(docs: DataFrame, per_language: int) -> tuple[list[str], list
 
     rows = few.mapInArrow(features, "lang string, code long, buckets array<int>, counts array<int>").toArrow().sort_by([("code", "ascending"), ("lang", "ascending")])
     langs = rows.column("lang").to_pylist()
-    vectors = [(b.values.to_numpy().astype(np.int64), c.values.to_numpy()) for b, c in zip(rows.column("buckets"), rows.column("counts"))]  # at most BUCKETS each
+    vectors = [(b.values.to_numpy(), c.values.to_numpy()) for b, c in zip(rows.column("buckets"), rows.column("counts"))]
     some = [i for i, (b, _) in enumerate(vectors) if len(b)]
     return [langs[i] for i in some], [vectors[i] for i in some]
 
@@ -146,7 +146,7 @@ def fit_ftrl(model: LanguageModel, vectors: list[tuple[np.ndarray, np.ndarray]],
         shrunk = np.sign(z[at]) * np.maximum(np.abs(z[at]) - L1, 0)
         return -shrunk / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
 
-    inputs = [(np.append(b, BUCKETS), np.append(model.vector(b, c), 1.0)) for b, c in vectors]
+    inputs = [(np.append(b, np.int32(BUCKETS)), np.append(model.vector(b, c), 1.0).astype(np.float32)) for b, c in vectors]
     rng = np.random.default_rng(0)
     for _ in range(epochs):
         for i in rng.permutation(len(inputs)):

@@ -17,6 +17,7 @@ QUERIES = {
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": jaccard.ORACLE_SQL,
     "op5_voronoi_top_k": voronoi.ORACLE_SQL,
     "op6_secret_scans": secrets_scan.ORACLE_SQL,
     "op7_url_filters": url_lists.ORACLE_SQL,
