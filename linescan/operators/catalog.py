@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +14,8 @@ MOST_LENGTHS = 16
 
 def prefix_grid(hours: DataFrame, buckets: list[Bucket]) -> DataFrame:
     """(bucket, prefix, dt, hour): every bucket at every hour of ``hours`` (dt, hour)."""
-    rows = [hours.select(F.lit(b.name).alias("bucket"), b.prefix(F.col("dt"), F.col("hour")).alias("prefix"), "dt", "hour") for b in check_buckets(buckets)]
-    return reduce(DataFrame.unionByName, rows)
+    each = [F.struct(F.lit(b.name).alias("bucket"), b.prefix(F.col("dt"), F.col("hour")).alias("prefix")) for b in check_buckets(buckets)]
+    return hours.select(F.explode(F.array(*each)).alias("g"), "dt", "hour").select("g.bucket", "g.prefix", "dt", "hour")
 
 
 def select_prefixes(catalog: DataFrame, grid: DataFrame, distinct: bool = False, boundary: bool = False) -> DataFrame:

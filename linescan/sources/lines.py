@@ -79,6 +79,6 @@ def explode_lines(df: DataFrame, text: str, *kept: str) -> DataFrame:
 
     The piece behind a final newline is no line. A null or empty text has none.
     """
-    pieces = F.split(F.col(text), "\n")
-    n = F.size(pieces) - F.when(F.element_at(pieces, -1) == "", 1).otherwise(0)
-    return df.select(*kept, F.posexplode(F.slice(pieces, F.lit(1), n)).alias("line_no", "value"))
+    cut = df.select(*kept, F.split(F.col(text), "\n").alias("_pieces"))  # a column, so that it is split once
+    n = F.size("_pieces") - F.when(F.element_at("_pieces", -1) == "", 1).otherwise(0)
+    return cut.select(*kept, F.posexplode(F.slice("_pieces", F.lit(1), n)).alias("line_no", "value"))
