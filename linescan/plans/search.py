@@ -15,7 +15,7 @@ from linescan.operators import catalog as objects
 from linescan.operators import summary
 from linescan.sources.catalog import list_objects
 from linescan.sources.http_lines import delivery_stats, write_http
-from linescan.sources.lines import read_lines, with_source
+from linescan.sources.lines import literal_path, read_lines, with_source
 from linescan.sources.zstd_lines import write_lines
 
 
@@ -56,7 +56,7 @@ def search(
     for bucket in buckets:
         root = roots[bucket.name].rstrip("/")
         own = chosen.where(F.col("bucket") == bucket.name)
-        paths = [f"{root}/{r.key}" for r in own.select("key").distinct().toLocalIterator()]
+        paths = [f"{root}/{literal_path(r.key)}" for r in own.select("key").distinct().toLocalIterator()]
         if not paths:
             continue
         lines = with_source(read_lines(spark, paths, skip_bad), root, bucket.name)

@@ -7,6 +7,8 @@ it. Corrupt and missing files fail the job unless told otherwise.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def _reader(spark: SparkSession, skip_bad: bool):
     return reader.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True) if skip_bad else reader
 
 
+def literal_path(path: str) -> str:
+    """The path as a pattern that only it matches."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def read_lines(spark: SparkSession, paths: str | list[str], skip_bad: bool = False) -> DataFrame:
     """(value) of all files below the paths."""
     return _reader(spark, skip_bad).option("recursiveFileLookup", True).text(paths)
@@ -53,7 +60,8 @@ def read_prefixes(spark: SparkSession, root: str, prefixes: list[str], skip_bad:
 def with_source(lines: DataFrame, root: str, bucket: str | None = None) -> DataFrame:
     """``lines`` plus bucket, key, size and last_modified of the file of each line."""
     base = root.split("://", 1)[-1].rstrip("/").removeprefix("file:")
-    path = F.col("_metadata.file_path")
+    # The path is a URI, in which a plus sign stands for itself.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return lines.select(
         *lines.columns,
         F.lit(bucket if bucket is not None else base.rsplit("/", 1)[-1]).alias("bucket"),

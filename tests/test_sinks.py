@@ -151,6 +151,15 @@ def test_whole_search(spark, tmp_path, server):
         search(spark, **query | {"start": datetime(2020, 1, 1), "end": datetime(2020, 1, 1)})
 
 
+def test_odd_names(spark, tmp_path):
+    folder = tmp_path / "in" / "logs" / "dt=20240315" / "hour=08"
+    folder.mkdir(parents=True)
+    for name in ("a b+c%20.txt", "x{1,2}[3].txt", "plain.txt"):
+        (folder / name).write_text(name + "\n")
+    found = search(spark, {"b": str(tmp_path / "in")}, [Bucket("b", BUCKET.path)], RANGE["start"], RANGE["start"]).collect()
+    assert {r.value: r.key.rsplit("/", 1)[-1] for r in found} == {n: n for n in ("a b+c%20.txt", "x{1,2}[3].txt", "plain.txt")}
+
+
 def test_streams(spark, tmp_path, server):
     root = hour_tree(tmp_path / "in") + "/logs"
     rows = streams.ProgressRows()
