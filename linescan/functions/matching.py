@@ -25,6 +25,7 @@ def check_pattern(spark: SparkSession, pattern: str) -> None:
 
 #: A literal, or literals to choose from, then anything, then the rest.
 _LITERALS_FIRST = re.compile(r"([\w -]+|\([\w -]+(?:\|[\w -]+)*\))\.\*([^|]+)")
+_BACK_REFERENCE = re.compile(r"\\[1-9k]")
 
 
 def one_pass_form(pattern: str) -> str | None:
@@ -32,13 +33,16 @@ def one_pass_form(pattern: str) -> str | None:
 
     ``(the|und).*[0-9]`` tries the rest of the line again for each of its words.
     Where the words are equally long, the first one will do: what another reaches,
-    it reaches too. This holds within a line only.
+    it reaches too. This holds within a line only, and only if the rest does not
+    refer back to the word that was found.
     """
     if not (found := _LITERALS_FIRST.fullmatch(pattern)):
         return None
     first, rest = found.groups()
     if rest[0] in "?+*{" or len({len(w) for w in first.strip("()").split("|")}) > 1:
         return None
+    if first[0] == "(" and _BACK_REFERENCE.search(rest):
+        return None
     return f"^(?>.*?{first}).*{rest}"
 
 

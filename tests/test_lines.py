@@ -129,6 +129,18 @@ def test_one_pass_forms(spark):
             assert all(r.a == r.b for r in got) and any(r.a for r in got)
 
 
+def test_back_references_are_no_one_pass_forms(spark):
+    for pattern in (r"(the|und).*\1", r"(GET|PUT).*x\1", r"(ab|ba).*(?<w>c)\k<w>"):
+        assert one_pass_form(pattern) is None, pattern
+    assert one_pass_form(r"ab.*(c)\1") == r"^(?>.*?ab).*(c)\1"  # its own group: any first word will do
+    texts = ["the und und", "und the und", "the und", "GET PUT xPUT", "GET PUT xDEL", "ab ba cc", "ab c", "THE und UND"]
+    lines = spark.createDataFrame([(t,) for t in texts], "value string")
+    found = lambda p, i=False: {r.value for r in match_lines(lines, p, i).collect()}
+    assert found(r"(the|und).*\1") == {"the und und", "und the und"}
+    assert found(r"(the|und).*\1", True) == {"the und und", "und the und", "THE und UND"}
+    assert found(r"(GET|PUT).*x\1") == {"GET PUT xPUT"} and found(r"(ab|ba).*(?<w>c)\k<w>") == {"ab ba cc"} == found(r"ab.*(c)\1")
+
+
 def test_explode_lines(spark):
     docs = spark.createDataFrame([(1, "a\nb\n"), (2, "a\n\nb"), (3, ""), (4, None), (5, "\n"), (6, "x\r\ny")], "id int, t string")
     got = sorted((r.id, r.line_no, r.value) for r in explode_lines(docs, "t", "id").collect())
