@@ -45,8 +45,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put a mark in place of every secret; texts without one stay as they are."""
-    found, _ = secrets_scan.scan_secrets(docs)
+    """Put a mark in place of every secret, private keys as a whole; texts without one stay as they are."""
+    found, _ = secrets_scan.scan_secrets(docs, rules=secrets_scan.WHOLE_RULES)
     hits = found.where(F.size("spans") > 0).select(F.col("blob").alias("hit"), "spans").dropDuplicates(["hit"])
     blob = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     marked = docs.join(hits, blob == F.col("hit"), "left")

@@ -24,6 +24,19 @@ RULES = [
 ]
 BASE_KINDS = ["assign", "access", "hex"]
 
+_HEADER, _END = (rf"-----{mark} [A-Z ]*PRIVATE KEY-----" for mark in ("BEGIN", "END"))
+#: What follows a header without an END line and is still the key: encryption headers, long runs of base64,
+#: lines of nothing else, and what comes behind an escaped line end. Line ends may be escaped or lost.
+_KEY_RUN = (
+    r"(?:\s*+(?:Proc-Type|DEK-Info):[^\n]*+"
+    r"|(?:\s|\\[nr])*+(?:[A-Za-z0-9+/]{16,}+=*+|[A-Za-z0-9+/]++=++)"
+    r"|[ \t\r]*+\n\s*+[A-Za-z0-9+/]++(?=[ \t\r]*+(?:\n|\z))"
+    r"|(?:\\[nr])++[A-Za-z0-9+/]++)*+"
+)
+#: The rules for redaction: here a private key is all from its header to its END line, not the header alone.
+#: RULES, whose header spans are rows of op6_secret_scans, would leave the key's body in the text.
+WHOLE_RULES = [r for r in RULES if r[0] != "pem"] + [("pem", 2, rf"{_HEADER}(?:(?:[^-]++|-(?!----))*+{_END}|{_KEY_RUN})", None)]
+
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 LEDGER_SCHEMA = f"blob string, kind string, version int, spans {SPANS}"
 
@@ -103,7 +116,10 @@ def span_string(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """``text`` with every span, overlapping ones as one, replaced by ``[SECRET]``."""
+    """``text`` with every span, overlapping ones as one, replaced by ``[SECRET]``.
+
+    Exactly the spans go; scan with WHOLE_RULES, or the bodies of private keys stay.
+    """
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:

@@ -1,3 +1,6 @@
+import random
+import string
+
 import pytest
 
 import corpus_pipeline as p
@@ -71,3 +74,34 @@ def test_edge_rows(spark):
     assert sorted((r.doc_id or 0) for r in by["near_duplicates"]) == [0, 0, 1, 2, 3]
     assert sorted(r.text or "" for r in by["secrets"]) == ["", "", "[SECRET] the of", "[SECRET] the of", "the of and", "the of and"]
     assert len(by["packing"]) == 6
+
+
+def test_no_key_body_survives(spark):
+    rng = random.Random(5)
+    body = ["".join(rng.choices(string.ascii_letters + string.digits + "+/", k=64)) for _ in range(20)] + ["Zm9vYmFyCg=="]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    lines = "\n".join(body)
+    crypt = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123-AB\n\n"
+    texts = {
+        f"see\n{head}\n{lines}\n{end}\nthe rest": "see\n[SECRET]\nthe rest",
+        f"see\r\n{head}\r\n{lines.replace(chr(10), chr(13) + chr(10))}\r\n{end}\r\nthe rest": "see\r\n[SECRET]\r\nthe rest",
+        f"{head}\n{crypt}{lines}\n{end} the rest": "[SECRET] the rest",
+        f'k = "{head}\\n{lines.replace(chr(10), chr(92) + "n")}\\n{end}" the rest': 'k = "[SECRET]" the rest',
+        f"> {head}\n> {lines.replace(chr(10), chr(10) + '> ')}\n> {end}\nthe rest": "> [SECRET]\nthe rest",
+        f"{head} {' '.join(body)} {end} the rest": "[SECRET] the rest",
+        # the END line is missing
+        f"see {head}\n{lines}\nthe rest of it": "see [SECRET]\nthe rest of it",
+        f"{head}\n{lines[:-5]}": "[SECRET]",
+        f"{head}\n{crypt}{lines}\nthe rest of it": "[SECRET]\nthe rest of it",
+        f'"{head}\\n{lines.replace(chr(10), chr(92) + "n")}" the rest': '"[SECRET]" the rest',
+        f"{head} {' '.join(body)} the rest": "[SECRET] the rest",
+        f"{head}\n{body[0]}\n{head}\n{lines}\n{end}\nthe rest": "[SECRET]\n[SECRET]\nthe rest",
+        f"{head} the rest": "[SECRET] the rest",
+        f"secret: {head}\n{lines}\n{end}\nthe rest": "[SECRET]\nthe rest",
+        f"{head}\n{lines * 300}\n{end}\nthe rest": "[SECRET]\nthe rest",  # 400 KB
+        f"{head}\n" * 1_000: "[SECRET]\n" * 1_000,
+    }
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in p.without_secrets(spark, docs, DATA).collect()}
+    for i, (before, after) in enumerate(texts.items()):
+        assert got[i].text == after and got[i].n_chars == len(after), before[:200]
