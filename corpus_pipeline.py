@@ -37,11 +37,24 @@ def low_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least doc_id of each class, and one row of it; those without a doc_id stay."""
-    classes = jaccard.jaccard_join(docs)
-    gone = classes.where("class_id <> doc_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    """Keep one row of each class, of its least doc_id; a doc_id with several texts is judged text by text.
+
+    Rows without a doc_id stay.
+    """
+    found = keep(jaccard.text_classes(docs).where("doc_id IS NOT NULL").select("doc_id", "cid", "root", "class_id"), "text-classes")
+    by_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts"), F.max("class_id").alias("class_id"))
+    several = keep(by_id.where("texts > 1").select("doc_id"), "several")
+    if several.count() <= jaccard.BROADCAST_ROWS:
+        several = F.broadcast(several)
+    named = docs.where("doc_id IS NOT NULL")
+    left = by_id.where("texts > 1 OR class_id <> doc_id").select("doc_id")
+    alone = named.join(left, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    # Of a class that holds several texts of its least doc_id, one of them stays.
+    best = found.join(several, "doc_id", "left_semi").where("class_id = doc_id").groupBy("doc_id", "root").agg(F.min("cid").alias("cid"))
+    texts = jaccard.with_class(named.join(several, "doc_id", "left_semi"))
+    judged = texts.join(best, ["doc_id", "cid"], "left_semi").dropDuplicates(["doc_id", "cid"])
+    rows = [part.select(*COLUMNS) for part in (alone, judged, docs.where("doc_id IS NULL"))]
+    return rows[0].union(rows[1]).union(rows[2])
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .batches import by_bytes, runs
 from .components import components
@@ -81,6 +82,17 @@ def class_shingles(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(sets_of, "cid binary, shingles binary")
 
 
+def with_class(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """``docs`` plus cid, the class id of each text."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            sets = shingle_sets(batch.column("text").to_pylist(), words)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_class_id(s) for s in sets], pa.binary())], [*batch.schema.names, "cid"])
+
+    return docs.mapInArrow(add, StructType([*docs.schema.fields, StructField("cid", BinaryType())]))
+
+
 def intersections(left: list[np.ndarray], right: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sizes of left[a] & right[b] for every pair (a, b)."""
     if len(a) <= 8 * (len(left) + len(right)):
@@ -176,6 +188,17 @@ def jaccard_join(
     doc_id is a document. Other columns are ignored. Links at the threshold are
     found with a probability of ``target`` at least; none is found wrongly.
     """
+    return text_classes(docs, threshold, words, trees, longest, target).select("doc_id", "class_id", "n_links")
+
+
+def text_classes(
+    docs: DataFrame, threshold: float = THRESHOLD, words: int = SHINGLE_WORDS, trees: int = TREES, longest: int = LONGEST_PREFIX,
+    target: float = TARGET_RECALL,
+) -> DataFrame:
+    """The rows of ``jaccard_join`` with cid, the text's set of shingles, and root, the cid that stands for its class.
+
+    Where a doc_id has several texts, unlike classes may have one class_id, but not one root.
+    """
     depth = prefix_length(threshold, trees, longest, target)
     hasher = MinHash(trees, depth)
     once = keep(class_features(docs, words, hasher).dropDuplicates(["doc_id", "cid"]), "labels")
@@ -188,12 +211,13 @@ def jaccard_join(
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     grouped = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v"))).withColumnRenamed("u", "cid")
     least = grouped.join(classes.select("cid", "rep"), "cid").groupBy("root").agg(F.min("rep").alias("class_id"))
-    linked = links.join(grouped, "cid").join(least, "root").select("cid", "links", "class_id")
+    linked = links.join(grouped, "cid").join(least, "root").select("cid", "links", "class_id", "root")
     info = classes.select("cid", "copies", "rep").join(linked, "cid", "left")
-    info = info.select("cid", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    info = info.select("cid", F.coalesce("root", "cid").alias("root"), F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return once.select("doc_id", "cid").join(info, "cid", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "cid", F.coalesce("root", "cid").alias("root"),
+    )
 
 
 def _units(classes: DataFrame) -> DataFrame:

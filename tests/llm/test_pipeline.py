@@ -105,3 +105,21 @@ def test_no_key_body_survives(spark):
     got = {r.doc_id: r for r in p.without_secrets(spark, docs, DATA).collect()}
     for i, (before, after) in enumerate(texts.items()):
         assert got[i].text == after and got[i].n_chars == len(after), before[:200]
+
+
+def test_repeated_ids_are_judged_text_by_text(spark):
+    long = lambda name: [f"{name}{i}" for i in range(100)]
+    text = lambda name, last="end": " ".join([*long(name), last])
+    rows = [
+        (1, text("a")), (5, text("a", "other")), (5, text("b")),  # one of 5's texts is a copy of 1's
+        (6, text("c")), (6, text("d")), (6, text("d")), (7, text("c")),  # 6 has two texts, one of them twice
+        (8, text("e")), (8, text("e", "other")), (9, text("e")),  # near copies under one id
+        (10, None), (10, text("f")), (10, text("a")), (11, None), (11, ""), (12, text("f")),
+        (None, text("g")), (None, text("a")),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in p.near_duplicates(spark, docs.repartition(3), DATA).collect()]
+    assert len([1 for i, t in got if i == 8 and t in (text("e"), text("e", "other"))]) == 1 and len([1 for i, t in got if i == 11 and not t]) == 1
+    rest = [(i, t) for i, t in got if i not in (8, 11)]
+    kept = [(1, text("a")), (5, text("b")), (6, text("c")), (6, text("d")), (10, None), (10, text("f")), (None, text("g")), (None, text("a"))]
+    assert sorted(rest, key=str) == sorted(kept, key=str)
