@@ -7,6 +7,7 @@ import pytest
 
 from linescan.llm import packing
 from tests.conftest import DATA
+from tests.llm.histogram import best_fit_rounds
 
 
 def check_places(rows, capacity):
@@ -38,7 +39,7 @@ def slow_best_fit(lengths, capacity):
 def test_rounds_are_as_good_as_one_by_one(seed):
     rng = np.random.default_rng(seed)
     lengths = rng.integers(1, [1025, 200, 40, 600, 1025, 5][seed], 700)
-    matches, opened = packing.best_fit_rounds(dict(Counter(lengths.tolist())), 1024)
+    matches, opened = best_fit_rounds(dict(Counter(lengths.tolist())), 1024)
     assert sum(m[2] - m[1] for m in matches) == 700
     assert math.ceil(lengths.sum() / 1024) <= opened <= slow_best_fit(lengths.tolist(), 1024) + 1
 
@@ -46,7 +47,7 @@ def test_rounds_are_as_good_as_one_by_one(seed):
 def test_number_of_matches_does_not_follow_the_data():
     rng = np.random.default_rng(1)
     few, many = ({i: int(rng.integers(1, top)) for i in range(1, 1025)} for top in (1000, 10**10))
-    assert len(packing.best_fit_rounds(many, 1024)[0]) < 2 * len(packing.best_fit_rounds(few, 1024)[0])
+    assert len(best_fit_rounds(many, 1024)[0]) < 2 * len(best_fit_rounds(few, 1024)[0])
 
 
 def test_cut():
@@ -88,3 +89,76 @@ def test_edge_rows(spark):
     assert packing.best_fit_packing(pieces.where("false")).count() == 0
     same = spark.range(5000).selectExpr("1 doc_id", "0 piece", "100L length")  # one row, thousands of times
     assert check_places(packing.best_fit_packing(same, 1000).collect(), 1000) == 500
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_spark_rounds_are_as_good_as_one_by_one(spark, seed):
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(1, [1025, 200, 40][seed], 700).tolist()
+    df = spark.createDataFrame([(i, n, "x") for i, n in enumerate(lengths)], "doc_id long, length int, pid string").repartition(7)
+    got = packing.best_fit_packing(df).collect()
+    assert sorted((r.doc_id, r.length, r.pid) for r in got) == [(i, n, "x") for i, n in enumerate(lengths)]
+    opened = check_places(got, 1024)
+    assert math.ceil(sum(lengths) / 1024) <= opened <= best_fit_rounds(dict(Counter(lengths)), 1024)[1] + 2
+
+
+def test_sweeps_within_and_between_ranges(spark, monkeypatch):
+    """However the ranges lie, each piece takes the smallest gap before it that is free."""
+    rng = np.random.default_rng(7)
+    for ranges in (1, 5, 40):
+        gaps, wanted = rng.integers(1, 60, 90).tolist(), rng.integers(1, 60, 110).tolist()
+        slots = spark.createDataFrame([(i, 0, g) for i, g in enumerate(gaps)], "seq long, slot int, size long")
+        left = spark.createDataFrame(list(enumerate(wanted)), "pid long, length long")
+        monkeypatch.setattr(packing, "RANGE_ROWS", 200 // ranges)
+        out = packing.between_ranges(packing.swept_ranges(slots, left, 200)).collect()
+        free, missed, total = sorted(gaps), 0, 0
+        for n in sorted(wanted, reverse=True):
+            fits = [g for g in free if g >= n]
+            missed += not fits
+            if fits:
+                free.remove(fits[0])
+                total += fits[0]
+        pairs = [(gaps[r.seq], wanted[r.pid]) for r in out if r.seq is not None]
+        assert len(out) == 110 and {r.pid for r in out} == set(range(110)) and all(g >= n for g, n in pairs)
+        assert len({r.seq for r in out if r.seq is not None}) == len(pairs) and sum(r.seq is None for r in out) == missed and sum(g for g, _ in pairs) == total
+
+
+def test_odd_lengths(spark):
+    for bad in (None, 0, 1001):
+        with pytest.raises(ValueError, match="lengths"):
+            packing.best_fit_packing(spark.createDataFrame([(1, 5), (2, bad)], "doc_id int, length int"), 1000)
+    full = spark.range(30).selectExpr("id doc_id", "10L length")
+    assert check_places(packing.best_fit_packing(full, 10).collect(), 10) == 30
+    ones = spark.range(300).selectExpr("id doc_id", "1L length")
+    assert check_places(packing.best_fit_packing(ones, 100).collect(), 100) == 3 and check_places(packing.best_fit_packing(ones, 1).collect(), 1) == 300
+
+
+def test_both_forms_of_the_vocabulary_agree():
+    import json
+    import random
+
+    import public_tokenizers
+
+    coder = packing.ByteBpe()
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        model = json.load(f)["model"]
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token != "<|endoftext|>"}
+    assert ranks == coder.quick._mergeable_ranks
+    merged = [ranks[bytes(byte_of[c] for c in "".join(m.split(" ") if isinstance(m, str) else m))] for m in model["merges"]]
+    assert merged == sorted(merged)  # so the least rank is the earliest merge
+    rng = random.Random(1)
+    bits = ["the", " ", "  ", "\n", "\t", "\r\n", "'ll", "é", "日本", "😀", "\u00a0", "\u3000", "\u200b", "12", "_", "<|endoftext|>", "\x00", "A", "."]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 20)))
+        assert coder.encode(text).tolist() == coder.whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_texts_that_the_quick_form_cannot_take(spark):
+    coder = packing.ByteBpe()
+    for text in (" " * 2_000_000, "a" + "\n" * 1_200_000 + "b", "x" * 300_000):
+        assert (coder.encode(text) == np.array(coder.whole.encode(text, add_special_tokens=False).ids)).all()
+    rows = packing.best_fit_packing(packing.token_pieces(spark.createDataFrame([(1, " " * 2_000_000), (2, "a")], "doc_id int, text string"))).collect()
+    assert sum(r.length for r in rows if r.doc_id == 1) == len(coder.whole.encode(" " * 2_000_000, add_special_tokens=False).ids) + 1
