@@ -30,7 +30,12 @@ _MAXVAL = re.compile(rb"(?:\s|#[^\n]*\n)+(\d+)")
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 as (rows, columns) or (rows, columns, 3); bitmaps as 0 and 255."""
+    """P1 to P6 as (rows, columns) or (rows, columns, 3); bitmaps as 0 and 255.
+
+    Samples are stretched to 8 bits, or to 16 if their greatest value is above
+    255; one above the greatest value is an error, as is a header that asks for
+    more samples than there are bytes.
+    """
     if not (head := _HEADER.match(data)):
         raise ValueError("not a Netpbm image")
     kind, width, height = (int(g) for g in head.groups())
@@ -39,8 +44,12 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         if not (m := _MAXVAL.match(data, at)):
             raise ValueError("no maximal value in a Netpbm image")
         most, at = int(m[1]), m.end()
+        if not 1 <= most <= 65535:
+            raise ValueError("the maximal value of a Netpbm image is out of range")
     channels = 3 if kind in (3, 6) else 1
     n = width * height * channels
+    if n > 8 * len(data):
+        raise ValueError("a Netpbm image is cut short")
     if kind == 1:
         bits = np.frombuffer(re.sub(rb"#[^\n]*|\s", b"", data[at:]), np.uint8)[:n]
         pixels = np.where(bits == ord("1"), 0, 255).astype(np.uint8)
@@ -49,11 +58,18 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         packed = np.frombuffer(data, np.uint8, row * height, at + 1).reshape(height, row)
         pixels = np.where(np.unpackbits(packed, axis=1)[:, :width], 0, 255).astype(np.uint8)
     elif kind in (2, 3):
-        pixels = np.array(re.sub(rb"#[^\n]*", b"", data[at:]).split()[:n], np.uint16 if most > 255 else np.uint8)
+        pixels = np.array([int(v) for v in re.sub(rb"#[^\n]*", b"", data[at:]).split()[:n]], object)
     else:
-        pixels = np.frombuffer(data, ">u2" if most > 255 else np.uint8, n, at + 1)
+        pixels = np.frombuffer(data, ">u2" if most > 255 else np.uint8, n, at + 1)  # whatever blank follows
     if pixels.size != n:
         raise ValueError("a Netpbm image is cut short")
+    if kind not in (1, 4):
+        if n and not 0 <= int(pixels.min()) <= int(pixels.max()) <= most:
+            raise ValueError("a sample of a Netpbm image is out of range")
+        top = 65535 if most > 255 else 255
+        pixels = pixels.astype(np.uint16 if most > 255 else np.uint8)
+        if most != top:
+            pixels = np.rint(pixels * (top / most)).astype(pixels.dtype)
     return pixels.reshape((height, width) if channels == 1 else (height, width, channels))
 
 
@@ -66,6 +82,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if packing != 0 or bits not in (1, 4, 8, 24, 32):
         raise ValueError("only uncompressed BMP images are read")
     rows, stride = abs(height), (width * bits + 31) // 32 * 4
+    if width < 0 or stride * rows > len(data):
+        raise ValueError("a BMP image is cut short")
     raw = np.frombuffer(data, np.uint8, stride * rows, offset).reshape(rows, stride)
     if height > 0:
         raw = raw[::-1]
@@ -167,7 +185,7 @@ def describe(data: bytes | None, side: int) -> tuple:
     """What is read back from one stored image; all null if it is null, empty or unreadable."""
     try:
         image = decode(data or b"")
-    except (ValueError, struct.error, IndexError):
+    except (ValueError, struct.error, IndexError, OverflowError):
         return (None,) * len(_ARROW)
     if not image.size:
         return (None,) * len(_ARROW)

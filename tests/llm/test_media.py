@@ -105,3 +105,19 @@ def test_empty_and_long_texts(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.monotonically_increasing_id().alias("i"), media.text_as_pgm(F.col("t")).alias("media"))
     got = [r.n_samples for r in media.with_media_features(df).orderBy("i").collect()]
     assert got == [64, 64, 64, 128, 3_000_000]
+
+
+def test_greatest_values():
+    assert media.decode(b"P2\n3 1\n15\n0 5 15").tolist() == [[0, 85, 255]]
+    assert media.decode(b"P5\n2 1\n1000\n" + np.array([500, 1000], ">u2").tobytes()).tolist() == [[32768, 65535]]
+
+
+def test_bad_images_have_null_features(spark):
+    huge = b"9" * 30
+    bad = [
+        b"P2\n1 1\n255\n300", b"P2\n1 1\n255\n-1", b"P2\n1 1\n255\nx", b"P2\n1 1\n255\n" + huge, b"P2\n1 1\n0\n0", b"P2\n1 1\n70000\n1", b"P5\n1 1\n10\n\x0b",
+        b"P5\n" + huge + b" " + huge + b"\n255\n", b"P5\n4000000000 4000000000\n255\nx", b"P4\n999999999 999999999\n", b"P1\n99999 99999\n1", b"P5\n0 0\n255\n", b"P5\n" + b"9" * 5000 + b" 1\n255\n",
+        b"BM" + b"\xff" * 52, b"BM" + b"\0" * 100, media.encode_bmp(np.zeros((3, 5), np.uint8))[:-1], bytes(range(256)),
+    ]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(bad)], "k int, media binary")
+    assert [r.k for r in media.with_media_features(df).collect() if r.n_samples is not None or r.dhash is not None or r.tile is not None] == []
