@@ -158,6 +158,15 @@ def _groups_of(vectors: DataFrame, pivots: np.ndarray, cells: dict[int, tuple[fl
     return vectors.select("rid", "vec_id", "x", "cell").mapInArrow(send, "rid long, vec_id long, x array<long>, cells array<int>")
 
 
+def far_apart(points: np.ndarray, n: int) -> list[int]:
+    """n of the points, each as far as can be from those before it."""
+    taken, far = [0], ((points - points[0]) ** 2).sum(1)
+    while len(taken) < min(n, len(points)):
+        taken.append(int(far.argmax()))
+        far = np.minimum(far, ((points - points[taken[-1]]) ** 2).sum(1))
+    return taken
+
+
 def chained(points: np.ndarray) -> list[int]:
     """The points in an order in which each is followed by the nearest one left."""
     left, order = list(range(1, len(points))), [0]
@@ -201,13 +210,14 @@ def top_k_join(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int | N
         return spark.createDataFrame([], result)
     width = max(width, 1)
     pivots = pivots or int(np.clip(np.sqrt(n), LEAST_PIVOTS, MOST_PIVOTS))
-    # Of the distinct vectors, those of least hash; a share of the rows holds enough of them, unless most rows are copies.
+    # Of the distinct vectors, four times as many of least hash; a share of the rows holds enough of them, unless most are copies.
     code = F.pmod(F.xxhash64("x"), F.lit(1 << 30))
-    few = rows.select("x").where(code <= int(min(1.0, 4 * pivots / n) * (1 << 30))).groupBy("x").agg(F.first(code).alias("code"))
-    chosen = few.orderBy("code", "x").limit(pivots).collect() or rows.select("x").limit(1).collect()
+    few = rows.select("x").where(code <= int(min(1.0, 8 * pivots / n) * (1 << 30))).groupBy("x").agg(F.first(code).alias("code"))
+    chosen = few.orderBy("code", "x").limit(4 * pivots).collect() or rows.select("x").limit(1).collect()
     points = np.zeros((len(chosen), width))
     for i, r in enumerate(chosen):
         points[i, : len(r.x)] = r.x
+    points = points[far_apart(points, pivots)]
     # By cell, so that what follows reads a cell's rows together; a large cell fills many ranges.
     assigned = keep(_assign(rows, points, width).repartitionByRange("cell", "rid").sortWithinPartitions("cell"), "cells")
     # k + 1 distances of each cell: as many numbers as pivots, times that.
