@@ -9,6 +9,8 @@ rule: pieces and matches alternate, so their lengths sum up to the starts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ _KEY_RUN = (
 WHOLE_RULES = [r for r in RULES if r[0] != "pem"] + [("pem", 2, rf"{_HEADER}(?:(?:[^-]++|-(?!----))*+{_END}|{_KEY_RUN})", None)]
 
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
+#: Arrays are folded in blocks of so many items, texts are cut in blocks of so many code points.
+FOLD_BLOCK, TEXT_BLOCK = 256, 1024
 LEDGER_SCHEMA = f"blob string, kind string, version int, spans {SPANS}"
 
 
@@ -45,11 +49,29 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it stands there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _folded(items: Column, state: Column, kind: str, step: Callable[[Column, Column], Column]) -> Column:
+    """Array of the states that ``step`` leaves behind blocks of items, the first state in front.
+
+    A state is (at, out); each block begins with an empty out, so that lists grow
+    by a block and not by all that came before: time follows the number of items.
+    """
+    blocks = _let(
+        items, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / FOLD_BLOCK).cast("int")), lambda b: F.slice(x, b * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK)))
+    )
+    fresh = lambda acc: F.struct(F.element_at(acc, -1)["at"].alias("at"), F.array().cast(kind).alias("out"))
+    begin = F.array(F.struct(state.cast("int").alias("at"), F.array().cast(kind).alias("out")))
+    return F.aggregate(blocks, begin, lambda acc, block: F.concat(acc, F.array(F.aggregate(block, fresh(acc), step))))
+
+
 def _spans(text: Column, found: Column, rank: int, rule: tuple) -> Column:
     """Spans of the matches ``found`` in ``text``, in code points, end exclusive."""
     kind, _, pattern, least = rule
     pieces = F.zip_with(F.split(text, pattern), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.char_length(x["p"])
@@ -58,9 +80,9 @@ def _spans(text: Column, found: Column, rank: int, rule: tuple) -> Column:
         if least:
             good &= F.char_length(F.regexp_extract(x["m"], pattern, least[0])) >= least[1]
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(pieces, begin, step, lambda a: a["spans"])).otherwise(F.array().cast(SPANS))
+    return F.when(F.size(found) > 0, F.flatten(_folded(pieces, F.lit(0), SPANS, step)["out"])).otherwise(F.array().cast(SPANS))
 
 
 def scan_blobs(blobs: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
@@ -85,23 +107,22 @@ def scan_secrets(versions: DataFrame, ledger: DataFrame | None = None, rules: li
     path; other columns are ignored. Null texts count as empty. Repeated rows
     and copies share a blob, which is scanned once, and each row gets its
     findings. ``ledger`` has blob, kind, version, spans; null means none.
-    Findings: doc_id, blob, spans (sorted by start, then order of rules).
+    Findings: doc_id, blob, spans (sorted by start, then order of rules). Whole
+    texts are scanned, in time that follows their length and the number of spans;
+    an empty text has no spans, and no rows give none. Null doc_ids are kept.
     """
     rows = versions.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
     asked = F.array(*(F.lit(r[0]) for r in rules))
+    blobs = rows.groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is None:
         known = None
-        pending = asked
-        blobs = rows.groupBy("blob").agg(F.first("text").alias("text"))
-        todo = blobs.withColumn("pending", pending)
+        todo = blobs.withColumn("pending", asked)
     else:
         current = F.create_map(*(F.lit(x) for r in rules for x in (r[0], r[1])))
         known = ledger.where(F.col("version") == current[F.col("kind")]).dropDuplicates(["blob", "kind"])
-        done = known.groupBy("blob").agg(F.collect_set("kind").alias("done"))
-        names = rows.select("blob").distinct().join(done, "blob", "left")
-        names = names.select("blob", F.array_except(asked, F.coalesce("done", F.array().cast("array<string>"))).alias("pending"))
-        unseen = names.where(F.size("pending") > 0)
-        todo = rows.join(unseen, "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("pending").alias("pending"))
+        done = known.groupBy("blob").agg(F.collect_set("kind").alias("done"))  # at most a kind for each rule
+        pending = F.array_except(asked, F.coalesce("done", F.array().cast("array<string>")))
+        todo = blobs.join(done, "blob", "left").select("blob", "text", pending.alias("pending")).where(F.size("pending") > 0)
     added = keep(scan_blobs(todo, rules), "ledger")
     ledger_now = added if known is None else added.unionByName(known.select(*added.columns))
     hits = ledger_now.where(F.size("spans") > 0).groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
@@ -116,25 +137,41 @@ def span_string(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """``text`` with every span, overlapping ones as one, replaced by ``[SECRET]``.
+    """``text`` with every span, overlapping ones as one, replaced by ``[SECRET]``; ``spans`` are sorted by start.
 
     Exactly the spans go; scan with WHOLE_RULES, or the bodies of private keys stay.
     """
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], gap, F.lit("[SECRET]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def cut_out(blocks: Column) -> Column:
+        def part(a: Column, z: Column) -> Column:
+            """Code points a to z of the text, from the blocks that hold them."""
+            first, last = (F.floor(x / TEXT_BLOCK).cast("int") for x in (a, z - 1))
+            held = F.when(first == last, F.element_at(blocks, first + 1)).otherwise(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""))
+            return F.when(z > a, F.substring(held, a - first * TEXT_BLOCK + 1, z - a)).otherwise("")
+
+        def step(acc: Column, s: Column) -> Column:
+            out = F.concat(acc["out"], F.array(part(acc["at"], s["start"]), F.lit("[SECRET]")))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], out).otherwise(acc["out"]).alias("out"))
+
+        def joined(states: Column) -> Column:
+            return F.concat(F.array_join(F.flatten(states["out"]), ""), part(F.element_at(states, -1)["at"], F.char_length(text)))
 
-    rest = lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, begin, step, rest)).otherwise(text)
+        return _let(_folded(spans, F.lit(0), "array<string>", step), joined)
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, _let(blocks, cut_out)).otherwise(text)
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of secrets in every text of ``documents``, scanned blob by blob into a new ledger."""
-    found, _ = scan_secrets(table(spark, sf_dir, "documents"))
+    """Spans of secrets in every text of ``documents``, scanned blob by blob into a ledger.
+
+    The documents arrive in two deliveries: the first one fills a new ledger, and
+    a scan of all of them then reads only the blobs that it lacks.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    first = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(True))
+    _, ledger = scan_secrets(docs.where(first))
+    found, _ = scan_secrets(docs, ledger)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin(BASE_KINDS))
     return found.select(

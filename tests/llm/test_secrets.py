@@ -60,3 +60,29 @@ def test_empty(spark):
     none = spark.createDataFrame([], "doc_id int, text string")
     found, added = s.scan_secrets(none)
     assert found.count() == 0 and added.count() == 0
+
+
+def test_dense_texts_take_linear_time(spark):
+    import time
+
+    dense = "".join(f"token=abcdefg{i}é " for i in range(100_000))
+    mixed = "".join(f"token=AKIA{'0' * 40}{i} \U0001f600" for i in range(3000)) + "x" * 5000 + "password:12345678"
+    docs = spark.createDataFrame([(1, dense), (2, mixed)], "doc_id int, text string")
+    began = time.monotonic()
+    found = s.scan_secrets(docs)[0].join(docs, "doc_id").select("doc_id", "text", "spans", s.redact(F.col("text"), F.col("spans")).alias("clean"))
+    got = {r.doc_id: r for r in found.collect()}
+    assert time.monotonic() - began < 40
+    assert len(got[1].spans) == 100_000 and got[1].clean == "[SECRET]é " * 100_000
+    for k in (1, 2):
+        assert [tuple(x) for x in got[k].spans] == brute(got[k].text)
+    assert got[2].clean == "[SECRET] \U0001f600" * 3000 + "x" * 5000 + "[SECRET]"
+
+
+def test_two_deliveries_and_one_agree(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts())] + [(None, "token=abcdefgh1"), (7, "token=abcdefgh1")], "doc_id int, text string")
+    rows = lambda found: sorted(map(str, found.select("doc_id", "blob", "spans").collect()))
+    whole, all_rows = s.scan_secrets(docs)
+    _, ledger = s.scan_secrets(docs.where("doc_id % 2 = 0"))
+    after, added = s.scan_secrets(docs, ledger)
+    assert rows(after) == rows(whole)
+    assert ledger.join(added, ["blob", "kind"]).count() == 0 and ledger.count() + added.count() == all_rows.count()
