@@ -13,34 +13,53 @@ from pyspark.sql import functions as F
 
 from .tables import table
 
-#: So many labels of a host and segments of a path make keys of their own. A host
-#: has at most 127 labels, so all suffixes are covered; a path has any number.
-MOST_LABELS = 127
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://"
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host of a URL, without user, port and final dot; null if there is none."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
-    host = F.regexp_replace(host, r"\.+$", "")
+    """Lower-case host of a URL, without user, port and final dot; null if there is none.
+
+    The user ends at the last ``@`` before the path. An address in brackets is
+    given without them, and what follows them is no part of it.
+    """
+    server = F.regexp_extract(F.regexp_extract(url, _SCHEME + r"([^/?#]*)", 1), r"([^@]*)$", 1)
+    bracketed = F.regexp_extract(server, r"^\[([^\[\]]*)\]", 1)
+    host = F.when(server.startswith("["), bracketed).otherwise(F.regexp_extract(server, r"^([^:\[\]]+)(?::.*)?$", 1))
+    host = F.regexp_replace(F.lower(host), r"\.+$", "")
     return F.when(host != "", host)
 
 
 def path_of(url: Column) -> Column:
     """Path of a URL without query and fragment, at least ``/``."""
-    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
+    path = F.regexp_extract(url, _SCHEME + r"[^/?#]*(/[^?#]*)", 1)
     return F.when(path != "", path).otherwise(F.lit("/"))
 
 
-def url_keys(url: Column) -> Column:
+def is_address(host: Column) -> Column:
+    """Is a host a numeric address, which has no suffixes?"""
+    return host.contains(":") | host.rlike(r"^[0-9]+(\.[0-9]+){3}$")
+
+
+def segments_of(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda s: s != "")
+
+
+def url_keys(url: Column, most_labels: int | None = None, most_segments: int | None = None) -> Column:
     """Everything a list may name a URL by, most general first: the host's suffixes of
-    two labels and more, then host and path up to each segment. Null without a host."""
-    host, path = host_of(url), path_of(url)
-    labels = F.split(host, r"\.")
-    n = F.least(F.size(labels), F.lit(MOST_LABELS))
-    suffixes = F.transform(
-        F.sequence(F.least(F.lit(2), n), n), lambda i: F.array_join(F.slice(labels, F.size(labels) - i + 1, i), ".")
-    )
-    segments = F.filter(F.split(path, "/"), lambda s: s != "")
+    two labels and more, then host and path up to each segment. Null without a host.
+
+    Of a numeric address only the whole is a key. ``most_labels`` and
+    ``most_segments`` leave out longer suffixes and paths, which a list without any
+    so long cannot name.
+    """
+    host = host_of(url)
+    labels = F.when(is_address(host), F.array(host)).otherwise(F.split(host, r"\."))
+    n = F.size(labels)
+    upto = n if most_labels is None else F.least(n, F.greatest(F.lit(most_labels), F.least(F.lit(2), n)))
+    suffixes = F.transform(F.sequence(F.least(F.lit(2), n), upto), lambda i: F.array_join(F.slice(labels, n - i + 1, i), "."))
+    segments = segments_of(path_of(url))
+    if most_segments is not None:
+        segments = F.slice(segments, 1, most_segments) if most_segments > 0 else F.array().cast("array<string>")
     prefixes = F.when(
         F.size(segments) > 0,
         F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/"))),
@@ -48,6 +67,15 @@ def url_keys(url: Column) -> Column:
     return F.when(host.isNotNull(), F.array_distinct(F.concat(suffixes, prefixes)))
 
 
+def deepest(entries: DataFrame) -> tuple[int, int]:
+    """The most labels of a host, and the most segments of a path, that any entry has: two numbers, whatever the list."""
+    path = F.instr("key", "/") > 0
+    labels = F.when(~path, F.size(F.split("key", r"\.")))
+    segments = F.when(path, F.size(segments_of(F.substring("key", F.instr("key", "/"), F.length("key")))))
+    found = entries.agg(F.coalesce(F.max(labels), F.lit(0)), F.coalesce(F.max(segments), F.lit(0))).first()
+    return found[0], found[1]
+
+
 def validity(entries: DataFrame) -> DataFrame:
     """list, key, valid_from, valid_to (null: still open) from entries (list, key, listed, since).
 
@@ -69,10 +97,12 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     one row for each distinct (page_id, url, fetched): n_matches (active
     entries), blocked, and the longest matching key with its list (ties: first
     in order) and the start of its interval. A null or hostless URL, or a null
-    moment, matches nothing. Intervals include their start, not their end.
+    moment, matches nothing. Intervals include their start, not their end. URLs may
+    have any number of labels and segments; those beyond the list's own are
+    not spelled out. Ties between entries of one key go to the first list in order.
     """
     rows = captures.select("page_id", "url", "fetched").distinct()
-    keyed = rows.where("fetched IS NOT NULL").select("page_id", "url", "fetched", F.explode(url_keys(F.col("url"))).alias("key"))
+    keyed = rows.where("fetched IS NOT NULL").select("page_id", "url", "fetched", F.explode(url_keys(F.col("url"), *deepest(entries))).alias("key"))
     spans = validity(entries)
     active = (F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
     hits = keyed.join(spans, "key").where(active)
@@ -96,8 +126,9 @@ def dated_entries(pages: DataFrame) -> DataFrame:
     A third of the hosts and a fifth of the first segments are listed at an hour
     that follows from the key, delisted 200 hours later, and some listed again.
     """
-    keys = pages.select(url_keys(F.col("url")).alias("k"), host_of(F.col("url")).alias("host"))
-    keys = keys.select(F.explode(F.filter("k", lambda k: (k == F.col("host")) | k.rlike("^[^/]+/[^/]+$"))).alias("key")).distinct()
+    host, first = host_of(F.col("url")), F.get(segments_of(path_of(F.col("url"))), 0)
+    keys = pages.select(host.alias("host"), first.alias("segment")).where("host IS NOT NULL")
+    keys = keys.select(F.explode(F.array("host", F.concat_ws("/", "host", "segment"))).alias("key")).distinct()
     code = F.conv(F.substring(F.sha2(F.col("key").cast("binary"), 256), 1, 8), 16, 10).cast("long")
     path = F.col("key").contains("/")
     listed = keys.withColumn("code", code).where((path & (F.col("code") % 5 == 0)) | (~path & (F.col("code") % 3 == 0)))
@@ -122,15 +153,18 @@ _KEYS = r"""
   SELECT *, CASE WHEN host IS NULL THEN [] ELSE list_distinct(
       list_transform(range(least(2, len(labels)), len(labels) + 1), lambda i: array_to_string(labels[len(labels) - i + 1:], '.'))
       || list_transform(range(1, len(segments) + 1), lambda i: host || '/' || array_to_string(segments[1:i], '/'))) END AS keys
-  FROM (SELECT *, string_split(host, '.') AS labels, list_filter(string_split(path, '/'), lambda s: s <> '') AS segments FROM (
-    SELECT page_id, url,
-      nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '') AS host,
-      coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), ''), '/') AS path
-    FROM pages))
+  FROM (SELECT *, CASE WHEN contains(host, ':') OR regexp_full_match(host, '[0-9]+(\.[0-9]+){3}') THEN [host] ELSE string_split(host, '.') END AS labels FROM (
+    SELECT page_id, url, nullif(rtrim(lower(CASE
+        WHEN NOT starts_with(server, '[') THEN CASE WHEN regexp_matches(split_part(server, ':', 1), '[\[\]]') THEN '' ELSE split_part(server, ':', 1) END
+        WHEN regexp_matches(server, '^\[[^\[\]]*\]') THEN split_part(server[2:], ']', 1) ELSE '' END), '.'), '') AS host, segments
+    FROM (SELECT page_id, url, string_split(authority, '@')[-1] AS server, CASE WHEN contains(place, '/') THEN list_filter(string_split(place, '/')[2:], lambda s: s <> '') ELSE [] END AS segments
+      FROM (SELECT page_id, url, place, split_part(place, '/', 1) AS authority
+        FROM (SELECT page_id, url, CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://')
+            THEN split_part(split_part(substr(url, position('://' IN url) + 3), '#', 1), '?', 1) ELSE '' END AS place FROM pages)))))
 """
 ORACLE_SQL = f"""
 WITH k AS ({_KEYS}),
-named AS (SELECT DISTINCT key FROM (SELECT host, unnest(keys) AS key FROM k) WHERE key = host OR regexp_matches(key, '^[^/]+/[^/]+$')),
+named AS (SELECT host AS key FROM k WHERE host IS NOT NULL UNION SELECT host || '/' || segments[1] FROM k WHERE host IS NOT NULL AND len(segments) > 0),
 coded AS (
   SELECT key, contains(key, '/') AS is_path, CAST('0x' || sha256(key)[1:8] AS BIGINT) AS code FROM named
 ),
