@@ -23,7 +23,7 @@ from .tables import table
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
-#: The weights are fitted on so many documents of each language at most; a language's own are chosen by a hash of the text.
+#: The weights are fitted on so many distinct texts of each language at most; a language's own are chosen by a hash of the text.
 SAMPLE_PER_LANGUAGE = 600
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.002
@@ -111,15 +111,20 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sample_features(docs: DataFrame, per_language: int) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
-    """Language and n-gram counts of at most ``per_language`` documents of each language of ``docs`` (text, lang)."""
-    sizes = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
+    """Language and n-gram counts of at most ``per_language`` distinct texts of each language of ``docs`` (text, lang).
+
+    Copies of a text are one text here, so they do not take the places of others.
+    """
+    code, other = F.pmod(F.xxhash64("text"), F.lit(1 << 30)), F.xxhash64("text", F.lit(1))
+    sizes = {r.lang: r.n for r in docs.groupBy("lang").agg(F.approx_count_distinct(other, 0.01).alias("n")).collect()}
     if not sizes:
         return [], []
-    # A hash of the text deals all rows; this share of them holds the first ``per_language``, but for bad luck, in which case fewer.
-    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, (per_language + 5 * per_language**0.5 + 20) / n))))
-    code = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    few = docs.withColumn("code", code).where(F.col("code") < share[F.col("lang")] * (1 << 30))
-    order = Window.partitionBy("lang").orderBy("code", F.xxhash64("text", F.lit(1)))
+    # A hash of the text deals all texts; this share of them holds the first ``per_language``, but for bad luck, in which case fewer.
+    wanted = per_language + 6 * per_language**0.5 + 20
+    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, wanted / (0.97 * n)))))
+    few = docs.withColumn("code", code).where(F.col("code") <= share[F.col("lang")] * (1 << 30))
+    few = few.withColumn("other", other).groupBy("lang", "code", "other").agg(F.first("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("code", "other")
     few = few.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select("lang", "text", "place", "code")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +198,7 @@ def with_language(docs: DataFrame, model: LanguageModel, kept: list[str]) -> Dat
     A null text, or one without a letter, is ``und`` with score 0; so is every
     text if the model knows no language. Equal margins go to the language first
     in order. Rows stay as they are, repeated ones too. Columns called lang_pred
-    or score are replaced.
+    or score are replaced. Texts are read whole, of any length; no rows give none.
     """
     kept = [c for c in kept if c not in ("lang_pred", "score")]
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]

@@ -50,3 +50,84 @@ def test_temperature_calibrates():
     margins = rng.normal(size=(4000, 3)) * 2
     targets = np.array([rng.choice(3, p=L.softmax(m / 2)) for m in margins])
     assert 1.5 < L.fit_temperature(margins, targets) < 2.7
+
+
+def test_copies_take_no_places_in_the_sample(spark):
+    copies = spark.range(20_000).select(F.lit("the same words again and again").alias("text"), F.lit("aa").alias("lang"))
+    others = spark.range(3000).select(F.concat(F.lit("other text "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), F.lit("aa").alias("lang"))
+    for hot in ("the same words again and again", "x", "y z"):
+        docs = copies.withColumn("text", F.lit(hot)).union(others)
+        langs, vectors = L.sample_features(docs, 600)
+        assert len(langs) == 600 and len({tuple(zip(b.tolist(), c.tolist())) for b, c in vectors}) > 500
+
+
+def slow_counts(text):
+    """N-grams one by one, hashed in plain integers."""
+    from collections import Counter
+
+    if not any(c.isalpha() for c in text.lower()):
+        return {}
+    chars = [32, *(ord(c) if c.isalpha() else 32 for c in text.lower()), 32]
+    found = Counter()
+    for n in L.ORDERS:
+        for i in range(len(chars) - n + 1):
+            h = 0
+            for c in chars[i : i + n]:
+                h = (h + c) * 0x9E3779B1 % 2**32
+            h = (h ^ n * 0x85EBCA6B % 2**32) * 0xC2B2AE35 % 2**32
+            found[h >> (32 - L.BUCKETS.bit_length() + 1)] += 1
+    return dict(found)
+
+
+def test_ngrams_against_plain_loops():
+    import random
+
+    rng = random.Random(2)
+    for text in ["", "1 2", "Été 1 naïve", "日本 語x"] + ["".join(rng.choice("abcé ñ1.") for _ in range(rng.choice([5, 40, 3000]))) for _ in range(40)]:
+        buckets, counts = L.ngram_counts(text)
+        assert dict(zip(buckets.tolist(), counts.tolist())) == slow_counts(text)
+
+
+def test_ftrl_against_plain_loops():
+    import math
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(("abc ", "bcd ", "xyz ")[k % 3]) for _ in range(30)) + ("a", "d", "z")[k % 3] for k in range(45)]
+    targets = np.array([k % 3 for k in range(45)])
+    vectors = [L.ngram_counts(t) for t in texts]
+    idf = np.ones(L.BUCKETS) * 1.5
+    model = L.LanguageModel(["a", "b", "c"], idf, np.zeros((L.BUCKETS, 3)), np.zeros(3))
+    L.fit_ftrl(model, vectors, targets, epochs=2)
+
+    z, n = {}, {}
+    order = np.random.default_rng(0)
+    for _ in range(2):
+        for i in order.permutation(45):
+            counts = slow_counts(texts[i])
+            x = {b: (1 + math.log(c)) * 1.5 for b, c in counts.items()}
+            size = math.sqrt(sum(v * v for v in x.values()))
+            x = {b: v / size for b, v in x.items()} | {"bias": 1.0}
+
+            def weight(b, c):
+                zz, nn = z.get((b, c), 0.0), n.get((b, c), 0.0)
+                return 0.0 if abs(zz) <= L.L1 else -(zz - math.copysign(L.L1, zz)) / ((L.BETA + math.sqrt(nn)) / L.ALPHA + L.L2)
+
+            own = {(b, c): weight(b, c) for b in x for c in range(3)}
+            margins = [sum(x[b] * own[b, c] for b in x) for c in range(3)]
+            odds = [math.exp(m - max(margins)) for m in margins]
+            for c in range(3):
+                miss = odds[c] / sum(odds) - (targets[i] == c)
+                for b, v in x.items():
+                    g, nn = v * miss, n.get((b, c), 0.0)
+                    z[b, c] = z.get((b, c), 0.0) + g - (math.sqrt(nn + g * g) - math.sqrt(nn)) / L.ALPHA * own[b, c]
+                    n[b, c] = nn + g * g
+    for b in {b for b, _ in z}:
+        for c in range(3):
+            got = model.bias[c] if b == "bias" else model.weights[b, c]
+            zz, nn = z[b, c], n[b, c]
+            want = 0.0 if abs(zz) <= L.L1 else -(zz - math.copysign(L.L1, zz)) / ((L.BETA + math.sqrt(nn)) / L.ALPHA + L.L2)
+            assert got == pytest.approx(want, abs=1e-4)
+    margin = {c: sum(v * model.weights[b, c] for b, v in zip(vectors[0][0], model.vector(*vectors[0]))) + model.bias[c] for c in range(3)}
+    name, p = model.predict(texts[0])
+    assert name == "a" and p == pytest.approx(math.exp(margin[0]) / sum(map(math.exp, margin.values())), abs=1e-6)
