@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose ``column`` holds about ``limit`` bytes at most.
+    """Slices of the batches whose ``column`` holds about ``limit`` bytes at most, four of them for each item of a list.
 
     A single longer value forms a slice of its own. Batches without rows are
     passed over.
@@ -18,7 +18,9 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 2
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        values = batch.column(column)
+        lengths = pc.multiply(pc.list_value_length(values), 4) if pa.types.is_list(values.type) else pc.binary_length(values)
+        sizes = pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes.astype(np.int64))
         start, rows = 0, batch.num_rows
         while start < rows:

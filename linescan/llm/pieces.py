@@ -3,11 +3,17 @@
 The automaton holds all pieces of a vocabulary. One walk over a text finds, at
 each position, the pieces that end there, longest first, by output links; each
 relaxes the best score of its end from that of its start. A character that no
-piece covers becomes its UTF-8 bytes, so decoding gives the text back.
+piece covers becomes its UTF-8 bytes, and so does a mark of a space that stands
+in the text itself, so decoding gives the text back.
+
+Nothing is trained. The scores of a BPE file are ranks of merges, whose sum says
+nothing; they are read as ranks of frequency by Zipf's law, so a piece of rank r
+has the log probability of 1 / (1 + r), and the best path is the likeliest one.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -37,6 +43,8 @@ class PieceModel:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        ranks = {i: -model.get_score(i) for i in range(model.get_piece_size()) if is_text_piece(model, i)}
+        scores = zipf_scores(ranks) if ranks and max(ranks.values()) >= len(ranks) - 1 else {i: -r for i, r in ranks.items()}
         self.pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.byte_ids = {}
         self.automaton = ahocorasick.Automaton()
@@ -45,8 +53,8 @@ class PieceModel:
         for i, piece in enumerate(self.pieces):
             if model.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                score = model.get_score(i)
+            elif i in scores:
+                score = scores[i]
                 self.automaton.add_word(piece, (len(piece), score, i))
                 worst = min(worst, score)
                 inner |= SPACE in piece.lstrip(SPACE)
@@ -55,8 +63,9 @@ class PieceModel:
         self.automaton.make_automaton()
         self.unknown = worst - UNKNOWN_PENALTY
         of_id = {i: b for b, i in self.byte_ids.items()}
-        self.spelled = [bytes([of_id[i]]) if i in of_id else p.encode("utf-8") for i, p in enumerate(self.pieces)]
+        self.spelled = [bytes([of_id[i]]) if i in of_id else p.replace(SPACE, " ").encode("utf-8") for i, p in enumerate(self.pieces)]
         self.inner = inner
+        self.mark = np.array([self.byte_ids.get(b, 0) for b in SPACE.encode()], np.int32)
         self.cache: dict[str, bytes] = {}
 
     def best_path(self, text: str) -> list[int]:
@@ -72,17 +81,21 @@ class PieceModel:
                 if total > best[end]:
                     best[end], last[end] = total, piece
         else:
-            # A character that is no piece by itself may also stand alone, as unknown.
-            ending: list[list[tuple[int, float, int]]] = [[] for _ in range(n + 1)]
+            # A character that is no piece by itself may also stand alone, as unknown: behind the pieces that end there.
+            done = 0
+
+            def alone(upto: int) -> None:
+                for at in range(done + 1, upto + 1):
+                    if text[at - 1] not in self.single and best[at - 1] + self.unknown > best[at]:
+                        best[at], last[at] = best[at - 1] + self.unknown, unknown
+
             for end, piece in self.automaton.iter(text):
-                ending[end + 1].append(piece)
-            for end in range(1, n + 1):
-                if text[end - 1] not in self.single:
-                    ending[end].append(unknown)
-                for piece in ending[end]:
-                    total = best[end - piece[0]] + piece[1]
-                    if total > best[end]:
-                        best[end], last[end] = total, piece
+                alone(end)
+                done = max(done, end)
+                total = best[end + 1 - piece[0]] + piece[1]
+                if total > best[end + 1]:
+                    best[end + 1], last[end + 1] = total, piece
+            alone(n)
         ids: list[int] = []
         end = n
         while end:
@@ -95,13 +108,13 @@ class PieceModel:
         ids.reverse()
         return ids
 
-    def _word(self, word: str) -> bytes:
+    def _word(self, word: str, key: str) -> bytes:
         """int32 ids of a word, its marks in front; kept for the next time."""
         found = array("i", self.best_path(word)).tobytes()
         if len(self.cache) >= CACHED_WORDS:
             self.cache.clear()
         if len(word) <= 64:
-            self.cache[word] = found
+            self.cache[key] = found
         return found
 
     def encode(self, text: str) -> np.ndarray:
@@ -109,22 +122,47 @@ class PieceModel:
         so words are encoded one by one, repeated ones once; if some piece does, the text is one word."""
         if not text:
             return np.empty(0, np.int32)
-        marked = SPACE + text.replace(" ", SPACE)
+        if SPACE in text:
+            # The mark itself is spelled in bytes; what follows it goes on without a space in front.
+            parts = [self._marked((SPACE if i == 0 else "") + part.replace(" ", SPACE)) for i, part in enumerate(text.split(SPACE))]
+            return np.concatenate([x for part in parts for x in (part, self.mark)][:-1])
+        if self.inner or "  " in text or text[0] == " " or text[-1] == " ":
+            return self._marked(SPACE + text.replace(" ", SPACE))
+        # Single spaces only: a word is known by what stands between them.
+        words = text.split(" ")
+        found = list(map(self.cache.get, words))
+        if None in found:
+            found = [self._word(SPACE + w, w) if f is None else f for w, f in zip(words, found)]
+        return np.frombuffer(b"".join(found), np.int32)
+
+    def _marked(self, marked: str) -> np.ndarray:
         if self.inner:
             return np.array(self.best_path(marked), np.int32)
         words = _WORD.findall(marked)
-        found = list(map(self.cache.get, words))
-        if None in found:
-            found = [self._word(w) if f is None else f for w, f in zip(words, found)]
+        keys = [w[1:] if w[0] == SPACE and w[1:2] not in ("", SPACE) else SPACE + w for w in words]
+        found = [self.cache.get(k) or self._word(w, k) for w, k in zip(words, keys)]
         return np.frombuffer(b"".join(found), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.spelled.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass").replace(SPACE, " ")
+        text = b"".join(map(self.spelled.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")
         return text[1:] if text.startswith(" ") else text
 
 
-#: Runs of marks together with what follows them up to the next mark.
-_WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
+#: Runs of marks together with what follows them up to the next mark, or what stands in front of the first.
+_WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+
+
+def is_text_piece(model, i: int) -> bool:
+    return not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))
+
+
+def zipf_scores(ranks: dict[int, float]) -> dict[int, float]:
+    """Log probabilities of pieces of rank 0 and up, if frequencies fall as 1 / (1 + rank).
+
+    They are whole numbers of 4096ths: sums are exact, so that equal paths tie in whatever order they are summed.
+    """
+    total = math.log(sum(1 / (1 + r) for r in ranks.values()))
+    return {i: -round((math.log(1 + r) + total) * 4096) / 4096 for i, r in ranks.items()}
 
 
 _MODELS: dict[str, PieceModel] = {}
@@ -146,7 +184,8 @@ def encode_texts(docs: DataFrame, kept: list[str], vocabulary: str = VOCABULARY,
 
     A null text has null ids, an empty one none. Rows stay as they are, repeated
     ones too; a column called ids is replaced. Whole texts are encoded; memory
-    follows the longest word, not the text.
+    follows the longest word, not the text. Of equally good paths the one with the
+    longest last piece is taken. No rows give none.
     """
     kept = [c for c in kept if c != "ids"]
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
@@ -172,11 +211,9 @@ def decode_ids(encoded: DataFrame, kept: list[str], vocabulary: str = VOCABULARY
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(vocabulary)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [model.decode(v.values.to_numpy()) if v.is_valid else None for v in part.column(ids)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
+        for part in by_bytes(batches, ids):
+            texts = [model.decode(v.values.to_numpy()) if v.is_valid else None for v in part.column(ids)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
 
     return encoded.select(*(F.col(f"`{c}`") for c in wanted)).mapInArrow(decode, ", ".join([*fields, "text string"]))
 

@@ -23,6 +23,9 @@ def library():
     with open(public_tokenizers.path(pieces.VOCABULARY), "rb") as f:
         proto.ParseFromString(f.read())
     proto.trainer_spec.model_type = 1
+    scores = pieces.zipf_scores({i: -p.score for i, p in enumerate(proto.pieces) if p.type == 1})
+    for i, p in enumerate(proto.pieces):
+        p.score = scores.get(i, p.score)
     return sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
 
 
@@ -89,3 +92,28 @@ def test_query(spark):
     for r in rows:
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest() and r.n_pieces == len(r.ids)
         assert np.array(r.ids).max() < 32_000
+
+
+def test_as_few_pieces_as_the_library(spark, model):
+    import public_tokenizers
+    import sentencepiece
+
+    plain = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces.VOCABULARY))
+    texts = [r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    ours, theirs = (sum(len(f(t)) for t in texts) for f in (model.encode, plain.encode))
+    assert abs(ours / theirs - 1) < 0.1
+    assert len(model.encode("The quick brown fox jumps over internationalization lazily.")) <= len(plain.encode("The quick brown fox jumps over internationalization lazily."))
+
+
+def test_marks_in_the_text(model):
+    for text in ("a▁b", "▁", "▁▁", " ▁", "▁ ", "a ▁ b", "▁a", "a▁", "  ▁x▁▁ y ", "▁word ▁word", "\n▁é▁😀"):
+        assert model.decode(model.encode(text)) == text, text
+    assert model.encode("a▁b").tolist() != model.encode("a b").tolist()
+
+
+def test_every_code_point_comes_back(model):
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(chars), 4096):
+        block = chars[at : at + 4096]
+        for text in ("".join(block), " ".join(block)):
+            assert model.decode(model.encode(text)) == text
