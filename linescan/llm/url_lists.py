@@ -101,7 +101,9 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     have any number of labels and segments; those beyond the list's own are
     not spelled out. Ties between entries of one key go to the first list in order.
     """
-    rows = captures.select("page_id", "url", "fetched").distinct()
+    # A fixed number of parts: URLs are short, but taking them apart is work, which too few tasks would share.
+    parts = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = captures.select("page_id", "url", "fetched").repartition(parts, "page_id", "url", "fetched").distinct()
     keyed = rows.where("fetched IS NOT NULL").select("page_id", "url", "fetched", F.explode(url_keys(F.col("url"), *deepest(entries))).alias("key"))
     spans = validity(entries)
     active = (F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
