@@ -11,8 +11,8 @@ from __future__ import annotations
 import numpy as np
 
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 8
-CHAR_BUCKETS = 1 << 14
-CHAR_ORDERS = (3, 4)
+CHAR_BUCKETS = 1 << 15
+CHAR_ORDERS = (3, 4, 5)
 
 
 def char_ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -26,6 +26,8 @@ SAMPLE, SAMPLE_CHARS = (2000, 800), 20_000
 LEAST_COUNT, MOST_WORDS = 3, 20_000
 #: Rounds over the windows: ten, or as many more as make so many steps.
 EPOCHS, BATCH, LEAST_STEPS = 8, 256, 300
+#: Rounds in which the windows of a document are drawn, before the network is fit to choose them.
+WARM_EPOCHS = 3
 #: What a document that the network was trained on weighs in the calibration, beside one that was set aside.
 TRAINED_WEIGHT = 0.3
 THRESHOLD = 0.7
@@ -107,7 +109,7 @@ def sample_texts(docs: DataFrame, labels: DataFrame, sample: tuple[int, int]) ->
 
 
 def fit(rows: list[tuple[str, int]], share: float, epochs: int = EPOCHS, seed: int = 0) -> ToxicityModel:
-    """Train on labelled texts: each round on each document's highest windows and on random clean ones.
+    """Train on labelled texts: each round on each document's highest windows and on random clean ones, at first on any.
 
     A fifth of the documents is set aside; with them, and more lightly with the
     others, the highest logit is turned into a probability, given the ``share`` of toxic documents in general. With one class only, every score is that class's share.
@@ -139,21 +141,17 @@ def fit(rows: list[tuple[str, int]], share: float, epochs: int = EPOCHS, seed: i
     windows, kind = np.concatenate(docs), kinds_of[owner]
     word_ids = np.array([model.vocabulary.get(w, 0) for w in words], np.int64)
     chars, offsets = gru.char_ngrams(words)
-    p["word"][:, 0], p["char"][:, 0] = first_evidence(docs, kinds_of, word_ids, len(known) + 1, chars, offsets)
     adam = gru.Adam(p)
     batch = int(np.clip(2 * (kinds_of > 0).sum(), 32, BATCH))
     epochs = max(epochs, min(60, -(-LEAST_STEPS * batch // (4 * int(kinds_of.sum()) + 3 * len(train)))))
     for epoch in range(epochs):
         adam.rate = 0.02 if epoch < epochs - 2 else 0.005
+        # At first some windows of each document, whatever they are; then those by which it is judged: the highest ones.
         inputs = gru.word_inputs(p, word_ids, chars, offsets)
-        if epoch:
-            logits = window_logits(p, inputs, windows)
-        else:
-            logits = np.append(inputs[:, 0] + inputs[:, gru.WORD_DIM], -9)[windows].max(1)
-        # The highest windows of each document: one that made it toxic, or those most wrongly taken for toxic.
-        by_height = np.lexsort((-logits, owner))
+        height = rng.random(len(windows)) if epoch < WARM_EPOCHS else window_logits(p, inputs, windows)
+        by_height = np.lexsort((-height, owner))
         place_in = np.arange(len(owner)) - np.repeat(np.flatnonzero(np.diff(owner, prepend=-1)), np.bincount(owner))
-        most = np.where(kind > 0, 1 + (epoch < 3), 3)[by_height]
+        most = np.where(kind > 0, 4 if epoch < WARM_EPOCHS else 2, 3)[by_height]
         take = by_height[place_in < most]
         take = np.concatenate([take, rng.choice(np.flatnonzero(kind == 0), len(take))])
         take = rng.permutation(take)
@@ -168,26 +166,6 @@ def fit(rows: list[tuple[str, int]], share: float, epochs: int = EPOCHS, seed: i
     return model
 
 
-def first_evidence(docs, kinds, word_ids, n_words, chars, offsets) -> tuple[np.ndarray, np.ndarray]:
-    """Where the first dimension of the embeddings starts: the log odds of a word's, or an
-    n-gram's, documents between the classes, shrunk where there are few documents."""
-    seen_words, seen_grams = np.zeros((2, n_words)), np.zeros((2, gru.CHAR_BUCKETS))
-    for windows, kind in zip(docs, kinds):
-        places = np.unique(windows)
-        places = places[places >= 0]
-        seen_words[kind, np.unique(word_ids[places])] += 1
-        sizes = offsets[places + 1] - offsets[places]
-        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - offsets[places], sizes)
-        seen_grams[kind, np.unique(chars[at])] += 1
-    total = np.array([(kinds == 0).sum(), (kinds == 1).sum()])[:, None]
-    out = []
-    for seen in (seen_words, seen_grams):
-        odds = np.log((seen[1] + 0.5) / (total[1] + 1)) - np.log((seen[0] + 0.5) / (total[0] + 1))
-        out.append(odds * seen.sum(0) / (seen.sum(0) + 5) / 2)
-    out[0][0] = 0
-    return out[0], out[1]
-
-
 def _train_step(p, adam, windows, y, weight, word_ids, chars, offsets, rng) -> None:
     """One step of Adam on a batch of windows of word places. A third of the word embeddings
     is left out, so that the characters have to do as well."""
@@ -229,7 +207,8 @@ def fit_platt(logits: np.ndarray, y: np.ndarray, share: float, trust: np.ndarray
 def with_toxicity(docs: DataFrame, model: ToxicityModel, kept: list[str]) -> DataFrame:
     """Columns ``kept`` of ``docs`` plus score, read off all windows of each whole text.
 
-    A null text, or one without words, has the score of no evidence, near 0.
+    A null text, or one without words, has the score of no evidence, near 0. Whole
+    texts are scored, of any length; no rows give none.
     Rows stay as they are, repeated ones too. A column called score is replaced.
     """
     kept = [c for c in kept if c != "score"]

@@ -32,8 +32,9 @@ def test_gradients():
 
 def test_ngrams_and_sums():
     flat, offsets = gru.char_ngrams(["ab", "", "abcd"])
-    assert np.diff(offsets).tolist() == [3, 0, 7]  # ^ab$: two of 3, one of 4; ^$: none; ^abcd$: four of 3, three of 4
-    assert (gru.segment_means(np.arange(10.0)[:, None], offsets)[:, 0] == [1, 0, 6]).all()
+    # ^ab$: two of 3, one of 4; ^$: none; ^abcd$: four of 3, three of 4, two of 5
+    assert gru.CHAR_ORDERS == (3, 4, 5) and np.diff(offsets).tolist() == [3, 0, 9]
+    assert (gru.segment_means(np.arange(12.0)[:, None], offsets)[:, 0] == [1, 0, 7]).all()
     assert gru.summed_at(np.array([2, 0, 2]), np.array([[1.0], [2], [3]]), 4)[:, 0].tolist() == [2, 0, 4, 0]
 
 
@@ -82,3 +83,51 @@ def test_held_out_ranking(spark):
     toxic, clean = ([r.score for r in held if r.toxic == k] for k in (1, 0))
     assert np.mean([t > c for t in toxic for c in clean]) > 0.8
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+
+
+def slow_logit(p, words, x):
+    """The network of one window in scalars: gates one unit at a time, from either end, then attention."""
+    from math import exp, tanh
+
+    h = gru.HIDDEN
+    sig = lambda v: 1 / (1 + exp(-v))
+    sides = []
+    for s in "fb":
+        W, U, b = p[f"W{s}"], p[f"U{s}"], p[f"b{s}"]
+        state, states = [0.0] * h, {}
+        for t in range(words) if s == "f" else range(words - 1, -1, -1):
+            own = [sum(x[t][i] * W[i][j] for i in range(len(x[t]))) + b[j] for j in range(3 * h)]
+            inner = [sum(state[i] * U[i][j] for i in range(h)) for j in range(3 * h)]
+            z = [sig(own[j] + inner[j]) for j in range(h)]
+            r = [sig(own[h + j] + inner[h + j]) for j in range(h)]
+            new = [tanh(own[2 * h + j] + r[j] * inner[2 * h + j]) for j in range(h)]
+            state = [z[j] * state[j] + (1 - z[j]) * new[j] for j in range(h)]
+            states[t] = state
+        sides.append(states)
+    both = [sides[0][t] + sides[1][t] for t in range(words)]
+    energy = [sum(tanh(sum(v[i] * p["A"][i][j] for i in range(2 * h))) * p["a"][j] for j in range(h)) for v in both]
+    weight = [exp(e - max(energy)) for e in energy]
+    pooled = [sum(w * v[i] for w, v in zip(weight, both)) / sum(weight) for i in range(2 * h)]
+    return sum(a * b for a, b in zip(pooled, p["o"])) + p["c"][0]
+
+
+def test_scores_against_a_scalar_network():
+    """Whole texts scored window by window and unit by unit."""
+    rng = np.random.default_rng(4)
+    vocabulary = {w: i + 1 for i, w in enumerate(["kara", "tisol", "nomin"])}
+    p = {k: v + rng.normal(size=v.shape).astype(np.float32) * 0.3 for k, v in gru.new_parameters(4, 3).items()}
+    model = T.ToxicityModel(p, vocabulary, 1.3, -0.2)
+    texts = ["kara tisol", "x", " ".join(rng.choice(["kara", "tisol", "luné", "nomin,"], 70)), ""]
+    got = model.scores(texts)
+    for text, score in zip(texts, got):
+        words = T.words_of(text)
+        x = []
+        for w in words:
+            raw = b"^" + w.encode() + b"$"
+            grams, offsets = gru.char_ngrams([w])
+            assert len(grams) == offsets[-1] == sum(max(0, len(raw) - n + 1) for n in gru.CHAR_ORDERS)
+            char = [sum(float(p["char"][g][d]) for g in grams) / max(1, len(grams)) for d in range(gru.CHAR_DIM)]
+            x.append([float(v) for v in p["word"][vocabulary.get(w, 0)]] + char)
+        starts = range(0, max(len(words) - T.WINDOW + T.STRIDE, 1), T.STRIDE)
+        logits = [slow_logit(p, len(x[a : a + T.WINDOW]), x[a : a + T.WINDOW]) for a in starts] if words else [(-8 - model.shift) / model.slope]
+        assert abs(score - 1 / (1 + np.exp(-(model.slope * max(logits) + model.shift)))) < 1e-4, text
