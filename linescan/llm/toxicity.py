@@ -26,8 +26,8 @@ SAMPLE, SAMPLE_CHARS = (2000, 800), 20_000
 LEAST_COUNT, MOST_WORDS = 3, 20_000
 #: Rounds over the windows: ten, or as many more as make so many steps.
 EPOCHS, BATCH, LEAST_STEPS = 8, 256, 300
-#: Rounds in which the windows of a document are drawn, before the network is fit to choose them.
-WARM_EPOCHS = 3
+#: In this share of the rounds the windows of a document are drawn, before the network is fit to choose them.
+WARM_SHARE = 1 / 3
 #: What a document that the network was trained on weighs in the calibration, beside one that was set aside.
 TRAINED_WEIGHT = 0.3
 THRESHOLD = 0.7
@@ -144,14 +144,15 @@ def fit(rows: list[tuple[str, int]], share: float, epochs: int = EPOCHS, seed: i
     adam = gru.Adam(p)
     batch = int(np.clip(2 * (kinds_of > 0).sum(), 32, BATCH))
     epochs = max(epochs, min(60, -(-LEAST_STEPS * batch // (4 * int(kinds_of.sum()) + 3 * len(train)))))
+    warm = round(epochs * WARM_SHARE)
     for epoch in range(epochs):
         adam.rate = 0.02 if epoch < epochs - 2 else 0.005
         # At first some windows of each document, whatever they are; then those by which it is judged: the highest ones.
         inputs = gru.word_inputs(p, word_ids, chars, offsets)
-        height = rng.random(len(windows)) if epoch < WARM_EPOCHS else window_logits(p, inputs, windows)
+        height = rng.random(len(windows)) if epoch < warm else window_logits(p, inputs, windows)
         by_height = np.lexsort((-height, owner))
         place_in = np.arange(len(owner)) - np.repeat(np.flatnonzero(np.diff(owner, prepend=-1)), np.bincount(owner))
-        most = np.where(kind > 0, 4 if epoch < WARM_EPOCHS else 2, 3)[by_height]
+        most = np.where(kind > 0, 4 if epoch < warm else 2, 3)[by_height]
         take = by_height[place_in < most]
         take = np.concatenate([take, rng.choice(np.flatnonzero(kind == 0), len(take))])
         take = rng.permutation(take)
