@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .tables import keep
 
+#: The neighbours of a node are dealt to so many parts, so that a node with very many is no single task's work.
+PARTS = 16
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Hang neighbours on the least one: the larger neighbours, or the smaller ones and the node."""
@@ -15,7 +18,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = both.join(least, "u")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    joined = both.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int")).join(least.withColumn("part", parts), ["u", "part"])
     if large:
         hung = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -1,18 +1,21 @@
 """N-gram Jaccard join: a MinHash LSH forest, then exact verification.
 
 Texts with one set of shingles form a class, so copies are one row from the
-start. Every tree of the forest sorts the classes by a label of MinHash minima;
-classes whose labels share a prefix meet. The prefix is shortened from the
-longest one, a minimum at a time, until a pair at the threshold meets in some
-tree with the target recall. A bucket (the classes below a node of a trie) is
-dealt out in blocks, and each pair of blocks is one small task unit in which
-every pair of classes is verified on whole shingle sets. A pair counts in the
-first tree where it meets, so links are counted once. What leaves a unit is a
-row for each class, never a row for each pair.
+start. Every tree of the forest is a trie of paths of MinHash minima. A class
+begins at the longest prefix of each of its paths and shortens them, a minimum
+at a time and the one that brings the fewest new candidates first, until a pair
+at the threshold would meet it in some tree with the target recall; where it
+shares no prefix, shortening costs nothing. So crowded nodes are entered only as
+far up as recall asks for. A class that stops at a node meets all
+that are below it. Nodes are dealt out in blocks, and each pair of blocks is
+one small task unit in which every pair of classes is verified on whole shingle
+sets. A pair counts in the first tree where it meets, so links are counted once.
+What leaves a unit is a row for each class, never a row for each pair.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +26,13 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .batches import by_bytes, runs
 from .components import components
-from .shingles import MinHash, minima_of, mix, shingle_sets
+from .shingles import MinHash, mix, paths_of, shingle_sets
 from .tables import keep, table
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 TREES = 16
-LONGEST_PREFIX = 4
+LONGEST_PREFIX = 6
 TARGET_RECALL = 0.9995
 #: A block holds about so many classes and so many shingles.
 BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 500_000
@@ -38,7 +41,10 @@ BROADCAST_ROWS = 500_000
 
 
 def prefix_length(threshold: float, trees: int, longest: int, target: float) -> int:
-    """The longest prefix with which a pair at the threshold meets with the target recall."""
+    """The longest prefix with which, in all trees alike, a pair at the threshold meets with the target recall.
+
+    No path is ever shortened beyond it.
+    """
     for depth in range(longest, 0, -1):
         if 1 - (1 - threshold**depth) ** trees >= target:
             return depth
@@ -52,21 +58,21 @@ def _class_id(shingles: np.ndarray) -> bytes:
 
 
 def class_features(docs: DataFrame, words: int, hasher: MinHash) -> DataFrame:
-    """doc_id, class id, number of shingles, and forest labels (null without words)."""
+    """doc_id, class id, number of shingles, and label of the forest (null without words)."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
             sets = shingle_sets(batch.column("text").to_pylist(), words)
-            labels = [hasher.labels(s) if len(s) else None for s in sets]
+            labels = [hasher.label(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array([_class_id(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(labels, pa.list_(pa.int64())),
+                    pa.array(labels, pa.binary()),
                 ],
-                ["doc_id", "cid", "n", "labels"],
+                ["doc_id", "cid", "n", "label"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(features, "doc_id long, cid binary, n long, labels array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(features, "doc_id long, cid binary, n long, label binary")
 
 
 def class_shingles(docs: DataFrame, words: int) -> DataFrame:
@@ -131,45 +137,69 @@ def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return least
 
 
-def verified_links(unit: pa.Table, threshold: float, depth: int) -> tuple[list, np.ndarray, np.ndarray]:
+def chosen_depths(sizes: list[tuple[int, int, int]], trees: int, least: int, longest: int, threshold: float, target: float) -> list[int]:
+    """How long the prefix of each of a class's paths stays.
+
+    ``sizes`` has (tree, depth, classes at that node) for the trees in which the
+    class shares its prefix of length ``least``. A prefix of length d in tree after
+    tree misses a pair at the threshold with the product of 1 - threshold**d.
+    """
+    missed = lambda d: math.log1p(-(threshold**d)) if threshold < 1 else -math.inf
+    at = {(t, d): n for t, d, n in sizes}
+    depths = [longest if (t, least) in at else least for t in range(trees)]
+    miss = sum(map(missed, depths))
+    while miss > math.log1p(-target):
+        open_ = [t for t in range(trees) if depths[t] > least]
+        if not open_:
+            break
+        price = lambda t: (at[t, depths[t] - 1] - at.get((t, depths[t]), 1)) / (missed(depths[t]) - missed(depths[t] - 1))
+        t = min(open_, key=lambda t: (price(t), t))
+        miss += missed(depths[t] - 1) - missed(depths[t])
+        depths[t] -= 1
+    return depths
+
+
+def verified_links(unit: pa.Table, threshold: float, trees: int, least: int) -> tuple[list, np.ndarray, np.ndarray]:
     """Class ids with links in this unit, the number of texts each links to, and the least class that it reaches.
 
-    A unit is one bucket's block by itself or against another of its blocks.
+    A unit is one node's block by itself or against another of its blocks.
     """
     tree = unit.column("tree")[0].as_py()
     unit = unit.sort_by("cid")
     block = unit.column("block").to_numpy()
     first, second = unit.column("lo")[0].as_py(), unit.column("hi")[0].as_py()
-    sides = [np.flatnonzero(block == first), np.flatnonzero(block == second)]
+    x, y = np.flatnonzero(block == first), np.flatnonzero(block == second)
     cids = unit.column("cid").to_pylist()
     n, copies = unit.column("n").to_numpy(), unit.column("copies").to_numpy()
-    labels = np.array(unit.column("labels").to_pylist(), np.int64)
-    minima = minima_of(labels, depth)
-    x, y = sides
+    stops = unit.column("stops").to_numpy(zero_copy_only=False)
+    paths = paths_of(unit.column("label").to_pylist(), trees)
+    depths = np.frombuffer(b"".join(unit.column("depths").to_pylist()), np.uint8).reshape(-1, trees)
     may = n[x][:, None] >= threshold * n[y][None, :]
     may &= n[y][None, :] >= threshold * n[x][:, None]
+    may &= stops[x][:, None] | stops[y][None, :]
     if first == second:
         may &= np.triu(np.ones_like(may), 1)
-    for t in range(tree):  # they met before
-        may &= labels[x, t][:, None] != labels[y, t][None, :]
     a, b = np.nonzero(may)
-    if len(a):
-        # A pair at the threshold that falls so far below its expected matches is one in tens of millions.
-        total = minima.shape[1]
-        floor = threshold * total - 6 * np.sqrt(threshold * (1 - threshold) * total)
-        hits = np.concatenate([(minima[x[a[i : i + 100_000]]] == minima[y[b[i : i + 100_000]]]).sum(1) for i in range(0, len(a), 100_000)])
-        a, b = a[hits >= floor], b[hits >= floor]
+    i, j = x[a], y[b]
+    for t in range(tree):  # did they meet before?
+        _, start = np.unique(paths[:, t, :least], axis=0, return_inverse=True)
+        start = start.reshape(-1)
+        alike = np.flatnonzero(start[i] == start[j])
+        shared = np.logical_and.accumulate(paths[i[alike], t] == paths[j[alike], t], axis=1).sum(1)
+        before = alike[shared >= np.minimum(depths[i[alike], t], depths[j[alike], t])]
+        keep_ = np.ones(len(i), bool)
+        keep_[before] = False
+        a, b, i, j = a[keep_], b[keep_], i[keep_], j[keep_]
     if not len(a):
         return [], np.empty(0, np.int64), np.empty(0, np.int64)
     sets = [np.frombuffer(s.as_py(), np.uint64) for s in unit.column("shingles")]
-    both = intersections([sets[i] for i in x], [sets[i] for i in y], a, b)
-    a, b = x[a], y[b]
-    good = both >= threshold * (n[a] + n[b] - both) - 1e-9
-    a, b = a[good], b[good]
-    links = np.bincount(a, copies[b], len(cids)) + np.bincount(b, copies[a], len(cids))
-    least = least_reachable(len(cids), a, b)
+    both = intersections([sets[k] for k in x], [sets[k] for k in y], a, b)
+    good = both >= threshold * (n[i] + n[j] - both) - 1e-9
+    i, j = i[good], j[good]
+    links = np.bincount(i, copies[j], len(cids)) + np.bincount(j, copies[i], len(cids))
+    reached = least_reachable(len(cids), i, j)
     has = np.flatnonzero(links)
-    return [cids[i] for i in has], links[has].astype(np.int64), [cids[i] for i in least[has]]
+    return [cids[k] for k in has], links[has].astype(np.int64), [cids[k] for k in reached[has]]
 
 
 def jaccard_join(
@@ -185,8 +215,10 @@ def jaccard_join(
     are null, empty or only white space have no shingles: no links and a class
     of their own. A shorter text has one shingle. Rows that repeat a doc_id and
     its shingles count once; a doc_id with two texts gives two rows. A null
-    doc_id is a document. Other columns are ignored. Links at the threshold are
-    found with a probability of ``target`` at least; none is found wrongly.
+    doc_id is a document. Other columns are ignored; texts count whole, however
+    long; no documents give no rows. Links at the threshold are found with a
+    probability of ``target`` at least; none is found wrongly. ``trees`` paths of
+    ``longest`` minima are kept for each text.
     """
     return text_classes(docs, threshold, words, trees, longest, target).select("doc_id", "class_id", "n_links")
 
@@ -199,14 +231,16 @@ def text_classes(
 
     Where a doc_id has several texts, unlike classes may have one class_id, but not one root.
     """
-    depth = prefix_length(threshold, trees, longest, target)
-    hasher = MinHash(trees, depth)
+    least = prefix_length(threshold, trees, longest, target)
+    hasher = MinHash(trees, longest)
     once = keep(class_features(docs, words, hasher).dropDuplicates(["doc_id", "cid"]), "labels")
     worded = once.where("n > 0").groupBy("cid")
-    classes = keep(worded.agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("labels").alias("labels")), "classes")
-    units = _units(classes)
-    sets = _candidate_sets(docs, classes, units, words)
-    found = keep(_verify(units, sets, threshold, depth), "links")
+    classes = keep(worded.agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("label").alias("label")), "classes")
+    met = _meetings(classes, trees, least, longest)
+    depths = keep(_depths(met, trees, least, longest, threshold, target), "depths")
+    units = _units(met, depths, least)
+    sets = _candidate_sets(docs, classes, depths, units, words)
+    found = keep(_verify(units, sets, threshold, trees, least), "links")
 
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     grouped = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v"))).withColumnRenamed("u", "cid")
@@ -220,28 +254,59 @@ def text_classes(
     )
 
 
-def _units(classes: DataFrame) -> DataFrame:
-    """cid, tree, key, block, lo, hi: which classes meet in which pair of blocks of which bucket."""
-    keys = classes.select("cid", "n", F.posexplode("labels").alias("tree", "key"))
-    shared = keys.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = keep(keys.join(shared, ["tree", "key"]), "met")
-    buckets = met.groupBy("tree", "key").agg(
-        F.first("members").alias("members"), F.sum("n").alias("shingles"),
-        F.bit_xor(F.xxhash64("cid")).alias("mark"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("mark2"),
-    )
-    # Buckets of the same classes, as of a text and its edit, are worked on in their first tree only.
-    buckets = buckets.groupBy("members", "mark", "mark2").agg(F.min(F.struct("tree", "key")).alias("b"), F.first("shingles").alias("shingles"))
+def _meetings(classes: DataFrame, trees: int, least: int, longest: int) -> DataFrame:
+    """cid, n, tree, path of every class that shares a path's first ``least`` minima with another."""
+    width = 2 * longest
+    keys = classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    keys = keys.select("cid", "n", "tree", F.substring("label", F.col("tree") * width + 1, F.lit(width)).alias("path"))
+    keys = keys.withColumn("node", F.substring("path", 1, 2 * least))
+    shared = keys.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    return keep(keys.join(shared, ["tree", "node"]).drop("node"), "met")
+
+
+def _depths(met: DataFrame, trees: int, least: int, longest: int, threshold: float, target: float) -> DataFrame:
+    """cid and depths, a byte for each tree: where the class's paths stop."""
+    nodes = met.select("cid", "tree", "path", F.explode(F.sequence(F.lit(least), F.lit(longest))).alias("depth"))
+    nodes = nodes.select("cid", "tree", "depth", F.substring("path", F.lit(1), 2 * F.col("depth")).alias("node"))
+    sizes = nodes.groupBy("tree", "depth", "node").agg(F.count(F.lit(1)).alias("members"))
+    # At most trees * (longest - least + 1) numbers for each class.
+    own = nodes.join(sizes, ["tree", "depth", "node"]).groupBy("cid").agg(F.collect_list(F.struct("tree", "depth", "members")).alias("sizes"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[(s["tree"], s["depth"], s["members"]) for s in sizes] for sizes in batch.column("sizes").to_pylist()]
+            chosen = [bytes(chosen_depths(sizes, trees, least, longest, threshold, target)) for sizes in found]
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(chosen, pa.binary())], ["cid", "depths"])
+
+    return own.mapInArrow(choose, "cid binary, depths binary")
+
+
+def _units(met: DataFrame, depths: DataFrame, least: int) -> DataFrame:
+    """cid, tree, node, stops, block, lo, hi: which classes meet in which pair of blocks of which node.
+
+    A class is at all nodes of its path down to the one where it stops.
+    """
+    stop = F.conv(F.hex(F.substring("depths", F.col("tree") + 1, F.lit(1))), 16, 10).cast("int")
+    below = met.join(depths, "cid").withColumn("stop", stop).withColumn("depth", F.explode(F.sequence(F.lit(least), F.col("stop"))))
+    below = below.select("cid", "n", "tree", F.substring("path", F.lit(1), 2 * F.col("depth")).alias("node"), (F.col("depth") == F.col("stop")).alias("stops"))
+    below = keep(below, "nodes")
+    nodes = below.groupBy("tree", "node").agg(
+        F.count(F.lit(1)).alias("members"), F.count_if("stops").alias("stopped"), F.sum("n").alias("shingles"),
+        F.bit_xor(F.xxhash64("cid", "stops")).alias("mark"), F.bit_xor(F.xxhash64("cid", "stops", F.lit(1))).alias("mark2"),
+    ).where("members > 1 AND stopped > 0")
+    # Nodes of the same classes that stop alike, as of a text and its edit, are worked on in their first tree only.
+    nodes = nodes.groupBy("members", "mark", "mark2").agg(F.min(F.struct("tree", "node")).alias("b"), F.first("shingles").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_CLASSES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    buckets = buckets.select("b.tree", "b.key", blocks.alias("blocks"))
-    dealt = met.drop("members", "n").join(buckets, ["tree", "key"])
+    nodes = nodes.select("b.tree", "b.node", blocks.alias("blocks"))
+    dealt = below.drop("n").join(nodes, ["tree", "node"])
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select("cid", "tree", "key", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    return dealt.select("cid", "tree", "node", "stops", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
 
-def _candidate_sets(docs: DataFrame, classes: DataFrame, units: DataFrame, words: int) -> DataFrame:
-    """copies, n, labels and whole shingle sets of the classes that meet others."""
-    candidates = keep(classes.join(units.select("cid").distinct(), "cid", "left_semi"), "candidates")
+def _candidate_sets(docs: DataFrame, classes: DataFrame, depths: DataFrame, units: DataFrame, words: int) -> DataFrame:
+    """copies, n, label, depths and whole shingle sets of the classes that meet others."""
+    candidates = keep(classes.join(units.select("cid").distinct(), "cid", "left_semi").join(depths, "cid"), "candidates")
     ids = candidates.select(F.col("rep").alias("id")).distinct()
     ids = F.broadcast(ids) if candidates.count() <= BROADCAST_ROWS else ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -250,13 +315,13 @@ def _candidate_sets(docs: DataFrame, classes: DataFrame, units: DataFrame, words
     return candidates.drop("rep").join(sets, "cid")
 
 
-def _verify(units: DataFrame, sets: DataFrame, threshold: float, depth: int) -> DataFrame:
+def _verify(units: DataFrame, sets: DataFrame, threshold: float, trees: int, least: int) -> DataFrame:
     """cid, links, root of every class with links, a row for each unit."""
-    order = ["tree", "key", "lo", "hi"]
+    order = ["tree", "node", "lo", "hi"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in runs(batches, order):
-            cids, links, roots = verified_links(unit, threshold, depth)
+            cids, links, roots = verified_links(unit, threshold, trees, least)
             if cids:
                 yield pa.RecordBatch.from_arrays([pa.array(cids, pa.binary()), pa.array(links), pa.array(roots, pa.binary())], ["cid", "links", "root"])
 

@@ -67,32 +67,29 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
 
 
 class MinHash:
-    """Labels of a forest: for each tree the lowest ``depth`` minima, 16 bits of each, as one long."""
+    """Labels of a forest: for each tree ``depth`` minima, the low 16 bits of each, first minimum first.
+
+    A label is the trees' paths one behind the other, two bytes for each minimum,
+    so that a node of a trie is a prefix of a path, and paths sort as bytes do.
+    """
 
     def __init__(self, trees: int, depth: int, seed: int = 1):
-        if not 1 <= depth <= 4:
-            raise ValueError("a label holds 1 to 4 minima")
         rng = np.random.default_rng(seed)
         n = trees * depth
         self.trees, self.depth = trees, depth
         self.factors = rng.integers(1, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
         self.masks = rng.integers(0, 1 << 63, n, np.uint64)
 
-    def labels(self, shingles: np.ndarray, block: int = 2048) -> np.ndarray:
-        """int64 labels, one for each tree; shingles must not be empty."""
+    def label(self, shingles: np.ndarray, block: int = 2048) -> bytes:
+        """The paths of a set; shingles must not be empty."""
         least = None
         for at in range(0, len(shingles), block):
             part = shingles[at : at + block]
             values = ((part[:, None] ^ self.masks) * self.factors >> np.uint64(24)).min(axis=0)
             least = values if least is None else np.minimum(least, values)
-        minima = (mix(least) & np.uint64(0xFFFF)).reshape(self.trees, self.depth)
-        label = np.zeros(self.trees, np.uint64)
-        for i in range(self.depth):
-            label = (label << np.uint64(16)) | minima[:, i]
-        return label.view(np.int64)
+        return (mix(least) & np.uint64(0xFFFF)).astype(">u2").tobytes()
 
 
-def minima_of(labels: np.ndarray, depth: int) -> np.ndarray:
-    """The 16-bit minima that rows of labels hold, (rows, trees * depth)."""
-    flat = labels.view(np.uint64)[:, :, None] >> (np.uint64(16) * np.arange(depth, dtype=np.uint64))
-    return (flat & np.uint64(0xFFFF)).astype(np.uint16).reshape(len(labels), -1)
+def paths_of(labels: list[bytes], trees: int) -> np.ndarray:
+    """Minima of labels, (rows, trees, depth)."""
+    return np.frombuffer(b"".join(labels), ">u2").reshape(len(labels), trees, -1)

@@ -86,6 +86,59 @@ def test_prefix_length():
         jaccard.prefix_length(0.5, 2, 4, 0.999)
 
 
+def test_paths_are_shortened_no_more_than_recall_asks():
+    import math
+
+    def miss(depths):
+        return math.prod(1 - 0.8**d for d in depths)
+
+    alone = jaccard.chosen_depths([], 16, 4, 8, 0.8, 0.9995)
+    assert alone == [4] * 16
+    # One crowded tree, in which longer prefixes leave few: it stays long, for the others pay nothing.
+    crowded = [(3, d, n) for d, n in zip(range(4, 9), (9000, 500, 40, 5, 2))]
+    depths = jaccard.chosen_depths(crowded, 16, 4, 8, 0.8, 0.9995)
+    assert depths[3] > 4 and set(depths[:3] + depths[4:]) == {4} and miss(depths) <= 0.0005
+    rng = random.Random(1)
+    for _ in range(50):
+        sizes = []
+        for t in range(16):
+            n = 4000
+            for d in range(4, 9):
+                sizes.append((t, d, n))
+                n = rng.randint(1, n)
+        depths = jaccard.chosen_depths(sizes, 16, 4, 8, 0.8, 0.9995)
+        assert miss(depths) <= 0.0005 and set(depths) - {4}
+    assert jaccard.chosen_depths([(t, d, 10) for t in range(16) for d in range(4, 9)], 16, 4, 8, 0.8, 1 - 1e-9) == [4] * 16
+
+
+@pytest.mark.parametrize("longest", [4, 5, 8])
+def test_longest_prefix(spark, longest):
+    rows = corpus(7, groups=6, size=8, words=60)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in run(spark, rows, longest=longest)} == brute(rows)
+
+
+def test_crowded_nodes(spark):
+    """Many texts about as alike as the threshold, among them pairs that stop at unlike depths."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(400)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(rng.choice([3, 8, 12, 25])):
+            own[rng.randrange(400)] = f"c{rng.randrange(5000)}"
+        rows.append((i, " ".join(own)))
+    got, want = {r.doc_id: (r.class_id, r.n_links) for r in run(spark, rows)}, brute(rows)
+    assert {i: c for i, (c, _) in got.items()} == {i: c for i, (c, _) in want.items()}
+    assert all(got[i][1] <= want[i][1] for i in want)
+    assert sum(n for _, n in got.values()) >= 0.9985 * sum(n for _, n in want.values())
+
+
+def test_a_hub_is_dealt_out(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(30)]
+    got = {r.u: r.root for r in components(spark.createDataFrame(edges, "u int, v int")).collect()}
+    assert got == {i: 0 for i in range(3000)} | {5000 + i: 5000 for i in range(31)}
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(50), 100 + rng.randrange(50)) for _ in range(40)] + [(7, 7)]
