@@ -123,3 +123,18 @@ def test_repeated_ids_are_judged_text_by_text(spark):
     rest = [(i, t) for i, t in got if i not in (8, 11)]
     kept = [(1, text("a")), (5, text("b")), (6, text("c")), (6, text("d")), (10, None), (10, text("f")), (None, text("g")), (None, text("a"))]
     assert sorted(rest, key=str) == sorted(kept, key=str)
+
+
+def test_long_texts_and_clashing_columns(spark):
+    """Names that the stages use inside, and texts of a megabyte with a secret at the end or nothing but blanks."""
+    long = "the of and to in is " * 50_000 + "token=abcdefgh12"
+    rows = [(1, long), (2, "the of and to in " * 40), (3, " " * 1_200_000), (4, "the of and to in " * 40)]
+    extra = "cid binary, score double, blob string, seq long, pid long, label string, root string, length int, spans string, hit string"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), b"c", 1.0, "b", 1, 2, "l", "r", 3, "x", "h") for i, t in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    by = {name: stage(spark, docs, DATA).collect() for name, stage in p.STAGES}
+    assert {r.doc_id for r in by["language"]} == {1, 2, 4} and {r.doc_id for r in by["toxicity"]} >= {2, 3, 4}
+    assert {r.doc_id for r in by["near_duplicates"]} == {1, 2, 3}
+    assert {r.doc_id: r.text for r in by["secrets"]}[1] == long.replace("token=abcdefgh12", "[SECRET]")
+    assert {r.doc_id for r in by["packing"]} == {1, 2, 3, 4} and sum(r.length for r in by["packing"] if r.doc_id == 3) > 1000
+    for name, _ in p.STAGES[:-1]:
+        assert all(r.asDict().keys() == set(p.COLUMNS) for r in by[name])
