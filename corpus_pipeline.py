@@ -24,14 +24,23 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a letter, and those whose language is a guess."""
+    """Drop texts without a letter, and those whose language is a guess.
+
+    A null or empty text has no letter, so it goes. Repeated rows and ties are
+    judged row by row, by the whole text; no documents give none, and columns
+    other than those of documents are left out.
+    """
     found = language_id.with_language(docs, language_id.trained_on(docs), COLUMNS)
     sure = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
     return found.where(sure).select(*COLUMNS)
 
 
 def low_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that score as toxic."""
+    """Drop documents that score as toxic, by any window of the whole text.
+
+    A null or empty text is not toxic. Labels count for the documents that reached
+    this stage. Repeated rows are judged alike; no documents give none.
+    """
     model = toxicity.trained_on(docs, table(spark, sf_dir, "labels"))
     return toxicity.with_toxicity(docs, model, COLUMNS).where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
 
@@ -39,7 +48,10 @@ def low_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each class, of its least doc_id; a doc_id with several texts is judged text by text.
 
-    Rows without a doc_id stay.
+    Texts that are null or without words are alike only under one doc_id, of which
+    one row stays. Of repeated rows one stays; which of several with unlike other
+    columns is not defined. Rows without a doc_id stay, copies among them too.
+    Whole texts are compared; no documents give none.
     """
     found = keep(jaccard.text_classes(docs).where("doc_id IS NOT NULL").select("doc_id", "cid", "root", "class_id"), "text-classes")
     by_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts"), F.max("class_id").alias("class_id"))
@@ -58,7 +70,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put a mark in place of every secret, private keys as a whole; texts without one stay as they are."""
+    """Put a mark in place of every secret, private keys as a whole; texts without one stay as they are.
+
+    All rows stay, repeated ones, null and empty texts (null stays null) and null
+    doc_ids too; n_chars is that of the new text. Overlapping secrets get one mark.
+    """
     found, _ = secrets_scan.scan_secrets(docs, rules=secrets_scan.WHOLE_RULES)
     hits = found.where(F.size("spans") > 0).select(F.col("blob").alias("hit"), "spans").dropDuplicates(["hit"])
     blob = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
@@ -68,8 +84,11 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens with their places in sequences of 1024."""
-    return packing.best_fit_packing(keep(packing.token_pieces(docs), "pieces"))
+    """Pieces of the documents' tokens with their places in sequences of 1024.
+
+    A null text is packed as an empty one, repeated rows each by itself; no documents give no rows.
+    """
+    return packing.best_fit_packing(packing.token_pieces(docs))
 
 
 STAGES = [
