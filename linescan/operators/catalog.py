@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from linescan.functions.layout import Bucket, check_buckets
 from linescan.functions.matching import matches, matches_any
 
-#: Prefixes of more different lengths than this are compared by a join on the bucket alone.
-MOST_LENGTHS = 16
-
 
 def prefix_grid(hours: DataFrame, buckets: list[Bucket]) -> DataFrame:
     """(bucket, prefix, dt, hour): every bucket at every hour of ``hours`` (dt, hour)."""
@@ -23,16 +20,15 @@ def select_prefixes(catalog: DataFrame, grid: DataFrame, distinct: bool = False,
 
     An object appears once for each prefix that it starts with, or once at all if
     ``distinct``. ``boundary`` asks that the key ends or goes on with ``/`` behind
-    the prefix. Prefixes of a layout have few lengths, so the test is an equality
-    of key starts and prefixes, a hash join on either side's own scale.
+    the prefix. The test is an equality of key starts and prefixes, a hash join on
+    either side's own scale: prefixes of a layout have few lengths, and a key is
+    cut at those lengths only.
     """
-    sizes = sorted(r[0] for r in grid.select(F.length("prefix")).distinct().limit(MOST_LENGTHS + 1).collect())
-    if len(sizes) <= MOST_LENGTHS:
-        starts = F.filter(F.array(*(F.substring("key", 1, n) for n in sizes)), lambda s: s.isNotNull())
-        tagged = catalog.withColumn("prefix", F.explode(F.array_distinct(starts))).join(grid, ["bucket", "prefix"])
-    else:
-        names = grid.withColumnRenamed("bucket", "grid_bucket")
-        tagged = catalog.join(names, (F.col("bucket") == F.col("grid_bucket")) & F.col("key").startswith(F.col("prefix"))).drop("grid_bucket")
+    # A number for each length, at most as many as a key has characters.
+    sizes = sorted(r[0] for r in grid.where("prefix IS NOT NULL").select(F.length("prefix")).distinct().collect())
+    cuts = F.filter(F.array(*(F.lit(n) for n in sizes)).cast("array<int>"), lambda n: n <= F.length("key"))
+    starts = F.transform(cuts, lambda n: F.substring(F.col("key"), F.lit(1), n))
+    tagged = catalog.withColumn("prefix", F.explode(starts)).join(grid, ["bucket", "prefix"])
     if boundary:
         behind = F.substring("key", F.length("prefix") + 1, F.lit(1))
         tagged = tagged.where((behind == "") | (behind == "/") | F.col("prefix").endswith("/"))

@@ -20,10 +20,21 @@ def output_by_prefix(matched: DataFrame, prefix: str = "prefix") -> DataFrame:
 
 
 def output_files(spark: SparkSession, directory: str) -> DataFrame:
-    """One row: files below an output directory and their bytes."""
+    """One row: files below an output directory and their bytes, whoever wrote them."""
     return totals(list_objects(spark, directory)).select(F.col("objects").alias("files"), F.col("bytes").alias("compressed_bytes"))
 
 
+def output_of_run(written: DataFrame) -> DataFrame:
+    """The same of the files that one run wrote, from the rows of ``written_files``."""
+    return written.agg(F.count("*").alias("files"), F.coalesce(F.sum("compressed_bytes"), F.lit(0)).alias("compressed_bytes"))
+
+
+def written_by_prefix(written: DataFrame) -> DataFrame:
+    """For each prefix of a run's files, lines, plaintext and compressed bytes."""
+    sums = (F.sum(c).alias(c) for c in ("lines", "plaintext_bytes", "compressed_bytes"))
+    return written.groupBy("prefix").agg(*sums)
+
+
 def compression_ratio(plain: Column, compressed: Column) -> Column:
     """plain / compressed, 0 where nothing was written."""
     return F.when(compressed > 0, plain / compressed).otherwise(F.lit(0.0))

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import time
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linescan.functions.hours import hour_grid
 from linescan.functions.layout import Bucket, check_buckets
-from linescan.functions.matching import check_pattern, matches
+from linescan.functions.matching import check_pattern, matches, matches_any
 from linescan.operators import catalog as objects
 from linescan.operators import summary
+from linescan.session import scratch
 from linescan.sources.catalog import list_objects
 from linescan.sources.http_lines import delivery_stats, write_http
-from linescan.sources.lines import literal_path, read_lines, with_source
-from linescan.sources.zstd_lines import write_lines
+from linescan.sources.lines import key_of, read_prefixes, with_source
+from linescan.sources.zstd_lines import write_lines, written_files
 
 
 def match_lines(lines: DataFrame, pattern: str | None, ignore_case: bool = False) -> DataFrame:
@@ -29,52 +31,85 @@ def match_lines(lines: DataFrame, pattern: str | None, ignore_case: bool = False
 def select_objects(
     spark: SparkSession, roots: dict[str, str], buckets: list[Bucket], start: datetime, end: datetime, key_regex: str | None = None, distinct: bool = True, truncate: bool = False,
 ) -> DataFrame:
-    """The catalog of the objects that a search reads: listed, cut to the hours' prefixes, filtered by key."""
+    """The catalog of the objects that a search reads: listed under the hours' prefixes, filtered by key."""
     if key_regex is not None:
         check_pattern(spark, key_regex)
     found = None
-    hours = hour_grid(spark, start, end, truncate)
-    for bucket in check_buckets(buckets):
-        grid = objects.prefix_grid(hours, [bucket])
-        listed = list_objects(spark, roots[bucket.name], bucket.name)
+    for bucket, grid, prefixes in _grids(spark, buckets, start, end, truncate):
+        listed = list_objects(spark, roots[bucket.name], bucket.name, prefixes)
         own = objects.filter_suffixes(objects.select_prefixes(listed, grid, distinct), bucket.patterns)
         found = own if found is None else found.unionByName(own)
     return objects.filter_keys(found, key_regex)
 
 
+def _grids(spark: SparkSession, buckets: list[Bucket], start: datetime, end: datetime, truncate: bool) -> list[tuple[Bucket, DataFrame, list[str]]]:
+    """Each bucket with its grid and its prefixes: one for each hour of the range, whatever the archive holds."""
+    hours = hour_grid(spark, start, end, truncate)
+    out = []
+    for bucket in check_buckets(buckets):
+        grid = objects.prefix_grid(hours, [bucket])
+        out.append((bucket, grid, sorted({r.prefix for r in grid.select("prefix").collect()})))
+    return out
+
+
 def search(
     spark: SparkSession, roots: dict[str, str], buckets: list[Bucket], start: datetime, end: datetime, key_regex: str | None = None,
     line_regex: str | None = None, ignore_case: bool = False, distinct: bool = True, truncate: bool = False, skip_bad: bool = False,
 ) -> DataFrame:
     """(value, bucket, key, size, last_modified, prefix, dt, hour) of every matching line.
 
-    ``roots`` says where each bucket lies. Names of the chosen files go to the
-    driver, as with any file scan; only those files are opened.
+    ``roots`` says where each bucket lies. Only folders under the hours' prefixes
+    are listed; keys are tested where Spark plans the scan, so files that are not
+    chosen are never opened and no list of keys is made. The prefix is looked up
+    for the lines that match, not for those that are read.
     """
-    chosen = objects.require_objects(select_objects(spark, roots, buckets, start, end, key_regex, distinct, truncate))
+    objects.require_objects(select_objects(spark, roots, buckets, start, end, key_regex, distinct, truncate))
     out = None
-    for bucket in buckets:
+    for bucket, grid, prefixes in _grids(spark, buckets, start, end, truncate):
         root = roots[bucket.name].rstrip("/")
-        own = chosen.where(F.col("bucket") == bucket.name)
-        paths = [f"{root}/{literal_path(r.key)}" for r in own.select("key").distinct().toLocalIterator()]
-        if not paths:
+        if list_objects(spark, root, bucket.name, prefixes).isEmpty():
             continue
-        lines = with_source(read_lines(spark, paths, skip_bad), root, bucket.name)
-        lines = match_lines(lines, line_regex, ignore_case)
-        tagged = lines.join(own.select("bucket", "key", "prefix", "dt", "hour"), ["bucket", "key"])
+        key = key_of(root)
+        sizes = sorted({len(p) for p in prefixes}, reverse=True)
+        # What lies behind the prefix must match a pattern; of a key that starts with no prefix, nothing is tagged.
+        behind = reduce(Column.__or__, (matches_any(F.substring(key, n + 1, 1 << 30), bucket.patterns) for n in sizes))
+        lines = read_prefixes(spark, root, prefixes, skip_bad).where(matches(key, key_regex)).where(behind)
+        tagged = _tagged(with_source(match_lines(lines, line_regex, ignore_case), root, bucket.name), grid, sizes, distinct)
+        tagged = objects.filter_suffixes(tagged, bucket.patterns).select("value", "bucket", "key", "size", "last_modified", "prefix", "dt", "hour")
         out = tagged if out is None else out.unionByName(tagged)
     return out
 
 
+def _tagged(lines: DataFrame, grid: DataFrame, sizes: list[int], distinct: bool) -> DataFrame:
+    """``lines`` plus prefix, dt and hour: once for each prefix of the key, or once, for the longest one."""
+    if distinct:  # a layout without hours has one prefix for many of them; the first one counts
+        grid = grid.groupBy("bucket", "prefix").agg(F.min(F.struct("dt", "hour")).alias("t")).select("bucket", "prefix", "t.*")
+    if not distinct or len(sizes) == 1:
+        return objects.select_prefixes(lines, grid)
+    grid = grid.select("bucket", F.col("prefix").alias("p"), F.struct("prefix", "dt", "hour").alias("hit"))
+    hits = []
+    for n in sizes:
+        own = grid.where(F.length("p") == n).select("bucket", "p", F.col("hit").alias(f"hit{n}"))
+        lines = lines.withColumn("p", F.substring("key", 1, n)).join(own, ["bucket", "p"], "left").drop("p")
+        hits.append(F.col(f"hit{n}"))
+    found = lines.withColumn("hit", F.coalesce(*hits)).where("hit IS NOT NULL")
+    return found.select("*", "hit.*")
+
+
 def search_to_files(spark: SparkSession, directory: str, level: int = 3, **query) -> DataFrame:
-    """Run a search, write zstd files by prefix, and return the run's summary."""
+    """Run a search, write zstd files by prefix, and return the run's summary.
+
+    The text is read once: lines and bytes are counted by the writer, so other
+    files in the directory change no figure.
+    """
     began = time.monotonic()
-    found = search(spark, **query)
-    write_lines(found, directory, level)
-    packed = summary.output_files(spark, directory).first()
+    stats = scratch(spark, "written")
+    write_lines(search(spark, **query), directory, level, stats_path=stats)
+    written = written_files(spark, stats)
+    packed = summary.output_of_run(written).first()
     seconds = time.monotonic() - began
     chosen = select_objects(spark, **{k: v for k, v in query.items() if k in ("roots", "buckets", "start", "end", "key_regex", "distinct", "truncate")})
-    return summary.run_summary(chosen, summary.output_by_prefix(found), query.get("line_regex"), directory, packed.compressed_bytes, seconds)
+    return summary.run_summary(chosen, summary.written_by_prefix(written), query.get("line_regex"), directory, packed.compressed_bytes, seconds)
 
 
 def search_to_http(spark: SparkSession, url: str, stats_path: str, options: dict | None = None, **query) -> DataFrame:

@@ -1,7 +1,8 @@
 """Sink ``http_lines``: lines posted in zstd batches.
 
 Every task packs its own lines and sends them; there is no shuffle. Delivery is
-at least once: a task that Spark runs again sends again.
+at least once: a task that Spark runs again sends again. The first refusal leaves
+a mark in the shared folder, at which all other tasks stop sending.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from linescan.functions.delivery import FIRST_DELAY_MS, response_class, retries_allowed
+from linescan.session import scratch
 
 LEAST_RATE = 2_000_000.0
 STATS_SCHEMA = "lines_sent long, lines_dropped long, batches_sent long, plaintext_bytes_sent long, compressed_bytes_sent long, seconds double, fatal string"
@@ -40,6 +42,7 @@ class Settings:
     decrease: float = 0.15
     increase: float = 1_000_000.0
     stats_path: str | None = None
+    stop_path: str | None = None
     fail_on_drop: bool = False
 
     @classmethod
@@ -53,7 +56,7 @@ class Settings:
             timeout=number("timeout", 30.0), max_batch_bytes=int(number("maxBatchBytes", 2 * 1024 * 1024)), level=int(number("level", 3)),
             max_retries=retries_allowed(int(number("maxRetries", 1))), max_rate=rate / max(1.0, number("tasks", 1.0)) if rate else None,
             max_submission_time=number("maxSubmissionTime", None), decrease=number("decrease", 0.15), increase=number("increase", 1_000_000.0),
-            stats_path=options.get("statsPath"), fail_on_drop=options.get("failOnDrop", "false").lower() == "true",
+            stats_path=options.get("statsPath"), stop_path=options.get("stopPath"), fail_on_drop=options.get("failOnDrop", "false").lower() == "true",
         )
 
 
@@ -94,9 +97,11 @@ class Pacer:
         if self.lowered is not None and now - self.lowered < max(1.0, (self.s.max_submission_time or 0) / 2):
             return False
         if self.rate is None:
-            self.ceiling = max(self.sent / max(now - self.began, 1e-3), LEAST_RATE)
-            self.rate = self.ceiling
-        self.rate = max(self.rate * (1 - self.s.decrease), min(LEAST_RATE, self.ceiling))
+            # What was reached so far; before anything was sent, ten times the least.
+            self.ceiling = self.sent / max(now - self.began, 1e-3) if self.sent else 10 * LEAST_RATE
+            self.rate = self.ceiling * (1 - self.s.decrease)
+        else:
+            self.rate = max(self.rate * (1 - self.s.decrease), min(LEAST_RATE, self.ceiling))
         self.left, self.filled, self.lowered = 0.0, now, now
         return True
 
@@ -141,16 +146,43 @@ def post(settings: Settings, body: bytes) -> tuple[int | None, float | None, str
         return None, None, str(error)
 
 
+class Stop:
+    """A mark in the shared folder: some task was refused. A single check for each batch of megabytes."""
+
+    def __init__(self, path: str | None):
+        self.path = path
+
+    def is_set(self) -> bool:
+        if not self.path:
+            return False
+        from pyarrow import fs
+
+        from linescan.sources.zstd_lines import file_system
+
+        system, path = file_system(self.path)
+        return system.get_file_info(path).type != fs.FileType.NotFound
+
+    def set(self) -> None:
+        if self.path:
+            from linescan.sources.zstd_lines import file_system
+
+            system, path = file_system(self.path)
+            system.create_dir(path.rpartition("/")[0], recursive=True)
+            with system.open_output_stream(path) as out:
+                out.write(b"refused")
+
+
 class Sender:
     """Sends one task's batches; waits between tries, and counts what becomes of the lines."""
 
     def __init__(self, settings: Settings, sleep=time.sleep):
         self.s, self.sleep = settings, sleep
         self.pacer = Pacer(settings, sleep=sleep)
+        self.stop = Stop(settings.stop_path)
         self.out = Delivered()
 
     def send(self, body: bytes, lines: int, plain: int) -> None:
-        if self.out.fatal:
+        if self.out.fatal or self.stop.is_set():
             self.out.lines_dropped += lines
             return
         refused = failed = 0
@@ -170,6 +202,7 @@ class Sender:
                 return
             if kind == "fatal":
                 self.out.fatal = f"HTTP {status}: {said}"
+                self.stop.set()
             elif kind == "throttled":
                 self.pacer.lower()
                 refused += 1
@@ -225,9 +258,9 @@ def finish(settings: Settings, messages: list[Delivered | None]) -> None:
     """
     out = total(messages)
     if settings.stats_path:
-        from linescan.sources.zstd_lines import _file_system
+        from linescan.sources.zstd_lines import file_system
 
-        system, root = _file_system(settings.stats_path)
+        system, root = file_system(settings.stats_path)
         system.create_dir(root, recursive=True)
         with system.open_output_stream(f"{root}/stats-{uuid.uuid4().hex}.json") as sink:
             sink.write(json.dumps(asdict(out)).encode())
@@ -281,8 +314,10 @@ def payload(lines: DataFrame) -> DataFrame:
 
 def write_http(lines: DataFrame, url: str, **options) -> None:
     """Post the lines of ``value``. Options are those of ``Settings.of``: tokenEnv, timeout, maxBatchBytes,
-    level, maxRetries (10 at most), maxRate with tasks, maxSubmissionTime, statsPath, failOnDrop."""
+    level, maxRetries (10 at most), maxRate with tasks, maxSubmissionTime, statsPath, failOnDrop; stopPath is
+    where the first refusal leaves its mark, a new path in the shared folder unless given."""
     lines.sparkSession.dataSource.register(HttpLines)
+    options.setdefault("stopPath", scratch(lines.sparkSession, "stop"))
     payload(lines).write.format("http_lines").options(url=url, **{k: str(v) for k, v in options.items()}).mode("append").save()
 
 

@@ -51,21 +51,34 @@ def _in_hours(key: Column, hours: list[tuple[str, str]]) -> Column:
     return key.isin(keys)
 
 
+def prefix_glob(root: str, prefixes: list[str]) -> str:
+    """One pattern for whatever lies below ``root`` under one of the prefixes, which are taken literally."""
+    inside = sorted({re.sub(r"([,\[\]{}*?\\])", r"\\\1", p) for p in prefixes})
+    return f"{literal_path(root.rstrip('/'))}/{{{','.join(inside)}}}*"
+
+
 def read_prefixes(spark: SparkSession, root: str, prefixes: list[str], skip_bad: bool = False) -> DataFrame:
-    """(value) of the files whose path below ``root`` starts with one of the prefixes; prefixes without files add nothing."""
-    glob = "{" + ",".join(sorted({p.rstrip("/") for p in prefixes})) + "}"
-    return _reader(spark, skip_bad).option("recursiveFileLookup", True).text(f"{root.rstrip('/')}/{glob}*")
+    """(value) of the files whose path below ``root`` starts with one of the prefixes; prefixes without files add nothing.
+
+    Only folders under the prefixes are listed. If there is no file at all, Spark's error says so.
+    """
+    return _reader(spark, skip_bad).option("recursiveFileLookup", True).text(prefix_glob(root, prefixes))
+
+
+def key_of(root: str) -> Column:
+    """The key, relative to ``root``, of the file that a row was read from; a filter on it opens no file in vain."""
+    base = root.split("://", 1)[-1].rstrip("/").removeprefix("file:")
+    # The path is a URI, in which a plus sign stands for itself.
+    return F.substring_index(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), base + "/", -1)
 
 
 def with_source(lines: DataFrame, root: str, bucket: str | None = None) -> DataFrame:
     """``lines`` plus bucket, key, size and last_modified of the file of each line."""
     base = root.split("://", 1)[-1].rstrip("/").removeprefix("file:")
-    # The path is a URI, in which a plus sign stands for itself.
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return lines.select(
         *lines.columns,
         F.lit(bucket if bucket is not None else base.rsplit("/", 1)[-1]).alias("bucket"),
-        F.substring_index(path, base + "/", -1).alias("key"),
+        key_of(root).alias("key"),
         F.col("_metadata.file_size").alias("size"),
         F.col("_metadata.file_modification_time").alias("last_modified"),
     )
@@ -75,7 +88,8 @@ def spread(df: DataFrame) -> DataFrame:
     """``df``, dealt out evenly if it comes in fewer partitions than tasks can run at once.
 
     A small table in one row group is one task, whatever is done with each row; a
-    large one has partitions enough and is left alone.
+    large one has partitions enough and is left alone. For bare scans: the number of
+    partitions is read off the plan, which for a plan with a shuffle may run stages.
     """
     spark = df.sparkSession
     tasks = spark.sparkContext.defaultParallelism

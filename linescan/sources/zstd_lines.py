@@ -2,28 +2,47 @@
 
 Spark writes text with its own codecs only, zstd is not among them; this writer
 compresses in the tasks. A task gets whole prefixes, sorted, and holds one open
-file at a time. Files are written under hidden names and put in place by the
-commit, so failed and repeated tasks leave no half files.
+file at a time; a prefix too large for a task is split by adaptive execution and
+becomes several files. Files are written under hidden names that carry the
+write's id and put in place by the commit, which removes what failed or repeated
+tasks left. The writer counts what it writes, so no figure needs a second look
+at the lines or at the folder.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 DEFAULT_LEVEL = 3
+#: Where lines without a prefix go.
+NO_PREFIX = "__null__"
+WRITTEN_SCHEMA = "prefix string, file string, lines long, plaintext_bytes long, compressed_bytes long"
+
+
+@dataclass
+class WrittenFile:
+    hidden: str
+    prefix: str
+    lines: int = 0
+    plaintext_bytes: int = 0
+    compressed_bytes: int = 0
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[tuple[str, str]]
+    files: list[WrittenFile]
 
 
 class ZstdLines(DataSource):
@@ -32,75 +51,148 @@ class ZstdLines(DataSource):
         return "zstd_lines"
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return ZstdLinesWriter(self.options["path"], int(self.options.get("level", DEFAULT_LEVEL)))
+        return ZstdLinesWriter(self.options["path"], int(self.options.get("level", DEFAULT_LEVEL)), self.options.get("statspath"))
 
 
-def _file_system(path: str):
+def file_system(path: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def same_runs(column: pa.Array) -> list[tuple[int, int]]:
+    """(start, end) of the runs of one value in a column without nulls."""
+    if len(column) == 0:
+        return []
+    new = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+    edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(column)]
+    return list(zip(edges, edges[1:]))
+
+
 class ZstdLinesWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, level: int):
+    def __init__(self, path: str, level: int, stats_path: str | None = None):
         if not 1 <= level <= 22:
             raise ValueError("zstd levels are 1 to 22")
-        self.path, self.level = path, level
+        self.path, self.level, self.stats_path = path, level, stats_path
+        self.run = uuid.uuid4().hex  # one for all tasks of this write
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         import zstandard
 
-        system, root = _file_system(self.path)
-        run, done = uuid.uuid4().hex, []
-        name = sink = stream = None
+        system, root = file_system(self.path)
+        attempt, done = uuid.uuid4().hex, []
+        sink = stream = None
 
         def close() -> None:
             if sink is not None:
                 stream.close()
+                done[-1].compressed_bytes = sink.tell()
                 sink.close()
 
-        for batch in iterator:
-            for prefix, value in zip(batch.column("name").to_pylist(), batch.column("value").to_pylist()):
-                if prefix != name:
-                    close()
-                    name = prefix
-                    folder, _, base = f"{root}/{prefix}".rpartition("/")
-                    system.create_dir(folder, recursive=True)
-                    hidden = f"{folder}/.{base}.{run}.tmp"
-                    sink = system.open_output_stream(hidden)
-                    stream = zstandard.ZstdCompressor(level=self.level).stream_writer(sink, closefd=False)
-                    done.append((hidden, f"{root}/{prefix}.zst"))
-                stream.write(value + b"\n")
-        close()
+        try:
+            for batch in iterator:
+                names = batch.column("name")
+                for a, b in same_runs(names):
+                    name = names[a].as_py()
+                    if not done or name != done[-1].prefix:
+                        close()
+                        folder, _, base = f"{root}/{name}".rpartition("/")
+                        system.create_dir(folder, recursive=True)
+                        done.append(WrittenFile(f"{folder}/.{base}.{self.run}.{attempt}.tmp", name))
+                        sink = system.open_output_stream(done[-1].hidden)
+                        stream = zstandard.ZstdCompressor(level=self.level).stream_writer(sink, closefd=False)
+                    text = b"\n".join([*batch.column("value").slice(a, b - a).to_pylist(), b""])
+                    stream.write(text)
+                    done[-1].lines += b - a
+                    done[-1].plaintext_bytes += len(text)
+            close()
+        except BaseException:
+            for f in done:
+                _delete(system, f.hidden)
+            raise
         return Written(done)
 
     def commit(self, messages: list[Written | None]) -> None:
-        system, _ = _file_system(self.path)
+        system, root = file_system(self.path)
+        by_prefix = defaultdict(list)
         for message in messages:
-            for hidden, final in message.files if message else []:
-                system.move(hidden, final)
+            for f in message.files if message else []:
+                by_prefix[f.prefix].append(f)
+        folders, rows = defaultdict(set), []
+        for prefix, files in by_prefix.items():
+            folder, _, base = f"{root}/{prefix}".rpartition("/")
+            for k, f in enumerate(sorted(files, key=lambda f: f.hidden)):
+                file = f"{base}.zst" if len(files) == 1 else f"{base}.part-{k}.zst"
+                system.move(f.hidden, f"{folder}/{file}")
+                folders[folder].add((base, file))
+                rows.append({"prefix": prefix, "file": f"{prefix[: len(prefix) - len(base)]}{file}", "lines": f.lines, "plaintext_bytes": f.plaintext_bytes, "compressed_bytes": f.compressed_bytes})
+        for folder, kept in folders.items():
+            self._clear(system, folder, kept)
+        if self.stats_path:
+            stats, path = file_system(self.stats_path)
+            stats.create_dir(path, recursive=True)
+            with stats.open_output_stream(f"{path}/written-{self.run}.json") as out:
+                out.write("".join(json.dumps(r) + "\n" for r in rows).encode())
+
+    def _clear(self, system, folder: str, kept: set[tuple[str, str]]) -> None:
+        """Remove hidden files of this write, and earlier files of the prefixes that it wrote."""
+        from pyarrow import fs
+
+        names, bases = {file for _, file in kept}, {base for base, _ in kept}
+        for info in system.get_file_info(fs.FileSelector(folder)):
+            name = info.base_name
+            base, _, part = name.removesuffix(".zst").rpartition(".part-")
+            old = name.endswith(".zst") and name not in names and (name[:-4] in bases or (base in bases and part.isdigit()))
+            if old or f".{self.run}." in name:
+                _delete(system, info.path)
 
     def abort(self, messages: list[Written | None]) -> None:
-        system, _ = _file_system(self.path)
-        for message in messages:
-            for hidden, _ in message.files if message else []:
-                system.delete_file(hidden)
+        from pyarrow import fs
 
+        system, root = file_system(self.path)
+        for info in system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
+            if f".{self.run}." in info.base_name:
+                _delete(system, info.path)
 
-def write_lines(lines: DataFrame, directory: str, level: int = DEFAULT_LEVEL, by_bucket: bool = False, parts: int = 1) -> None:
+
+def _delete(system, path: str) -> None:
+    try:
+        system.delete_file(path)
+    except OSError:  # gone already
+        pass
+
+
+def write_lines(
+    lines: DataFrame, directory: str, level: int = DEFAULT_LEVEL, by_bucket: bool = False, parts: int = 1, stats_path: str | None = None
+) -> None:
     """Write (prefix, value) lines to ``directory/prefix.zst``; ``value`` may be text or bytes.
 
     Files of the prefixes present are replaced, others stay. Lines with a null
-    value are no lines. ``by_bucket`` puts a folder of the bucket in front, else
-    buckets share a prefix's file. ``parts`` above 1 deals every prefix to so many
-    files ``prefix-k.zst``, for prefixes too large for one task.
+    value are no lines; lines with a null prefix go to ``__null__.zst``.
+    ``by_bucket`` puts a folder of the bucket in front, else buckets share a
+    prefix's file. A prefix that adaptive execution splits becomes
+    ``prefix.part-k.zst``; ``parts`` above 1 deals every prefix to so many files
+    ``prefix-k.zst``. ``stats_path`` is a folder that gets a row for each file
+    written, see ``written_files``.
     """
-    lines.sparkSession.dataSource.register(ZstdLines)
-    name = F.concat_ws("/", "bucket", "prefix") if by_bucket else F.col("prefix")
+    spark = lines.sparkSession
+    spark.dataSource.register(ZstdLines)
+    name = F.coalesce("prefix", F.lit(NO_PREFIX))
+    if by_bucket:
+        name = F.concat_ws("/", "bucket", name)
     if parts > 1:
         name = F.concat(name, F.lit("-"), F.pmod(F.xxhash64("value"), F.lit(parts)).cast("string"))
-    rows = lines.where("value IS NOT NULL AND prefix IS NOT NULL").select(name.alias("name"), F.col("value").cast("binary").alias("value"))
-    rows.repartition("name").sortWithinPartitions("name").write.format("zstd_lines").option("level", level).mode("append").save(directory)
+    rows = lines.where("value IS NOT NULL").select(name.alias("name"), F.col("value").cast("binary").alias("value"))
+    dealt = spark.sql("SELECT /*+ REBALANCE(name) */ name, value FROM {rows}", rows=rows).sortWithinPartitions("name")
+    writer = dealt.write.format("zstd_lines").option("level", level)
+    if stats_path:
+        writer = writer.option("statsPath", stats_path)
+    writer.mode("append").save(directory)
+
+
+def written_files(spark: SparkSession, stats_path: str) -> DataFrame:
+    """(prefix, file, lines, plaintext_bytes, compressed_bytes) of the files that writes with this ``stats_path`` put in place."""
+    return spark.read.schema(WRITTEN_SCHEMA).json(stats_path)
 
 
 def write_partitioned(lines: DataFrame, directory: str, form: str = "text", compression: str = "gzip") -> None:

@@ -178,3 +178,104 @@ def test_streams(spark, tmp_path, server):
         time.sleep(0.2)
     spark.streams.removeListener(rows)
     assert sum(r.matches or 0 for r in rows.table(spark).collect()) >= 6
+
+
+def test_one_pass_over_the_text(spark, tmp_path):
+    """The lines are read once, files that are not chosen are never opened, and foreign files change no figure."""
+    root = hour_tree(tmp_path / "in")
+    hour = tmp_path / "in" / "logs" / "dt=20240315" / "hour=08"
+    (hour / "service-z.json.gz").write_bytes(b"\x1f\x8b no gzip at all")
+    (tmp_path / "in" / "logs" / "dt=20240315" / "hour=11").mkdir()
+    (tmp_path / "in" / "logs" / "dt=20240315" / "hour=11" / "service-a.json.gz").write_bytes(b"nor this")
+    out = tmp_path / "out"
+    out.mkdir()
+    (out / "foreign.zst").write_bytes(b"x" * 1000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().size()
+    run = search_to_files(spark, str(out), roots={"b": root}, buckets=[BUCKET], **RANGE, line_regex="error", ignore_case=True).first()
+    plans = [store.executionsList().apply(i).physicalPlanDescription() for i in range(before, store.executionsList().size())]
+    assert sum("Scan text" in p for p in plans) == 1
+    written = [p for p in out.rglob("*.zst") if p.name != "foreign.zst"]
+    assert len(written) == 2 and run.compressed_bytes == sum(p.stat().st_size for p in written)
+    assert (run.files_searched, run.matches, run.plaintext_bytes) == (2, 2, 20) and run.ratio == 20 / run.compressed_bytes
+
+
+def test_overlapping_prefixes(spark, tmp_path):
+    root = hour_tree(tmp_path / "in")
+    wide = Bucket("b", [("static", "logs"), ("date", "dt=%Y%m%d")])
+    both = {"roots": {"b": root}, "start": RANGE["start"], "end": RANGE["end"], "key_regex": "service-a"}
+    got = search(spark, buckets=[wide], **both)
+    assert sorted(r.value for r in got.collect()) == ["a08 ERROR", "a09 ERROR", "a10 ERROR"] and {r.prefix for r in got.collect()} == {"logs/dt=20240315"}
+    assert sorted(r.value for r in search(spark, buckets=[wide], distinct=False, **both).collect()) == sorted(["a08 ERROR", "a09 ERROR", "a10 ERROR"] * 2)
+
+
+def test_null_prefixes_and_figures_of_the_writer(spark, tmp_path):
+    from linescan.sources.zstd_lines import written_files
+
+    rows = [("a/b", f"line {i}é") for i in range(300)] + [(None, "lost"), (None, "found"), ("a/c", "")]
+    write_lines(spark.createDataFrame(rows, "prefix string, value string"), str(tmp_path / "out"), stats_path=str(tmp_path / "stats"))
+    got = {r.prefix: r for r in written_files(spark, str(tmp_path / "stats")).collect()}
+    assert {k: (r.file, r.lines, r.plaintext_bytes) for k, r in got.items()} == {
+        "a/b": ("a/b.zst", 300, sum(len(v.encode()) + 1 for _, v in rows[:300])), "__null__": ("__null__.zst", 2, 11), "a/c": ("a/c.zst", 1, 1),
+    }
+    for r in got.values():
+        assert (tmp_path / "out" / r.file).stat().st_size == r.compressed_bytes
+    assert sorted(unpacked(tmp_path / "out" / "__null__.zst").split()) == [b"found", b"lost"]
+
+
+def test_large_prefixes_are_split(spark, tmp_path):
+    from linescan.sources.zstd_lines import written_files
+
+    lines = spark.range(200_000).repartition(8).selectExpr("if(id % 10 = 0, 'cold', 'hot') AS prefix", "concat('line ', sha2(cast(id AS string), 256)) AS value")
+    for k in (0, 1):
+        with_size = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": ["300k", "1g"][k], "spark.sql.adaptive.rebalancePartitionsSmallPartitionFactor": "0.2"}
+        for name, value in with_size.items():
+            spark.conf.set(name, value)
+        write_lines(lines, str(tmp_path / "out"), stats_path=str(tmp_path / f"stats{k}"))
+        for name in with_size:
+            spark.conf.unset(name)
+        rows = written_files(spark, str(tmp_path / f"stats{k}")).collect()
+        files = [r for r in rows if r.prefix == "hot"]
+        assert (len(files) > 3) if k == 0 else (len(files) == 1)
+        assert sum(r.lines for r in rows) == 200_000
+        assert {str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.zst")} == {r.file for r in rows}  # nothing stays of the first time
+        assert sum(unpacked(tmp_path / "out" / r.file).count(b"\n") for r in files) == 180_000
+
+
+def test_failed_tasks_leave_nothing(spark, tmp_path):
+    bad = spark.range(100).selectExpr("'p' AS prefix", "if(id = 99, raise_error('broken'), 'x') AS value")
+    bad = bad.unionByName(spark.range(1000).selectExpr("'q' AS prefix", "'y' AS value"))
+    with pytest.raises(Exception):
+        write_lines(bad, str(tmp_path / "out"))
+    from linescan.sources.zstd_lines import Written, WrittenFile, ZstdLinesWriter
+
+    writer = ZstdLinesWriter(str(tmp_path / "out"), 3)
+    (tmp_path / "out").mkdir(exist_ok=True)
+    (tmp_path / "out" / f".p.{writer.run}.attempt.tmp").write_bytes(b"of a failed attempt")
+    (tmp_path / "out" / "kept.zst").write_bytes(b"")
+    writer.abort([None])
+    assert [p.name for p in (tmp_path / "out").rglob("*") if p.is_file()] == ["kept.zst"]
+    (tmp_path / "out" / f".p.{writer.run}.1.tmp").write_bytes(b"one")
+    (tmp_path / "out" / f".p.{writer.run}.2.tmp").write_bytes(b"again")
+    writer.commit([Written([WrittenFile(str(tmp_path / "out" / f".p.{writer.run}.2.tmp"), "p")])])
+    assert sorted(p.name for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["kept.zst", "p.zst"] and (tmp_path / "out" / "p.zst").read_bytes() == b"again"
+
+
+def test_first_refusal_stops_all_tasks(spark, server, tmp_path):
+    server.then = 403
+    lines = spark.range(4000).repartition(40).selectExpr("concat('line ', id) AS value")
+    with pytest.raises(Exception, match="HTTP 403"):
+        write_http(lines, server.url, maxRetries=5, statsPath=str(tmp_path))
+    assert 1 <= len(server.seen) <= 12  # the tasks that ran at that moment, not all 40
+    stats = delivery_stats(spark, str(tmp_path)).first()
+    assert (stats.lines_sent, stats.lines_dropped) == (0, 4000)
+
+
+def test_ceiling_before_anything_was_sent():
+    clock = Clock()
+    pacer = Pacer(Settings("u", max_submission_time=4.0), clock, clock.sleep)
+    clock.now = 5.0
+    assert pacer.lower() and pacer.ceiling == 10 * LEAST_RATE and pacer.rate == pytest.approx(10 * LEAST_RATE * 0.85)
+    for _ in range(100):
+        pacer.done(1, 1.0)
+    assert pacer.rate == 10 * LEAST_RATE
