@@ -6,6 +6,9 @@ hour, whose size is that of its properties, in one of three buckets.
 
 from __future__ import annotations
 
+import time
+
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +17,13 @@ from linescan.functions.layout import Bucket, check_buckets
 from linescan.functions.matching import matches
 from linescan.operators import batches, summary
 from linescan.operators import catalog as objects
-from linescan.operators import delivery as delivery_log
 from linescan.plans.search import match_lines
 from linescan.session import scratch
 from linescan.sources import lines as line_source
 from linescan.sources.catalog import from_inventory, list_objects
-from linescan.sources.zstd_lines import write_lines, write_partitioned
+from linescan.sources.endpoint import Endpoint
+from linescan.sources.http_lines import delivery_stats, write_http
+from linescan.sources.zstd_lines import file_system, write_lines, write_partitioned, written_files
 from linescan.streaming import search_stream as streams
 
 QUERIES: dict = {}
@@ -75,12 +79,12 @@ def buckets() -> list[Bucket]:
     return [Bucket(f"b{i}", [("static", "logs/"), ("date", "dt=20240101/hour=00")]) for i in range(3)]
 
 
-def event_hours(spark: SparkSession, sf_dir: str, share: int = 1) -> DataFrame:
-    """The hours between the first event and the last one, or the first part of them."""
+def event_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hours between the first event and the last one."""
     ts = F.col("ts").cast("timestamp_ntz")
     bounds = table(spark, sf_dir, "events").agg(F.min(ts).alias("a"), F.max(ts).alias("z"))
     bounds = bounds.select(F.date_trunc("hour", "a").cast("timestamp_ntz").alias("a"), "z")
-    return hours.grid_between(bounds, "a", "z") if share == 1 else hours.grid_between(bounds, "a", "z").where(F.col("hour") < str(24 // share).zfill(2))
+    return hours.grid_between(bounds, "a", "z")
 
 
 GRID_SQL = """bounds AS (SELECT date_trunc('hour', min(ts)) AS a, max(ts) AS z FROM events),
@@ -89,11 +93,11 @@ prefixes AS (SELECT 'b' || i AS bucket, 'logs/dt=' || dt || '/hour=' || hour AS
 
 
 def tagged_catalog(spark: SparkSession, sf_dir: str, distinct: bool = False) -> DataFrame:
-    grid = objects.prefix_grid(event_hours(spark, sf_dir, 2), buckets())
+    grid = objects.prefix_grid(event_hours(spark, sf_dir), buckets())
     return objects.select_prefixes(event_catalog(spark, sf_dir), grid, distinct)
 
 
-TAGGED_SQL = f"{EVENTS_SQL}, {GRID_SQL}, tagged AS (SELECT o.bucket, o.key, o.size, o.last_modified, p.prefix, p.dt, p.hour FROM objects o JOIN prefixes p ON o.bucket = p.bucket AND starts_with(o.key, p.prefix) WHERE p.hour < '12')"
+TAGGED_SQL = f"{EVENTS_SQL}, {GRID_SQL}, tagged AS (SELECT o.bucket, o.key, o.size, o.last_modified, p.prefix, p.dt, p.hour FROM objects o JOIN prefixes p ON o.bucket = p.bucket AND starts_with(o.key, p.prefix))"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,16 +167,53 @@ def a9(spark, sf_dir):
 # --- B: catalog -------------------------------------------------------------------------------
 
 
-@query("b1_list_objects", f"WITH {EVENTS_SQL} SELECT bucket, key, size, last_modified FROM objects")
-def b1(spark, sf_dir):
+@query("b1_from_inventory", f"WITH {EVENTS_SQL} SELECT bucket, key, size, last_modified FROM objects")
+def b1_inventory(spark, sf_dir):
     return event_catalog(spark, sf_dir)
 
 
+HALF_DAYS_SQL = "half AS (SELECT strftime(ts, '%Y%m%d') AS dt, CASE WHEN hour(ts) < 12 THEN '00' ELSE '12' END AS hour, props AS value FROM events)"
+
+
+def _hour_tree(spark, sf_dir, compression="gzip"):
+    root = scratch(spark, "hours")
+    events = keyed_events(spark, sf_dir)
+    half = F.when(F.col("hour") < "12", "00").otherwise("12").alias("hour")
+    write_partitioned(events.select("dt", half, F.col("props").alias("value")), root, compression=compression)
+    return root
+
+
+@query("b1_list_objects", f"WITH {HALF_DAYS_SQL} SELECT 'tree' AS bucket, 'dt=' || dt || '/hour=' || hour AS folder, CAST(sum(strlen(value) + 1) AS BIGINT) AS bytes, true AS dated FROM half GROUP BY ALL")
+def b1(spark, sf_dir):
+    """The files of a tree of plain text, by folder: their sizes are the bytes of the lines."""
+    found = list_objects(spark, _hour_tree(spark, sf_dir, "none"), "tree")
+    folder = F.regexp_extract("key", "^(.*)/[^/]*$", 1)
+    return found.groupBy("bucket", folder.alias("folder")).agg(F.sum("size").alias("bytes"), F.every(F.col("last_modified").isNotNull()).alias("dated"))
+
+
+@query("b1_list_under_prefixes", f"WITH {HALF_DAYS_SQL} SELECT 'dt=' || dt || '/hour=' || hour AS folder, CAST(sum(strlen(value) + 1) AS BIGINT) AS bytes FROM half WHERE dt[7:8] BETWEEN '05' AND '09' GROUP BY ALL")
+def b1_pruned(spark, sf_dir):
+    """The same, listing only the folders of some days."""
+    found = list_objects(spark, _hour_tree(spark, sf_dir, "none"), "tree", [f"dt=2024010{d}" for d in range(5, 10)])
+    return found.groupBy(F.regexp_extract("key", "^(.*)/[^/]*$", 1).alias("folder")).agg(F.sum("size").alias("bytes"))
+
+
 @query("b2_select_prefixes", f"WITH {TAGGED_SQL} SELECT * FROM tagged")
 def b2(spark, sf_dir):
     return tagged_catalog(spark, sf_dir).select("bucket", "key", "size", "last_modified", "prefix", "dt", "hour")
 
 
+@query("b2_select_time_range", f"WITH {TAGGED_SQL}, cut AS (SELECT min(ts) AS a, max(ts) AS z FROM events) SELECT bucket, key, prefix FROM tagged, cut WHERE strptime(dt || hour, '%Y%m%d%H') BETWEEN date_trunc('hour', a) + INTERVAL 30 HOUR AND z - INTERVAL 30 HOUR")
+def b2_range(spark, sf_dir):
+    """Only hours from 30 after the first event to 30 before the last one."""
+    ts = F.col("ts").cast("timestamp_ntz")
+    bounds = table(spark, sf_dir, "events").agg(F.min(ts).alias("a"), F.max(ts).alias("z"))
+    day = F.expr("INTERVAL 30 HOUR")
+    bounds = bounds.select((F.date_trunc("hour", "a").cast("timestamp_ntz") + day).alias("a"), (F.col("z") - day).alias("z"))
+    grid = objects.prefix_grid(hours.grid_between(bounds, "a", "z"), buckets())
+    return objects.select_prefixes(event_catalog(spark, sf_dir), grid).select("bucket", "key", "prefix")
+
+
 OVERLAP_SQL = f"WITH {EVENTS_SQL}, days AS (SELECT DISTINCT bucket, dt FROM ev), grid AS (SELECT bucket, 'logs/dt=' || dt AS prefix FROM days UNION ALL SELECT DISTINCT bucket, 'logs/dt=' || dt || '/hour=' || hour FROM ev)"
 
 
@@ -260,16 +301,6 @@ def c5(spark, sf_dir):
     return _measures(line_source.with_source(line_source.read_lines(spark, root), root), "key")
 
 
-HALF_DAYS_SQL = "half AS (SELECT strftime(ts, '%Y%m%d') AS dt, CASE WHEN hour(ts) < 12 THEN '00' ELSE '12' END AS hour, props AS value FROM events)"
-
-
-def _hour_tree(spark, sf_dir):
-    root = scratch(spark, "hours")
-    events = keyed_events(spark, sf_dir)
-    write_partitioned(events.select("dt", F.when(F.col("hour") < "12", "00").otherwise("12").alias("hour"), F.col("props").alias("value")), root)
-    return root
-
-
 @query("c6_prune_hours", f"WITH {HALF_DAYS_SQL} SELECT dt, hour, {MEASURES_SQL} FROM half WHERE hour = '12' AND dt[7:8] < '15' GROUP BY ALL")
 def c6(spark, sf_dir):
     days = [r.dt for r in keyed_events(spark, sf_dir).select("dt").distinct().toLocalIterator()]
@@ -281,9 +312,17 @@ def c7(spark, sf_dir):
     return _measures(doc_lines(spark, sf_dir), "doc_id")
 
 
-@query("c8_skip_bad_files", f"WITH {LINES_SQL} SELECT {MEASURES_SQL} FROM lines")
+@query("c8_skip_bad_files", f"WITH {LINES_SQL} SELECT {MEASURES_SQL} FROM lines WHERE doc_id % 5 <> 0")
 def c8(spark, sf_dir):
-    return _measures(line_source.read_lines(spark, _read_back(spark, sf_dir, "gzip"), skip_bad=True))
+    """Sound gzip files beside files that only bear the name: the lines of a fifth of the documents are lost with them."""
+    root, found = scratch(spark, "damaged"), doc_lines(spark, sf_dir)
+    found.where("doc_id % 5 <> 0").select("value").write.option("lineSep", "\n").option("compression", "gzip").text(f"{root}/sound")
+    found.where("doc_id % 5 = 0").select("value").write.option("lineSep", "\n").text(f"{root}/bad")
+    system, folder = file_system(f"{root}/bad")
+    for f in system.get_file_info(fs.FileSelector(folder)):
+        if f.base_name.endswith(".txt"):
+            system.move(f.path, f"{f.path}.gz")
+    return _measures(line_source.read_lines(spark, root, skip_bad=True))
 
 
 # --- D: matching ------------------------------------------------------------------------------
@@ -346,16 +385,29 @@ def e3(spark, sf_dir):
     return summary.output_by_prefix(_matched(spark, sf_dir), "source")
 
 
-@query("e4_output_files")
+def _written(spark, found: DataFrame):
+    """The folder that the lines were written to, by source, and the writer's own figures."""
+    root, stats = scratch(spark, "output"), scratch(spark, "output-stats")
+    write_lines(found.withColumn("prefix", F.col("source")), root, stats_path=stats)
+    return root, written_files(spark, stats)
+
+
+@query("e4_output_files", f"WITH {LINES_SQL} SELECT count(DISTINCT source) AS files, true AS as_listed FROM lines")
 def e4(spark, sf_dir):
-    return summary.output_files(spark, _read_back(spark, sf_dir, "zstd"))
+    """Files and compressed bytes by the writer's figures, held against a listing of the folder."""
+    root, written = _written(spark, doc_lines(spark, sf_dir))
+    run, listed = summary.output_of_run(written), summary.output_files(spark, root).toDF("listed", "listed_bytes")
+    same = (F.col("files") == F.col("listed")) & (F.col("compressed_bytes") == F.col("listed_bytes"))
+    return run.crossJoin(listed).select("files", same.alias("as_listed"))  # one row each
 
 
-@query("e5_compression_ratio", "SELECT source, sum(CASE WHEN n_chars > 300 THEN strlen(text) ELSE 0 END) / CAST(nullif(sum(n_chars), 0) AS DOUBLE) AS ratio FROM documents GROUP BY ALL")
+@query("e5_compression_ratio", f"WITH {LINES_SQL} SELECT source AS prefix, {MEASURES_SQL}, true AS packed, true AS exact FROM lines GROUP BY source")
 def e5(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").groupBy("source")
-    plain = F.sum(F.when(F.col("n_chars") > 300, F.octet_length("text")).otherwise(0))
-    return docs.agg(summary.compression_ratio(plain, F.sum("n_chars")).alias("ratio"))
+    """Plain by compressed bytes of each file that was written; the ratio itself depends on the codec, so its product is shown."""
+    _, written = _written(spark, doc_lines(spark, sf_dir))
+    ratio = summary.compression_ratio(F.col("plaintext_bytes"), F.col("compressed_bytes"))
+    exact = F.round(ratio * F.col("compressed_bytes")).cast("long") == F.col("plaintext_bytes")
+    return summary.written_by_prefix(written).select("prefix", "lines", "plaintext_bytes", (ratio > 1).alias("packed"), exact.alias("exact"))
 
 
 @query("e6_throughput", "SELECT user_id, sum(value) / 1000000 / (date_diff('microsecond', min(ts), max(ts)) / 1000000.0) AS mb_s FROM events GROUP BY user_id HAVING max(ts) > min(ts)")
@@ -366,10 +418,16 @@ def e6(spark, sf_dir):
 
 
 @query("e7_run_summary", f"""WITH {MATCHED_SQL}, {EVENTS_SQL}, m AS (SELECT {MEASURES_SQL} FROM matched), o AS (SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM objects)
-SELECT files AS files_searched, bytes AS bytes_searched, lines AS matches, plaintext_bytes, CAST(1000 AS BIGINT) AS compressed_bytes, plaintext_bytes / 1000.0 AS ratio, '{PATTERN}' AS pattern, 'files' AS destination FROM m, o""")
+SELECT files AS files_searched, bytes AS bytes_searched, lines AS matches, plaintext_bytes, true AS packed, true AS timed, '{PATTERN}' AS pattern, 'files' AS destination FROM m, o""")
 def e7(spark, sf_dir):
-    by = summary.output_by_prefix(_matched(spark, sf_dir), "source")
-    return summary.run_summary(event_catalog(spark, sf_dir), by, PATTERN, "files", 1000, 1.0).drop("plaintext_mb_s", "compressed_mb_s")
+    """The record of a run that wrote the matched lines: figures of the writer, seconds by the clock."""
+    began = time.monotonic()
+    _, written = _written(spark, _matched(spark, sf_dir))
+    packed = summary.output_of_run(written).first().compressed_bytes
+    run = summary.run_summary(event_catalog(spark, sf_dir), summary.written_by_prefix(written), PATTERN, "files", packed, time.monotonic() - began)
+    timed = (F.col("plaintext_mb_s") > F.col("compressed_mb_s")) & (F.col("compressed_mb_s") > 0)
+    sized = (F.col("ratio") > 1) & (F.col("compressed_bytes") == packed)
+    return run.select("files_searched", "bytes_searched", "matches", "plaintext_bytes", sized.alias("packed"), timed.alias("timed"), "pattern", "destination")
 
 
 # --- F: sinks and delivery --------------------------------------------------------------------
@@ -438,25 +496,70 @@ def f8(spark, sf_dir):
     return _log(spark, sf_dir).select("event_id", delivery.retry_delay_ms(F.col("retry"), F.col("retry_after")).alias("delay_ms"))
 
 
-@query("f9_delivery_stats", f"WITH {LOG_SQL} SELECT count(*) FILTER ({CLASS_SQL} = 'ok') AS sent, count(*) FILTER ({CLASS_SQL} <> 'ok') AS dropped, CAST(sum(n) FILTER ({CLASS_SQL} = 'ok') AS BIGINT) AS bytes FROM log")
-def f9(spark, sf_dir):
+@query("f9_outcomes_of_a_log", f"WITH {LOG_SQL} SELECT count(*) FILTER ({CLASS_SQL} = 'ok') AS sent, count(*) FILTER ({CLASS_SQL} <> 'ok') AS dropped, CAST(sum(n) FILTER ({CLASS_SQL} = 'ok') AS BIGINT) AS bytes FROM log")
+def f9_log(spark, sf_dir):
     ok = delivery.classify_response(F.col("status")) == "ok"
     return _log(spark, sf_dir).agg(F.count_if(ok).alias("sent"), F.count_if(~ok).alias("dropped"), F.sum(F.when(ok, F.col("n"))).alias("bytes"))
 
 
-@query("f10_fatal_abort", f"""WITH {LOG_SQL}, k AS (SELECT event_id, {CLASS_SQL} AS class FROM log), o AS (
-  SELECT e.user_id % 10 AS task, class, coalesce(max(CAST(class = 'fatal' AS INT)) OVER (PARTITION BY e.user_id % 10 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM k JOIN events e USING (event_id)
-) SELECT task, CASE WHEN stopped = 1 THEN 'stopped' WHEN class = 'ok' THEN 'sent' ELSE 'dropped' END AS outcome, count(*) AS n FROM o GROUP BY ALL""")
+def _urls(spark, sf_dir) -> DataFrame:
+    """The URLs of the pages as lines, in four parts."""
+    return table(spark, sf_dir, "pages").select(F.col("url").alias("value")).repartition(4)
+
+
+def _sent(spark, lines: DataFrame, answer, **options):
+    """What a server on this machine saw, and the sink's own figures. ``answer`` gives a body's status."""
+    stats = scratch(spark, "delivery")
+    with Endpoint(spark, answer) as server:
+        try:
+            write_http(lines, server.url, statsPath=stats, **options)
+        except Exception as refusal:
+            if "was refused" not in str(refusal):
+                raise
+    return server, delivery_stats(spark, stats)
+
+
+@query("f6_write_http", "SELECT count(*) AS lines, CAST(sum(strlen(url) + 1) AS BIGINT) AS plaintext_bytes, true AS as_received, true AS few_requests FROM pages WHERE url IS NOT NULL")
+def f6(spark, sf_dir):
+    """Lines posted in batches: what the sink counts is what the server unpacked."""
+    server, stats = _sent(spark, _urls(spark, sf_dir), lambda body: 200)
+    same = (F.col("lines_sent") == server.lines) & (F.col("plaintext_bytes_sent") == server.plain) & (F.col("compressed_bytes_sent") == server.packed)
+    few = (F.col("batches_sent") == server.requests) & (F.col("batches_sent") < F.col("lines_sent"))
+    return stats.select(F.col("lines_sent").alias("lines"), F.col("plaintext_bytes_sent").alias("plaintext_bytes"), same.alias("as_received"), few.alias("few_requests"))
+
+
+@query("f9_delivery_stats", "SELECT count(*) FILTER (NOT contains(url, '7')) AS lines_sent, count(*) FILTER (contains(url, '7')) AS lines_dropped, CAST(coalesce(sum(strlen(url) + 1) FILTER (NOT contains(url, '7')), 0) AS BIGINT) AS plaintext_bytes_sent FROM pages WHERE url IS NOT NULL")
+def f9(spark, sf_dir):
+    """A line a batch; the server fails for lines with a seven, which are dropped and counted while the run goes on."""
+    _, stats = _sent(spark, _urls(spark, sf_dir), lambda body: 503 if b"7" in body else 200, maxBatchBytes=1, maxRetries=0)
+    return stats.select("lines_sent", "lines_dropped", "plaintext_bytes_sent")
+
+
+@query("f10_fatal_abort", "SELECT CAST(0 AS BIGINT) AS lines_sent, count(*) AS lines_dropped, true AS refused, true AS stopped FROM pages WHERE url IS NOT NULL")
 def f10(spark, sf_dir):
-    tasks = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 10).alias("task"))
-    log = _log(spark, sf_dir).join(tasks, "event_id")
-    return delivery_log.until_fatal(log, "task", "event_id").groupBy("task", "outcome").agg(F.count("*").alias("n"))
+    """A server that refuses: each task that was sending at that moment is refused once, and nothing else is sent."""
+    server, stats = _sent(spark, _urls(spark, sf_dir), lambda body: 403, maxBatchBytes=1, maxRetries=5)
+    stopped = F.lit(server.requests <= 4)  # four tasks, a request each at most
+    return stats.select("lines_sent", "lines_dropped", F.col("fatal").startswith("HTTP 403").alias("refused"), stopped.alias("stopped"))
 
 
-@query("f11_max_rate", "SELECT event_id, greatest(0.0, (sum(strlen(props)) OVER (PARTITION BY user_id ORDER BY event_id) - 64) / CAST(16 AS DOUBLE)) AS earliest FROM events")
+@query("f11_max_rate", "SELECT count(*) AS lines_sent, true AS held FROM pages WHERE url IS NOT NULL")
 def f11(spark, sf_dir):
-    log = table(spark, sf_dir, "events").select("event_id", "user_id", F.octet_length("props").alias("n"))
-    return delivery_log.paced(log, "user_id", "event_id", "n", 16.0, 64.0).select("event_id", "earliest")
+    """A cap divided among four tasks: the run takes as long as the bytes beyond the buckets ask for, and longer than half a second."""
+    lines = _urls(spark, sf_dir)
+    rate = lines.agg(F.sum(F.octet_length("value"))).first()[0] or 1  # about a second's work
+    began = time.monotonic()
+    _, stats = _sent(spark, lines, lambda body: 200, maxBatchBytes=1, maxRate=rate, tasks=4)
+    took = time.monotonic() - began
+    least = (F.col("compressed_bytes_sent") - 4 * F.col("compressed_bytes_sent") / F.col("batches_sent")) / rate / 2
+    return stats.select("lines_sent", (F.lit(took) >= least).alias("held"))
+
+
+@query("f12_adaptive_rate", "SELECT count(*) AS lines_sent, true AS adapted FROM pages WHERE url IS NOT NULL")
+def f12(spark, sf_dir):
+    """Answers slower than the threshold lower a task's rate; everything is sent all the same."""
+    _, stats = _sent(spark, _urls(spark, sf_dir), lambda body: time.sleep(0.2) or 200, maxSubmissionTime=0.1)
+    return stats.select("lines_sent", F.col("rate_cuts").between(1, 4).alias("adapted"))
 
 
 ERRORS_SQL = "['AccessDenied', 'slow down', 'error NoSuchBucket: x', 'timeout', '', 'ExpiredTokenException'][user_id % 6 + 1] || ' at ' || event_type"

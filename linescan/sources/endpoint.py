@@ -1,0 +1,51 @@
+"""A server on the driver's machine that counts what is posted to it, for trying out the sink ``http_lines``."""
+
+from __future__ import annotations
+
+import threading
+from collections.abc import Callable
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+from pyspark.sql import SparkSession
+
+
+class Endpoint:
+    """Unpacks each body, answers with what ``answer`` says of it, and counts; nothing is held."""
+
+    def __init__(self, spark: SparkSession, answer: Callable[[bytes], int]):
+        self.requests = self.lines = self.plain = self.packed = 0
+        lock = threading.Lock()
+        seen = self
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_POST(self):
+                import zstandard
+
+                body = self.rfile.read(int(self.headers["Content-Length"]))
+                text = zstandard.ZstdDecompressor().stream_reader(body).read()
+                status = answer(text)
+                with lock:
+                    seen.requests += 1
+                    if status == 200:
+                        seen.lines += text.count(b"\n")
+                        seen.plain += len(text)
+                        seen.packed += len(body)
+                self.send_response(status)
+                self.send_header("Content-Length", "0")
+                self.end_headers()
+
+            def log_message(self, *args):
+                pass
+
+        local = spark.sparkContext.master.startswith("local")
+        host = "127.0.0.1" if local else spark.conf.get("spark.driver.host")
+        self._server = ThreadingHTTPServer((host, 0), Handler)
+        self.url = f"http://{host}:{self._server.server_address[1]}/"
+
+    def __enter__(self) -> Endpoint:
+        threading.Thread(target=self._server.serve_forever, daemon=True).start()
+        return self
+
+    def __exit__(self, *args) -> None:
+        self._server.shutdown()
+        self._server.server_close()

@@ -26,7 +26,7 @@ from linescan.functions.delivery import FIRST_DELAY_MS, response_class, retries_
 from linescan.session import scratch
 
 LEAST_RATE = 2_000_000.0
-STATS_SCHEMA = "lines_sent long, lines_dropped long, batches_sent long, plaintext_bytes_sent long, compressed_bytes_sent long, seconds double, fatal string"
+STATS_SCHEMA = "lines_sent long, lines_dropped long, batches_sent long, plaintext_bytes_sent long, compressed_bytes_sent long, seconds double, rate_cuts long, fatal string"
 
 
 @dataclass
@@ -76,7 +76,7 @@ class Pacer:
         self.room = self.left = 2.0 * settings.max_batch_bytes
         self.began = self.filled = clock()
         self.lowered: float | None = None
-        self.sent = 0
+        self.sent = self.cuts = 0
 
     def wait(self, size: int) -> None:
         if self.rate is None:
@@ -103,6 +103,7 @@ class Pacer:
         else:
             self.rate = max(self.rate * (1 - self.s.decrease), min(LEAST_RATE, self.ceiling))
         self.left, self.filled, self.lowered = 0.0, now, now
+        self.cuts += 1
         return True
 
     def done(self, size: int, seconds: float) -> None:
@@ -123,6 +124,7 @@ class Delivered(WriterCommitMessage):
     plaintext_bytes_sent: int = 0
     compressed_bytes_sent: int = 0
     seconds: float = 0.0
+    rate_cuts: int = 0
     fatal: str | None = None
 
 
@@ -222,22 +224,27 @@ def send_all(settings: Settings, batches: Iterator[pa.RecordBatch]) -> Delivered
     import zstandard
 
     sender = Sender(settings)
-    packer, parts, size, lines, plain = None, [], 0, 0, 0
+    packer, parts, size, pending, lines, plain = None, [], 0, 0, 0, 0
     for batch in batches:
         for value in batch.column("value").to_pylist():
             if value is None:
                 continue
             if packer is None:
-                packer, parts, size, lines, plain = zstandard.ZstdCompressor(level=settings.level).compressobj(), [], 0, 0, 0
+                packer, parts, size, pending, lines, plain = zstandard.ZstdCompressor(level=settings.level).compressobj(), [], 0, 0, 0, 0
             part = packer.compress(value + b"\n")
-            size, lines, plain = size + len(part), lines + 1, plain + len(value) + 1
+            lines, plain, pending = lines + 1, plain + len(value) + 1, 0 if part else pending + len(value) + 1
+            if size + pending >= settings.max_batch_bytes:
+                # What the compressor holds back may fill the batch.
+                part, pending = part + packer.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK), 0
             if part:
                 parts.append(part)
+                size += len(part)
             if size >= settings.max_batch_bytes:
                 sender.send(b"".join([*parts, packer.flush()]), lines, plain)
                 packer = None
     if packer is not None:
         sender.send(b"".join([*parts, packer.flush()]), lines, plain)
+    sender.out.rate_cuts = sender.pacer.cuts
     return sender.out
 
 
@@ -245,7 +252,7 @@ def total(messages: list[Delivered | None]) -> Delivered:
     out = Delivered()
     for m in messages:
         if m:
-            for name in ("lines_sent", "lines_dropped", "batches_sent", "plaintext_bytes_sent", "compressed_bytes_sent", "seconds"):
+            for name in ("lines_sent", "lines_dropped", "batches_sent", "plaintext_bytes_sent", "compressed_bytes_sent", "seconds", "rate_cuts"):
                 setattr(out, name, getattr(out, name) + getattr(m, name))
             out.fatal = out.fatal or m.fatal
     return out
