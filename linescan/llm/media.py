@@ -162,22 +162,50 @@ def difference_hash(image: np.ndarray) -> str:
     return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
 
 
-def npy_tile(image: np.ndarray, side: int) -> bytes:
-    out = io.BytesIO()
+def rounded(image: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """Means of an image's samples as samples of its own depth."""
     top = 65535 if image.dtype.itemsize == 2 else 255
-    pixels = np.clip(np.rint(area_resize(image, side, side)), 0, top)
-    pixels = np.ascontiguousarray(pixels, np.uint16 if top > 255 else np.uint8)
-    np.save(out, pixels, allow_pickle=False)
+    return np.clip(np.rint(means), 0, top).astype(np.uint16 if top > 255 else np.uint8)
+
+
+def npy(pixels: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.save(out, np.ascontiguousarray(pixels), allow_pickle=False)
     return out.getvalue()
 
 
+def npy_tile(image: np.ndarray, side: int) -> bytes:
+    """The whole image as one tile."""
+    return npy(rounded(image, area_resize(image, side, side)))
+
+
+def tiles(image: np.ndarray, side: int) -> list[dict]:
+    """The image cut into about square parts, each an NPY tile of ``side`` by ``side`` with its own difference hash.
+
+    Tiles come by row, then column. One resize makes all of them.
+    """
+    height, width = image.shape[:2]
+    down, across = max(1, round(height / width)), max(1, round(width / height))
+    pixels = rounded(image, area_resize(image, down * side, across * side))
+    small = grey(area_resize(image, down * 8, across * 9))
+    out = []
+    for r in range(down):
+        for c in range(across):
+            part = small[r * 8 : r * 8 + 8, c * 9 : c * 9 + 9]
+            bits = np.packbits(part[:, :-1] < part[:, 1:]).tobytes().hex()
+            out.append({"row": r, "col": c, "dhash": bits, "npy": npy(pixels[r * side : (r + 1) * side, c * side : (c + 1) * side])})
+    return out
+
+
 MEDIA_FIELDS = (
     "height int, width int, channels int, n_samples bigint, samples_sha256 string, tail_crc32 bigint, "
-    "dhash string, tile binary"
+    "dhash string, tile binary, tiles array<struct<row:int,col:int,dhash:string,npy:binary>>"
 )
+_TILE = pa.struct([("row", pa.int32()), ("col", pa.int32()), ("dhash", pa.string()), ("npy", pa.binary())])
 _ARROW = [
     ("height", pa.int32()), ("width", pa.int32()), ("channels", pa.int32()), ("n_samples", pa.int64()),
     ("samples_sha256", pa.string()), ("tail_crc32", pa.int64()), ("dhash", pa.string()), ("tile", pa.binary()),
+    ("tiles", pa.list_(_TILE)),
 ]
 
 
@@ -193,12 +221,12 @@ def describe(data: bytes | None, side: int) -> tuple:
     flat = memoryview(raw.reshape(-1).view(np.uint8))
     return (
         *image.shape[:2], 1 if image.ndim == 2 else image.shape[2], image.size, hashlib.sha256(flat).hexdigest(),
-        zlib.crc32(flat[-64:]), difference_hash(image), npy_tile(image, side),
+        zlib.crc32(flat[-64:]), difference_hash(image), npy_tile(image, side), tiles(image, side),
     )
 
 
 def with_media_features(df: DataFrame, media: str = "media", tile_side: int = 16) -> DataFrame:
-    """``df`` plus what its images hold: size, sample digests, difference hash, NPY tile.
+    """``df`` plus what its images hold: size, sample digests, difference hash, NPY tile, and the tiles of its parts.
 
     Rows are kept as they are, repeated ones too. A null, empty or unreadable
     image has null features. Columns of ``df`` that carry a name of
@@ -237,5 +265,5 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = stored.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
     return with_media_features(stored).select(
         "doc_id", "n_bytes", F.col("n_samples").alias("payload_bytes"), F.col("samples_sha256").alias("payload_sha256"),
-        "tail_crc32", "media_bytes", "media_sha256", F.col("dhash").alias("feature"), "height", "width", "tile",
+        "tail_crc32", "media_bytes", "media_sha256", F.col("dhash").alias("feature"), "height", "width", "tile", "tiles",
     )

@@ -51,3 +51,18 @@ def test_probe(spark):
     text = "</s>[INST] ok [/INST]"
     assert r.n_turns == 2 and r.loss_chars == len(text) and r.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert r.turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+
+
+def test_long_conversations(spark):
+    import random
+
+    rng = random.Random(1)
+    turns = [(1, i, ("user", "assistant")[i % 2], f"turn {i} </s> {rng.random()}") for i in range(4000)]
+    turns += [(2, 0, "user", "x [INST] " * 120_000), (2, 1, "assistant", "<|im_end|>\\" * 80_000)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(4)
+    made = chat.format_conversations(df)
+    for r in made.select("conv_id", "n_turns", "bad_turn", chat.read_back(F.col("formatted")).alias("back"), chat.loss_text(F.col("segments")).alias("loss")).collect():
+        own = [t for t in turns if t[0] == r.conv_id]
+        assert r.bad_turn is None and r.n_turns == len(own) and [(t.role, t.text) for t in r.back] == [t[2:] for t in own]
+        assert r.loss == "".join(t[3] for t in own if t[2] == "assistant")
+    assert chat.format_conversations(df.where("false")).count() == 0

@@ -121,3 +121,19 @@ def test_bad_images_have_null_features(spark):
     ]
     df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(bad)], "k int, media binary")
     assert [r.k for r in media.with_media_features(df).collect() if r.n_samples is not None or r.dhash is not None or r.tile is not None] == []
+
+
+@pytest.mark.parametrize("shape", [(64, 64), (200, 64), (20, 64), (5, 64), (64, 3), (70, 64, 3)])
+def test_tiles_of_parts(shape):
+    image = RNG.integers(0, 256, shape, np.uint8)
+    got = media.tiles(image, 4)
+    down, across = max(1, round(shape[0] / shape[1])), max(1, round(shape[1] / shape[0]))
+    assert [(t["row"], t["col"]) for t in got] == [(r, c) for r in range(down) for c in range(across)]
+    planes = [image] if image.ndim == 2 else [image[..., k] for k in range(3)]
+    whole = np.stack([slow_resize(p, 4 * down, 4 * across) for p in planes], axis=-1)
+    for t in got:
+        pixels = np.load(io.BytesIO(t["npy"])).reshape(4, 4, -1)
+        want = whole[4 * t["row"] : 4 * t["row"] + 4, 4 * t["col"] : 4 * t["col"] + 4]
+        assert pixels.dtype == np.uint8 and np.abs(pixels - want).max() <= 0.5 + 1e-6 and len(t["dhash"]) == 16
+    if len(got) == 1:
+        assert got[0]["dhash"] == media.difference_hash(image) and got[0]["npy"] == media.npy_tile(image, 4)
