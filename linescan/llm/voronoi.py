@@ -218,8 +218,9 @@ def top_k_join(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int | N
     for i, r in enumerate(chosen):
         points[i, : len(r.x)] = r.x
     points = points[far_apart(points, pivots)]
-    # By cell, so that what follows reads a cell's rows together; a large cell fills many ranges.
-    assigned = keep(_assign(rows, points, width).repartitionByRange("cell", "rid").sortWithinPartitions("cell"), "cells")
+    # By cell, so that what follows reads a cell's rows together; a cell is dealt out, as one may hold most of the rows.
+    salt = F.pmod(F.xxhash64("rid"), F.lit(max(16, n // 1_000_000)))
+    assigned = keep(_assign(rows, points, width).repartition("cell", salt).sortWithinPartitions("cell"), "cells")
     # k + 1 distances of each cell: as many numbers as pivots, times that.
     near = Window.partitionBy("cell").orderBy("distance")
     closest = assigned.select("cell", "distance").withColumn("place", F.row_number().over(near)).where(F.col("place") <= k + 1)
