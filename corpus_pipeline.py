@@ -53,6 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     columns is not defined. Rows without a doc_id stay, copies among them too.
     Whole texts are compared; no documents give none.
     """
+    docs = docs.select(*COLUMNS)
     found = keep(jaccard.text_classes(docs).where("doc_id IS NOT NULL").select("doc_id", "cid", "root", "class_id"), "text-classes")
     by_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts"), F.max("class_id").alias("class_id"))
     several = keep(by_id.where("texts > 1").select("doc_id"), "several")
@@ -75,6 +76,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     All rows stay, repeated ones, null and empty texts (null stays null) and null
     doc_ids too; n_chars is that of the new text. Overlapping secrets get one mark.
     """
+    docs = docs.select(*COLUMNS)
     found, _ = secrets_scan.scan_secrets(docs, rules=secrets_scan.WHOLE_RULES)
     hits = found.where(F.size("spans") > 0).select(F.col("blob").alias("hit"), "spans").dropDuplicates(["hit"])
     blob = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
