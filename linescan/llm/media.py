@@ -179,13 +179,16 @@ def npy_tile(image: np.ndarray, side: int) -> bytes:
     return npy(rounded(image, area_resize(image, side, side)))
 
 
-def tiles(image: np.ndarray, side: int) -> list[dict]:
+def tiles(image: np.ndarray, side: int, whole: tuple[str, bytes]) -> list[dict]:
     """The image cut into about square parts, each an NPY tile of ``side`` by ``side`` with its own difference hash.
 
-    Tiles come by row, then column. One resize makes all of them.
+    Tiles come by row, then column. One resize makes all of them; if the image is
+    about square itself, ``whole``, its hash and tile, are those of the one part.
     """
     height, width = image.shape[:2]
     down, across = max(1, round(height / width)), max(1, round(width / height))
+    if down == across == 1:
+        return [{"row": 0, "col": 0, "dhash": whole[0], "npy": whole[1]}]
     pixels = rounded(image, area_resize(image, down * side, across * side))
     small = grey(area_resize(image, down * 8, across * 9))
     out = []
@@ -219,9 +222,10 @@ def describe(data: bytes | None, side: int) -> tuple:
         return (None,) * len(_ARROW)
     raw = np.ascontiguousarray(image)
     flat = memoryview(raw.reshape(-1).view(np.uint8))
+    whole = difference_hash(image), npy_tile(image, side)
     return (
         *image.shape[:2], 1 if image.ndim == 2 else image.shape[2], image.size, hashlib.sha256(flat).hexdigest(),
-        zlib.crc32(flat[-64:]), difference_hash(image), npy_tile(image, side), tiles(image, side),
+        zlib.crc32(flat[-64:]), *whole, tiles(image, side, whole),
     )
 
 
