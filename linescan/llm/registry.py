@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, language_id, media, packing, pieces, secrets_scan, toxicity, url_lists, voronoi
+from . import chat, filter_audit, jaccard, language_id, media, packing, pieces, secrets_scan, toxicity, url_lists, voronoi
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": jaccard.ORACLE_SQL,
@@ -22,4 +23,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_secret_scans": secrets_scan.ORACLE_SQL,
     "op7_url_filters": url_lists.ORACLE_SQL,
     "op9_chat_formatting": chat.ORACLE_SQL,
+    "op13_filter_audit": filter_audit.ORACLE_SQL,
 }
