@@ -28,12 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/corpus/{label}-{uuid.uuid4().hex}"
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table.
 
     This cuts lineage: what follows re-reads files that outlive any executor
     instead of computing ``df`` again. Files stay until the folder is cleared.
     """
-    path = f"{shared_dir(df.sparkSession)}/corpus/{label}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
