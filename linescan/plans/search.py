@@ -24,7 +24,7 @@ from linescan.sources.zstd_lines import write_lines, written_files
 def match_lines(lines: DataFrame, pattern: str | None, ignore_case: bool = False) -> DataFrame:
     """The lines in whose ``value`` the pattern is found; all of them without one."""
     if pattern is not None:
-        check_pattern(lines.sparkSession, pattern)
+        check_pattern(lines.sparkSession, pattern, ignore_case)
     return lines.where(matches(F.col("value"), pattern, ignore_case)) if pattern is not None else lines
 
 

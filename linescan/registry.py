@@ -355,6 +355,15 @@ def d5(spark, sf_dir):
     return found.groupBy("lang").agg(F.sum(F.octet_length("raw")).alias("bytes"), F.sum(F.char_length("value")).alias("chars"))
 
 
+@query("d5_bad_bytes", f"WITH {LINES_SQL} SELECT doc_id, count(*) AS lines, CAST(sum(strlen(value)) AS BIGINT) AS bytes FROM lines WHERE regexp_matches(replace(value, 'e', chr(10)), '(?i)n.(t|d)|(ab|an)+[^q\\n][^q\\n]s') GROUP BY ALL")
+def d5_bad(spark, sf_dir):
+    """Lines in which a byte that is not UTF-8 stands for every e: a pattern passes over it no more than over a newline."""
+    pairs = F.regexp_replace(F.hex(F.col("value")), "(..)", "$1 ")
+    raw = F.unhex(F.replace(F.replace(pairs, F.lit("65 "), F.lit("FF ")), F.lit(" "), F.lit("")))
+    found = match_lines(doc_lines(spark, sf_dir).withColumn("value", raw.cast("string")), r"n.(t|d)|(ab|an)+[^q\n][^q\n]s", ignore_case=True)
+    return found.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.octet_length("value")).alias("bytes"))
+
+
 @query("d6_project_prefix", "SELECT 'role/' || role AS prefix, text AS value FROM conversations WHERE regexp_matches(text, 'tion[^a-z]')")
 def d6(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("role/"), "role").alias("prefix"), F.col("text").alias("value"))

@@ -191,9 +191,13 @@ def test_one_pass_over_the_text(spark, tmp_path):
     out.mkdir()
     (out / "foreign.zst").write_bytes(b"x" * 1000)
     store = spark._jsparkSession.sharedState().statusStore()
-    before = store.executionsList().size()
+    executions = lambda: {e.executionId(): e.physicalPlanDescription() for e in map(store.executionsList().apply, range(store.executionsList().size()))}
+    flush = lambda: spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    flush()
+    before = max(executions(), default=-1)
     run = search_to_files(spark, str(out), roots={"b": root}, buckets=[BUCKET], **RANGE, line_regex="error", ignore_case=True).first()
-    plans = [store.executionsList().apply(i).physicalPlanDescription() for i in range(before, store.executionsList().size())]
+    flush()
+    plans = [p for i, p in executions().items() if i > before]  # by id: the store forgets old executions
     assert sum("Scan text" in p for p in plans) == 1
     written = [p for p in out.rglob("*.zst") if p.name != "foreign.zst"]
     assert len(written) == 2 and run.compressed_bytes == sum(p.stat().st_size for p in written)
