@@ -23,7 +23,8 @@ from linescan.sources import lines as line_source
 from linescan.sources.catalog import from_inventory, list_objects
 from linescan.sources.endpoint import Endpoint
 from linescan.sources.http_lines import delivery_stats, write_http
-from linescan.sources.zstd_lines import file_system, write_lines, write_partitioned, written_files
+from linescan.sources.manifest import current_files, file_system
+from linescan.sources.zstd_lines import read_written, write_lines, write_partitioned, written_files
 from linescan.streaming import search_stream as streams
 
 QUERIES: dict = {}
@@ -473,6 +474,18 @@ def f3(spark, sf_dir):
     return _measures(back, F.regexp_replace("key", r"\.zst$", "").alias("prefix"))
 
 
+@query("f3_current_files", f"WITH {LINES_SQL} SELECT source AS prefix, {MEASURES_SQL}, true AS as_read FROM lines WHERE source <> 'src1' OR length(value) > 20 GROUP BY ALL")
+def f3_current(spark, sf_dir):
+    """Each source in three files, one of them written again as one: what the manifest says, held against the lines read by it."""
+    root = scratch(spark, "current")
+    found = doc_lines(spark, sf_dir).withColumn("prefix", F.col("source"))
+    write_lines(found, root, parts=3)
+    write_lines(found.where("source = 'src1' AND length(value) > 20"), root)
+    said = current_files(spark, root).groupBy("prefix").agg(F.sum("lines").alias("lines"), F.sum("plaintext_bytes").alias("plaintext_bytes"))
+    read = _measures(read_written(spark, root), "prefix").toDF("prefix", "n", "size")
+    return said.join(read, "prefix").select("prefix", "lines", "plaintext_bytes", ((F.col("lines") == F.col("n")) & (F.col("plaintext_bytes") == F.col("size"))).alias("as_read"))
+
+
 @query("f4_partitioned_text", f"WITH {HALF_DAYS_SQL} SELECT dt, hour, {MEASURES_SQL} FROM half GROUP BY ALL")
 def f4(spark, sf_dir):
     lines = spark.read.option("lineSep", "\n").schema("value string, dt string, hour string").text(_hour_tree(spark, sf_dir))

@@ -159,14 +159,14 @@ class Stop:
             return False
         from pyarrow import fs
 
-        from linescan.sources.zstd_lines import file_system
+        from linescan.sources.manifest import file_system
 
         system, path = file_system(self.path)
         return system.get_file_info(path).type != fs.FileType.NotFound
 
     def set(self) -> None:
         if self.path:
-            from linescan.sources.zstd_lines import file_system
+            from linescan.sources.manifest import file_system
 
             system, path = file_system(self.path)
             system.create_dir(path.rpartition("/")[0], recursive=True)
@@ -265,7 +265,7 @@ def finish(settings: Settings, messages: list[Delivered | None]) -> None:
     """
     out = total(messages)
     if settings.stats_path:
-        from linescan.sources.zstd_lines import file_system
+        from linescan.sources.manifest import file_system
 
         system, root = file_system(settings.stats_path)
         system.create_dir(root, recursive=True)

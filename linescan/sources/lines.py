@@ -65,11 +65,16 @@ def read_prefixes(spark: SparkSession, root: str, prefixes: list[str], skip_bad:
     return _reader(spark, skip_bad).option("recursiveFileLookup", True).text(prefix_glob(root, prefixes))
 
 
+def file_path() -> Column:
+    """The path of the file that a row was read from, as it is written."""
+    # It is held as a URI, in which a plus sign stands for itself.
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def key_of(root: str) -> Column:
     """The key, relative to ``root``, of the file that a row was read from; a filter on it opens no file in vain."""
     base = root.split("://", 1)[-1].rstrip("/").removeprefix("file:")
-    # The path is a URI, in which a plus sign stands for itself.
-    return F.substring_index(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), base + "/", -1)
+    return F.substring_index(file_path(), base + "/", -1)
 
 
 def with_source(lines: DataFrame, root: str, bucket: str | None = None) -> DataFrame:

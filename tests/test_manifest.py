@@ -1,0 +1,160 @@
+"""Writes that replace exactly what they should, and hold wherever a writer stops."""
+
+import json
+
+import pytest
+import zstandard
+
+from linescan.sources import manifest
+from linescan.sources.manifest import Entry, Folder, current_files
+from linescan.sources.zstd_lines import NO_PREFIX, read_written, write_lines, written_files
+
+
+def unpacked(path):
+    return zstandard.ZstdDecompressor().stream_reader(path.open("rb"), read_across_frames=True).read()
+
+
+def rows(spark, *pairs):
+    return spark.createDataFrame(list(pairs), "prefix string, value string")
+
+
+def files(out):
+    return {str(p.relative_to(out)): unpacked(p).decode().split() for p in out.rglob("*") if p.is_file()}
+
+
+def lines_of(spark, out):
+    found = {}
+    for r in read_written(spark, str(out)).collect():
+        found.setdefault(r.prefix, []).append(r.value)
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def test_another_prefix_keeps_its_file(spark, tmp_path):
+    """A prefix may be named as a part of another one, in one write or in two."""
+    out = tmp_path / "out"
+    write_lines(rows(spark, ("x.part-3", "own"), ("x-1", "too")), str(out))
+    write_lines(rows(spark, ("x", "1")), str(out))
+    assert files(out) == {"x.part-3.zst": ["own"], "x-1.zst": ["too"], "x.zst": ["1"]}
+    write_lines(rows(spark, *(("x", str(i)) for i in range(20))), str(out), parts=2)
+    now = files(out)
+    assert now["x.part-3.zst"] == ["own"] and now["x-1.zst"] == ["too"] and set(now) == {"x.part-3.zst", "x-1.zst", "x-0.zst", "x-1.part-0.zst"}
+    assert lines_of(spark, out) == {"x": sorted(map(str, range(20))), "x.part-3": ["own"], "x-1": ["too"]}
+
+
+def test_names_of_a_split_prefix(tmp_path):
+    folder = Folder(str(tmp_path / "out"))
+    got = folder.names_for({("x", None): 5, ("x.part-3", None): 1, ("x.part-0", None): 2}, None)
+    names = [n for v in got.values() for n in v]
+    assert len(set(names)) == len(names) == 8 and got["x.part-3", None] == ["x.part-3.zst"] and "x.part-3.zst" not in got["x", None]
+    before = manifest.Manifest("r", 0, [Entry("x", "x.part-3.zst")])
+    assert folder.names_for({("x.part-3", None): 1}, before) == {("x.part-3", None): ["x.part-3.part-0.zst"]}
+    assert folder.names_for({("x", None): 1, ("x.part-3", None): 1}, before)["x.part-3", None] == ["x.part-3.zst"]
+
+
+def test_fewer_and_more_parts(spark, tmp_path):
+    out, many = tmp_path / "out", [("a", str(i)) for i in range(40)]
+    write_lines(rows(spark, *many, ("b", "stays")), str(out))
+    for parts, names in ((1, {"a.zst"}), (4, {f"a-{k}.zst" for k in range(4)}), (2, {"a-0.zst", "a-1.zst"}), (1, {"a.zst"})):
+        write_lines(rows(spark, *many), str(out), parts=parts)
+        now = files(out)
+        assert set(now) == names | {"b.zst"} and sorted(v for k in names for v in now[k]) == sorted(v for _, v in many)
+    (out / "foreign.zst").write_bytes(b"")
+    write_lines(rows(spark, *many), str(out), parts=3)
+    assert (out / "foreign.zst").exists() and set(lines_of(spark, out)) == {"a", "b"}
+
+
+@pytest.mark.parametrize("prefix", ["../esc", "a/../b", "", "a/", "/a", "a//b", ".", "a/.b", "_a", "a/_b", "a\nb", "a\x00b"])
+def test_prefixes_that_are_refused(spark, tmp_path, prefix):
+    out = tmp_path / "deep" / "out"
+    write_lines(rows(spark, ("good", "1")), str(out))
+    with pytest.raises(Exception, match="not a prefix for files"):
+        write_lines(rows(spark, (prefix, "x"), ("good", "2")), str(out))
+    assert files(out) == {"good.zst": ["1"]} and lines_of(spark, out) == {"good": ["1"]}
+    assert sorted(p.name for p in (tmp_path / "deep").iterdir()) == ["_out.manifest", "out"]
+
+
+def test_prefixes_that_are_taken(spark, tmp_path):
+    good = ["a b", "é/日", "a.b/c_d", "dt=1/hour=2", "a%b+c", "x{1}[2]"]
+    write_lines(rows(spark, *((p, p.replace(" ", "")) for p in good), (None, "null")), str(tmp_path / "o ut"))
+    got = lines_of(spark, tmp_path / "o ut")
+    assert {k: v for k, v in got.items() if k != NO_PREFIX} == {p: [p.replace(" ", "")] for p in good}
+    assert files(tmp_path / "o ut")[f"{NO_PREFIX}.zst"] == ["null"]
+    by = spark.createDataFrame([("b", "p", "1"), ("b", None, "2")], "bucket string, prefix string, value string")
+    write_lines(by, str(tmp_path / "by"), by_bucket=True)
+    assert set(files(tmp_path / "by")) == {"b/p.zst", f"b/{NO_PREFIX}.zst"}
+
+
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("steps", range(9))
+def test_a_writer_that_stops(spark, tmp_path, steps):
+    """Whatever the step at which a commit stops, a reader sees all of the old state or all of the new one, and the next write mends the folder."""
+    out = tmp_path / "out"
+    folder = Folder(str(out))
+    done = 0
+
+    class Stopping:
+        """A file system that fails after so many changes."""
+
+        def __getattr__(self, name):
+            call = getattr(folder_system, name)
+            if name not in ("move", "delete_file", "create_dir", "open_output_stream"):
+                return call
+
+            def counted(*a, **k):
+                nonlocal done
+                done += 1
+                if done > steps:
+                    raise Stopped
+                return call(*a, **k)
+
+            return counted
+
+    def stage(run, given):
+        entries = []
+        for k, (prefix, file, text) in enumerate(given):
+            path = f"{folder.staging(run)}/{k}.zst"
+            folder_system.create_dir(folder.staging(run), recursive=True)
+            with folder_system.open_output_stream(path, compression=None) as sink:
+                sink.write(zstandard.ZstdCompressor().compress(text))
+            entries.append(Entry(prefix, file, 1, len(text), 0, path))
+        return entries
+
+    folder_system = folder.system
+    old = {"a": ["a1", "a2"], "b": ["b1"], "c": ["c1"]}
+    folder.commit("one", stage("one", [("a", "a.part-0.zst", b"a1\n"), ("a", "a.part-1.zst", b"a2\n"), ("b", "b.zst", b"b1\n"), ("c", "c.zst", b"c1\n")]))
+    assert lines_of(spark, out) == old
+    staged = stage("two", [("a", "a.zst", b"a3\n"), ("b", "b.zst", b"b2\n")])
+    new = old | {"a": ["a3"], "b": ["b2"]}
+    folder.system = Stopping()
+    manifest.THREADS, kept = 1, manifest.THREADS
+    try:
+        folder.commit("two", staged)
+        stopped = False
+    except Stopped:
+        stopped = True
+    finally:
+        manifest.THREADS = kept
+    assert stopped or steps >= 8
+    assert lines_of(spark, out) == (old if steps < 3 else new)  # the third change is the swap
+    Folder(str(out)).settle()
+    assert files(out) == ({"a.part-0.zst": ["a1"], "a.part-1.zst": ["a2"], "b.zst": ["b1"], "c.zst": ["c1"]} if steps < 3 else {"a.zst": ["a3"], "b.zst": ["b2"], "c.zst": ["c1"]})
+    write_lines(rows(spark, ("b", "b4")), str(out))
+    assert lines_of(spark, out) == (old if steps < 3 else new) | {"b": ["b4"]}
+    assert len([p for p in (tmp_path / "_out.manifest").iterdir() if p.suffix in (".json", ".pending")]) == 1
+
+
+def test_current_files(spark, tmp_path):
+    assert current_files(spark, str(tmp_path / "none")).count() == 0 and read_written(spark, str(tmp_path / "none")).count() == 0
+    stats = str(tmp_path / "stats")
+    write_lines(rows(spark, ("a", "x"), ("a", "yy"), ("b", "z")), f"file://{tmp_path}/out", stats_path=stats)
+    now = {r.prefix: r for r in current_files(spark, f"file://{tmp_path}/out").collect()}
+    assert {k: (r.file, r.lines, r.plaintext_bytes) for k, r in now.items()} == {"a": ("a.zst", 2, 5), "b": ("b.zst", 1, 2)}
+    assert {(r.prefix, r.file, r.compressed_bytes) for r in now.values()} == {(r.prefix, r.file, r.compressed_bytes) for r in written_files(spark, stats).collect()}
+    assert lines_of(spark, f"file://{tmp_path}/out") == {"a": ["x", "yy"], "b": ["z"]}
+    held = json.loads(next((tmp_path / "_out.manifest").glob("*.json")).read_text())
+    assert held["removes"] == [] and all(e["staged"] is None for e in held["files"])
+    write_lines(rows(spark, ("a", None)), f"file://{tmp_path}/out")  # no lines, nothing to replace
+    assert lines_of(spark, f"file://{tmp_path}/out") == {"a": ["x", "yy"], "b": ["z"]}
