@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from linescan.functions.layout import Bucket, check_buckets
 from linescan.functions.matching import matches, matches_any
+from linescan.session import scratch
+
+
+def kept(catalog: DataFrame, label: str = "catalog") -> DataFrame:
+    """The catalog, written once to the shared folder and read from there: later objects change nothing in it."""
+    spark, path = catalog.sparkSession, scratch(catalog.sparkSession, label)
+    catalog.write.parquet(path)
+    return spark.read.schema(catalog.schema).parquet(path)
 
 
 def prefix_grid(hours: DataFrame, buckets: list[Bucket]) -> DataFrame:
@@ -18,8 +26,8 @@ def prefix_grid(hours: DataFrame, buckets: list[Bucket]) -> DataFrame:
 def select_prefixes(catalog: DataFrame, grid: DataFrame, distinct: bool = False, boundary: bool = False) -> DataFrame:
     """Objects whose key starts with a prefix of their bucket, tagged with the prefix, dt and hour.
 
-    An object appears once for each prefix that it starts with, or once at all if
-    ``distinct``. ``boundary`` asks that the key ends or goes on with ``/`` behind
+    An object appears once for each prefix that it starts with, or once at all, under
+    the longest, if ``distinct``. ``boundary`` asks that the key ends or goes on with ``/`` behind
     the prefix. The test is an equality of key starts and prefixes, a hash join on
     either side's own scale: prefixes of a layout have few lengths, and a key is
     cut at those lengths only.
@@ -32,7 +40,10 @@ def select_prefixes(catalog: DataFrame, grid: DataFrame, distinct: bool = False,
     if boundary:
         behind = F.substring("key", F.length("prefix") + 1, F.lit(1))
         tagged = tagged.where((behind == "") | (behind == "/") | F.col("prefix").endswith("/"))
-    return tagged.dropDuplicates(["bucket", "key"]) if distinct else tagged
+    if not distinct:
+        return tagged
+    order = F.struct(-F.length("prefix"), *(F.col(c) for c in grid.columns if c not in ("bucket", "prefix")))
+    return tagged.groupBy("bucket", "key").agg(F.min_by(F.struct(*tagged.columns), order).alias("t")).select("t.*")
 
 
 def filter_keys(catalog: DataFrame, pattern: str | None) -> DataFrame:

@@ -6,7 +6,7 @@ import time
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from linescan.functions.hours import hour_grid
@@ -17,7 +17,7 @@ from linescan.operators import summary
 from linescan.session import scratch
 from linescan.sources.catalog import list_objects
 from linescan.sources.http_lines import delivery_stats, write_http
-from linescan.sources.lines import key_of, read_prefixes, with_source
+from linescan.sources.lines import literal_path, read_lines, with_source
 from linescan.sources.zstd_lines import write_lines, written_files
 
 
@@ -34,22 +34,14 @@ def select_objects(
     """The catalog of the objects that a search reads: listed under the hours' prefixes, filtered by key."""
     if key_regex is not None:
         check_pattern(spark, key_regex)
-    found = None
-    for bucket, grid, prefixes in _grids(spark, buckets, start, end, truncate):
-        listed = list_objects(spark, roots[bucket.name], bucket.name, prefixes)
-        own = objects.filter_suffixes(objects.select_prefixes(listed, grid, distinct), bucket.patterns)
-        found = own if found is None else found.unionByName(own)
-    return objects.filter_keys(found, key_regex)
-
-
-def _grids(spark: SparkSession, buckets: list[Bucket], start: datetime, end: datetime, truncate: bool) -> list[tuple[Bucket, DataFrame, list[str]]]:
-    """Each bucket with its grid and its prefixes: one for each hour of the range, whatever the archive holds."""
     hours = hour_grid(spark, start, end, truncate)
-    out = []
+    found = None
     for bucket in check_buckets(buckets):
         grid = objects.prefix_grid(hours, [bucket])
-        out.append((bucket, grid, sorted({r.prefix for r in grid.select("prefix").collect()})))
-    return out
+        listed = objects.filter_keys(list_objects(spark, roots[bucket.name], bucket.name, grid), key_regex)
+        own = objects.filter_suffixes(objects.select_prefixes(listed, grid, distinct), bucket.patterns)
+        found = own if found is None else found.unionByName(own)
+    return found
 
 
 def search(
@@ -58,26 +50,41 @@ def search(
 ) -> DataFrame:
     """(value, bucket, key, size, last_modified, prefix, dt, hour) of every matching line.
 
-    ``roots`` says where each bucket lies. Only folders under the hours' prefixes
-    are listed; keys are tested where Spark plans the scan, so files that are not
-    chosen are never opened and no list of keys is made. The prefix is looked up
-    for the lines that match, not for those that are read.
+    ``roots`` says where each bucket lies. Folders under the hours' prefixes are
+    listed once, by tasks; the files that were chosen are read, and no others are
+    opened. The prefix is looked up for the lines that match, not for those that are read.
     """
-    objects.require_objects(select_objects(spark, roots, buckets, start, end, key_regex, distinct, truncate))
-    out = None
-    for bucket, grid, prefixes in _grids(spark, buckets, start, end, truncate):
+    catalog = objects.kept(select_objects(spark, roots, buckets, start, end, key_regex, distinct, truncate))
+    return search_catalog(catalog, roots, buckets, start, end, line_regex, ignore_case, distinct, truncate, skip_bad)
+
+
+def search_catalog(
+    catalog: DataFrame, roots: dict[str, str], buckets: list[Bucket], start: datetime, end: datetime, line_regex: str | None = None, ignore_case: bool = False,
+    distinct: bool = True, truncate: bool = False, skip_bad: bool = False, watched: Observation | None = None,
+) -> DataFrame:
+    """The same over the objects of a catalog that was kept, as of ``select_objects``; ``watched`` gets the number and bytes of the lines read.
+
+    The driver holds the paths of the chosen files, as Spark's own index of files does.
+    """
+    spark = catalog.sparkSession
+    objects.require_objects(catalog)
+    hours = hour_grid(spark, start, end, truncate)
+    read = None
+    for bucket in check_buckets(buckets):
         root = roots[bucket.name].rstrip("/")
-        if list_objects(spark, root, bucket.name, prefixes).isEmpty():
-            continue
-        key = key_of(root)
-        sizes = sorted({len(p) for p in prefixes}, reverse=True)
-        # What lies behind the prefix must match a pattern; of a key that starts with no prefix, nothing is tagged.
-        behind = reduce(Column.__or__, (matches_any(F.substring(key, n + 1, 1 << 30), bucket.patterns) for n in sizes))
-        lines = read_prefixes(spark, root, prefixes, skip_bad).where(matches(key, key_regex)).where(behind)
-        tagged = _tagged(with_source(match_lines(lines, line_regex, ignore_case), root, bucket.name), grid, sizes, distinct)
-        tagged = objects.filter_suffixes(tagged, bucket.patterns).select("value", "bucket", "key", "size", "last_modified", "prefix", "dt", "hour")
-        out = tagged if out is None else out.unionByName(tagged)
-    return out
+        keys = [r.key for r in catalog.where(F.col("bucket") == bucket.name).select("key").distinct().collect()]
+        if keys:
+            lines = read_lines(spark, [literal_path(f"{root}/{k}") for k in sorted(keys)], skip_bad)
+            lines = with_source(lines, root, bucket.name)
+            read = lines if read is None else read.unionByName(lines)
+    if watched is not None:
+        read = read.observe(watched, F.count(F.lit(1)).alias("lines_read"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("bytes_read"))
+    grid = objects.prefix_grid(hours, buckets)
+    sizes = sorted((r[0] for r in grid.select(F.length("prefix")).distinct().collect()), reverse=True)  # a layout has few
+    tagged = _tagged(match_lines(read, line_regex, ignore_case), grid, sizes, distinct)
+    behind = F.substring("key", F.length("prefix") + 1, F.length("key"))
+    wanted = reduce(Column.__or__, ((F.col("bucket") == b.name) & matches_any(behind, b.patterns) for b in buckets))
+    return tagged.where(wanted).select("value", "bucket", "key", "size", "last_modified", "prefix", "dt", "hour")
 
 
 def _tagged(lines: DataFrame, grid: DataFrame, sizes: list[int], distinct: bool) -> DataFrame:
@@ -99,17 +106,22 @@ def _tagged(lines: DataFrame, grid: DataFrame, sizes: list[int], distinct: bool)
 def search_to_files(spark: SparkSession, directory: str, level: int = 3, **query) -> DataFrame:
     """Run a search, write zstd files by prefix, and return the run's summary.
 
-    The text is read once: lines and bytes are counted by the writer, so other
-    files in the directory change no figure.
+    Objects are listed once and the text is read once: what is searched is the kept
+    catalog, what is read is counted as it passes and what is written by the writer,
+    so neither objects that come meanwhile nor other files change a figure.
     """
     began = time.monotonic()
     stats = scratch(spark, "written")
-    write_lines(search(spark, **query), directory, level, stats_path=stats)
+    chosen = {k: query.pop(k) for k in ("key_regex",) if k in query}
+    where = {k: query[k] for k in ("roots", "buckets", "start", "end", "distinct", "truncate") if k in query}
+    catalog = objects.kept(select_objects(spark, **where, **chosen))
+    read = Observation("read")
+    write_lines(search_catalog(catalog, **query, watched=read), directory, level, stats_path=stats)
     written = written_files(spark, stats)
     packed = summary.output_of_run(written).first()
     seconds = time.monotonic() - began
-    chosen = select_objects(spark, **{k: v for k, v in query.items() if k in ("roots", "buckets", "start", "end", "key_regex", "distinct", "truncate")})
-    return summary.run_summary(chosen, summary.written_by_prefix(written), query.get("line_regex"), directory, packed.compressed_bytes, seconds)
+    run = summary.run_summary(catalog, summary.written_by_prefix(written), query.get("line_regex"), directory, packed.compressed_bytes, seconds)
+    return run.select("*", *(F.lit(read.get[c]).cast("long").alias(c) for c in ("lines_read", "bytes_read")))
 
 
 def search_to_http(spark: SparkSession, url: str, stats_path: str, options: dict | None = None, **query) -> DataFrame:

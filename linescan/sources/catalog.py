@@ -2,33 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linescan.sources.lines import prefix_glob
+from linescan.sources.listing import list_under
 
 COLUMNS = ["bucket", "key", "size", "last_modified"]
 
 
-def list_objects(spark: SparkSession, root: str, bucket: str | None = None, prefixes: list[str] | None = None) -> DataFrame:
+def list_objects(spark: SparkSession, root: str, bucket: str | None = None, prefixes: list[str] | DataFrame | None = None) -> DataFrame:
     """(bucket, key, size, last_modified) of all files below ``root``; keys are relative to it.
 
-    With ``prefixes`` only what lies under one of them is listed; if nothing does,
-    the catalog is empty. No content is read. Spark passes over names that begin
-    with ``_`` or ``.``.
+    With ``prefixes``, a list or a table with a column prefix, only what lies under
+    one of them is listed, by tasks, each folder once; if nothing does, the catalog is
+    empty. No content is read. Names that begin with ``_`` or ``.`` are passed over.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    try:
-        files = reader.load(root if prefixes is None else prefix_glob(root, prefixes))
-    except AnalysisException as error:
-        if prefixes is None or error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], "bucket string, key string, size long, last_modified timestamp")
     base = root.split("://", 1)[-1].rstrip("/").removeprefix("file:")
+    name = F.lit(bucket if bucket is not None else base.rsplit("/", 1)[-1]).alias("bucket")
+    if prefixes is not None:
+        given = prefixes if isinstance(prefixes, DataFrame) else spark.createDataFrame([(p,) for p in prefixes], "prefix string")
+        return list_under(spark, root, given.select("prefix")).select(name, "key", "size", "last_modified")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     key = F.substring_index(F.col("path"), base + "/", -1)
-    name = bucket if bucket is not None else base.rsplit("/", 1)[-1]
-    return files.select(F.lit(name).alias("bucket"), key.alias("key"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))
+    return files.select(name, key.alias("key"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))
 
 
 def from_inventory(table: DataFrame) -> DataFrame:
