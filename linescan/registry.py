@@ -9,20 +9,19 @@ from __future__ import annotations
 import time
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linescan.functions import delivery, hours, layout
 from linescan.functions.layout import Bucket, check_buckets
 from linescan.functions.matching import matches
-from linescan.operators import batches, summary
+from linescan.operators import batches, deliveries, summary
 from linescan.operators import catalog as objects
 from linescan.plans.search import match_lines
 from linescan.session import scratch
 from linescan.sources import lines as line_source
 from linescan.sources.catalog import from_inventory, list_objects
-from linescan.sources.endpoint import Endpoint
-from linescan.sources.http_lines import delivery_stats, write_http
+from linescan.sources.http_lines import delivery_log, delivery_stats, write_http
 from linescan.sources.manifest import current_files, file_system
 from linescan.sources.zstd_lines import read_written, write_lines, write_partitioned, written_files
 from linescan.streaming import search_stream as streams
@@ -534,59 +533,126 @@ def _urls(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("url").alias("value")).repartition(4)
 
 
-def _sent(spark, lines: DataFrame, answer, **options):
-    """What a server on this machine saw, and the sink's own figures. ``answer`` gives a body's status."""
-    stats = scratch(spark, "delivery")
-    with Endpoint(spark, answer) as server:
-        try:
-            write_http(lines, server.url, statsPath=stats, **options)
-        except Exception as refusal:
-            if "was refused" not in str(refusal):
-                raise
-    return server, delivery_stats(spark, stats)
+#: Nobody listens there: every try is without an answer.
+NOBODY = "http://127.0.0.1:9/"
+
+
+def _folder(spark) -> str:
+    """A new folder in the shared one, for batches."""
+    path = scratch(spark, "delivered")
+    system, root = file_system(path)
+    system.create_dir(root, recursive=True)
+    return path
+
+
+def _delivered(spark, lines: DataFrame, url: str, stats: str, log: str, **options) -> None:
+    """The lines sent; a refusal, which fails the job, is in the figures and the log."""
+    try:
+        write_http(lines, url, statsPath=stats, logPath=log, **options)
+    except Exception as refusal:
+        if "was refused" not in str(refusal):
+            raise
+
+
+def _deliveries(spark, sf_dir):
+    """The pages' URLs: those with a seven sent to nobody, tried three times, the others put into a folder."""
+    stats, log, lines = scratch(spark, "delivery"), scratch(spark, "delivery-log"), _urls(spark, sf_dir)
+    seven = F.col("value").contains("7")
+    _delivered(spark, lines.where(~seven), _folder(spark), stats, log)
+    _delivered(spark, lines.where(seven), NOBODY, stats, log, maxRetries=2)
+    return delivery_stats(spark, stats), delivery_log(spark, log)
 
 
 @query("f6_write_http", "SELECT count(*) AS lines, CAST(sum(strlen(url) + 1) AS BIGINT) AS plaintext_bytes, true AS as_received, true AS few_requests FROM pages WHERE url IS NOT NULL")
 def f6(spark, sf_dir):
-    """Lines posted in batches: what the sink counts is what the server unpacked."""
-    server, stats = _sent(spark, _urls(spark, sf_dir), lambda body: 200)
-    same = (F.col("lines_sent") == server.lines) & (F.col("plaintext_bytes_sent") == server.plain) & (F.col("compressed_bytes_sent") == server.packed)
-    few = (F.col("batches_sent") == server.requests) & (F.col("batches_sent") < F.col("lines_sent"))
-    return stats.select(F.col("lines_sent").alias("lines"), F.col("plaintext_bytes_sent").alias("plaintext_bytes"), same.alias("as_received"), few.alias("few_requests"))
+    """Lines sent in batches to a folder: what the sink counts is what tasks find when they unpack it."""
+    url, stats, log = _folder(spark), scratch(spark, "delivery"), scratch(spark, "delivery-log")
+    _delivered(spark, _urls(spark, sf_dir), url, stats, log)
+    found = _measures(line_source.read_lines(spark, url)).crossJoin(summary.output_files(spark, url))  # one row each
+    same = (F.col("lines_sent") == F.col("lines")) & (F.col("plaintext_bytes_sent") == F.col("plaintext_bytes")) & (F.col("compressed_bytes_sent") == F.col("compressed_bytes"))
+    few = (F.col("batches_sent") == F.col("files")) & (F.col("batches_sent") < F.col("lines_sent"))
+    return delivery_stats(spark, stats).crossJoin(found).select("lines", "plaintext_bytes", same.alias("as_received"), few.alias("few_requests"))
+
+
+@query("f6_received_lines", "SELECT url AS value, count(*) AS n FROM pages WHERE url IS NOT NULL GROUP BY ALL")
+def f6_lines(spark, sf_dir):
+    """The lines themselves, as tasks unpack them."""
+    url = _folder(spark)
+    _delivered(spark, _urls(spark, sf_dir), url, scratch(spark, "delivery"), scratch(spark, "delivery-log"), maxBatchBytes=2000)
+    return line_source.read_lines(spark, url).groupBy("value").agg(F.count("*").alias("n"))
+
 
+@query("f7_classes_of_deliveries", "SELECT * FROM (SELECT CAST(201 AS INTEGER) AS status, 'ok' AS class, count(*) AS lines FROM pages WHERE NOT contains(url, '7') UNION ALL SELECT NULL, 'retry', 3 * count(*) FROM pages WHERE contains(url, '7')) WHERE lines > 0")
+def f7_log(spark, sf_dir):
+    """The answers to all tries, by the lines tried, off the log that the sink wrote."""
+    _, log = _deliveries(spark, sf_dir)
+    return deliveries.with_class(log).groupBy("status", "class").agg(F.sum("lines").alias("lines"))
 
-@query("f9_delivery_stats", "SELECT count(*) FILTER (NOT contains(url, '7')) AS lines_sent, count(*) FILTER (contains(url, '7')) AS lines_dropped, CAST(coalesce(sum(strlen(url) + 1) FILTER (NOT contains(url, '7')), 0) AS BIGINT) AS plaintext_bytes_sent FROM pages WHERE url IS NOT NULL")
+
+@query("f8_delays_of_deliveries", "SELECT CAST(r AS BIGINT) AS retry, 100 * pow(2.0, r - 1) AS delay_ms, count(*) AS lines, true AS waited FROM pages, (SELECT unnest([1, 2]) AS r) WHERE contains(url, '7') GROUP BY ALL")
+def f8_log(spark, sf_dir):
+    """How long each try that failed was to wait before the next one, and whether it did, off the same log."""
+    _, log = _deliveries(spark, sf_dir)
+    ahead = Window.partitionBy(*deliveries.BATCH).orderBy("try")
+    gap = (F.lead("began").over(ahead) - F.col("began") - F.col("took")).alias("gap")
+    gaps = log.select(*deliveries.BATCH, "try", gap)
+    rows = deliveries.retry_delays(log).join(gaps, [*deliveries.BATCH, "try"])
+    return rows.groupBy("retry", "delay_ms").agg(F.sum("lines").alias("lines"), F.every(F.col("gap") * 1000 >= F.col("delay_ms")).alias("waited"))
+
+
+SEVENS_SQL = "SELECT count(*) FILTER (NOT contains(url, '7')) AS lines_sent, count(*) FILTER (contains(url, '7')) AS lines_dropped, CAST(coalesce(sum(strlen(url) + 1) FILTER (NOT contains(url, '7')), 0) AS BIGINT) AS plaintext_bytes_sent"
+
+
+@query("f9_delivery_stats", f"{SEVENS_SQL} FROM pages WHERE url IS NOT NULL")
 def f9(spark, sf_dir):
-    """A line a batch; the server fails for lines with a seven, which are dropped and counted while the run goes on."""
-    _, stats = _sent(spark, _urls(spark, sf_dir), lambda body: 503 if b"7" in body else 200, maxBatchBytes=1, maxRetries=0)
-    return stats.select("lines_sent", "lines_dropped", "plaintext_bytes_sent")
+    """Batches with a seven find nobody, and are dropped and counted while the run goes on."""
+    stats, _ = _deliveries(spark, sf_dir)
+    return stats.agg(*(F.sum(c).alias(c) for c in ("lines_sent", "lines_dropped", "plaintext_bytes_sent")))
+
+
+@query("f9_outcomes_of_deliveries", f"{SEVENS_SQL}, 3 * lines_dropped + lines_sent AS lines_tried FROM pages WHERE url IS NOT NULL")
+def f9_written(spark, sf_dir):
+    """The same off the log, batch by batch."""
+    _, log = _deliveries(spark, sf_dir)
+    return deliveries.outcome_totals(log).select("lines_sent", "lines_dropped", "plaintext_bytes_sent").crossJoin(log.agg(F.sum("lines").alias("lines_tried")))  # one row each
 
 
 @query("f10_fatal_abort", "SELECT CAST(0 AS BIGINT) AS lines_sent, count(*) AS lines_dropped, true AS refused, true AS stopped FROM pages WHERE url IS NOT NULL")
 def f10(spark, sf_dir):
-    """A server that refuses: each task that was sending at that moment is refused once, and nothing else is sent."""
-    server, stats = _sent(spark, _urls(spark, sf_dir).repartition(40), lambda body: 403, maxBatchBytes=1, maxRetries=5)
-    stopped = F.lit(server.requests <= spark.sparkContext.defaultParallelism)  # those that ran when the first was refused
-    return stats.select("lines_sent", "lines_dropped", F.col("fatal").startswith("HTTP 403").alias("refused"), stopped.alias("stopped"))
+    """A folder that is not there refuses: a task that was sending is refused once, none sends after that, and all lines are counted as dropped."""
+    stats, log = scratch(spark, "delivery"), scratch(spark, "delivery-log")
+    _delivered(spark, _urls(spark, sf_dir).repartition(40), f"{_folder(spark)}/nowhere", stats, log, maxBatchBytes=1, maxRetries=5)
+    tries = deliveries.with_class(delivery_log(spark, log)).groupBy("task").agg(F.count("*").alias("n"), F.every(F.col("class") == "fatal").alias("fatal"))
+    stopped = tries.agg((F.coalesce(F.max("n"), F.lit(0)) == 1).alias("once"), F.every("fatal").alias("all_fatal")).first()
+    refused = F.col("fatal").startswith("HTTP 404")
+    return delivery_stats(spark, stats).select("lines_sent", "lines_dropped", refused.alias("refused"), F.lit(stopped.once and stopped.all_fatal).alias("stopped"))
 
 
 @query("f11_max_rate", "SELECT count(*) AS lines_sent, true AS held FROM pages WHERE url IS NOT NULL")
 def f11(spark, sf_dir):
-    """A cap divided among four tasks: the run takes as long as the bytes beyond the buckets ask for, and longer than half a second."""
-    lines = _urls(spark, sf_dir)
+    """A cap divided among four tasks. The log tells at every try that no more was sent than the bucket held and what had flowed in by then."""
+    lines, stats, log = _urls(spark, sf_dir), scratch(spark, "delivery"), scratch(spark, "delivery-log")
     rate = lines.agg(F.sum(F.octet_length("value"))).first()[0] or 1  # about a second's work
-    began = time.monotonic()
-    _, stats = _sent(spark, lines, lambda body: 200, maxBatchBytes=1, maxRate=rate, tasks=4)
-    took = time.monotonic() - began
-    least = (F.col("compressed_bytes_sent") - 4 * F.col("compressed_bytes_sent") / F.col("batches_sent")) / rate / 2
-    return stats.select("lines_sent", (F.lit(took) >= least).alias("held"))
+    _delivered(spark, lines, _folder(spark), stats, log, maxBatchBytes=200, maxRate=rate, tasks=4)
+    held = deliveries.held_rate(delivery_log(spark, log), rate / 4, 400.0)
+    return delivery_stats(spark, stats).select("lines_sent").crossJoin(held.agg(F.every("held").alias("held")))  # one row each
 
 
 @query("f12_adaptive_rate", "SELECT count(*) AS lines_sent, true AS adapted FROM pages WHERE url IS NOT NULL")
 def f12(spark, sf_dir):
-    """Answers slower than the threshold lower a task's rate; everything is sent all the same."""
-    _, stats = _sent(spark, _urls(spark, sf_dir), lambda body: time.sleep(0.2) or 200, maxSubmissionTime=0.1)
-    return stats.select("lines_sent", F.col("rate_cuts").between(1, 4).alias("adapted"))
+    """Every answer is slower than a threshold of nothing, so each task lowers its rate, and not at every batch; everything is sent all the same."""
+    stats, log = scratch(spark, "delivery"), scratch(spark, "delivery-log")
+    _delivered(spark, _urls(spark, sf_dir), _folder(spark), stats, log, maxSubmissionTime=1e-9, maxBatchBytes=500)
+    senders = delivery_log(spark, log).select("task").distinct().count()
+    return delivery_stats(spark, stats).select("lines_sent", F.col("rate_cuts").between(senders, F.col("batches_sent")).alias("adapted"))
+
+
+@query("f13_errors_of_deliveries", "SELECT 'transient' AS class, 3 * count(*) AS lines FROM pages WHERE contains(url, '7') HAVING count(*) > 0")
+def f13_log(spark, sf_dir):
+    """What the log has as errors: nobody answering is none that a retry cannot mend."""
+    _, log = _deliveries(spark, sf_dir)
+    errors = log.where("error IS NOT NULL").groupBy(delivery.classify_error(F.col("error")).alias("class"))
+    return errors.agg(F.sum("lines").alias("lines"))
 
 
 ERRORS_SQL = "['AccessDenied', 'slow down', 'error NoSuchBucket: x', 'timeout', '', 'ExpiredTokenException'][user_id % 6 + 1] || ' at ' || event_type"

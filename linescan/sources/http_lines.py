@@ -2,7 +2,9 @@
 
 Every task packs its own lines and sends them; there is no shuffle. Delivery is
 at least once: a task that Spark runs again sends again. The first refusal leaves
-a mark in the shared folder, at which all other tasks stop sending.
+a mark in the shared folder, at which all other tasks stop sending. A destination
+that is no ``http`` address is a folder, into which batches are put as files.
+Every try may leave a row in a delivery log.
 """
 
 from __future__ import annotations
@@ -16,7 +18,10 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceStreamArrowWriter, WriterCommitMessage
@@ -24,9 +29,16 @@ from pyspark.sql.types import StructType
 
 from linescan.functions.delivery import FIRST_DELAY_MS, response_class, retries_allowed
 from linescan.session import scratch
+from linescan.sources.manifest import file_system
 
 LEAST_RATE = 2_000_000.0
 STATS_SCHEMA = "lines_sent long, lines_dropped long, batches_sent long, plaintext_bytes_sent long, compressed_bytes_sent long, seconds double, rate_cuts long, fatal string"
+#: A row for each try: ``began`` and ``took`` in seconds of the task's own clock, ``status`` null where nobody answered.
+LOG_SCHEMA = (
+    "run string, task int, attempt long, batch long, try int, status int, retry_after double, error string, lines long, plaintext_bytes long, "
+    "compressed_bytes long, began double, took double"
+)
+LOG_ROWS = 10_000
 
 
 @dataclass
@@ -39,10 +51,12 @@ class Settings:
     max_retries: int = 1
     max_rate: float | None = None
     max_submission_time: float | None = None
+    run: str = field(default_factory=lambda: uuid.uuid4().hex)
     decrease: float = 0.15
     increase: float = 1_000_000.0
     stats_path: str | None = None
     stop_path: str | None = None
+    log_path: str | None = None
     fail_on_drop: bool = False
 
     @classmethod
@@ -56,7 +70,7 @@ class Settings:
             timeout=number("timeout", 30.0), max_batch_bytes=int(number("maxBatchBytes", 2 * 1024 * 1024)), level=int(number("level", 3)),
             max_retries=retries_allowed(int(number("maxRetries", 1))), max_rate=rate / max(1.0, number("tasks", 1.0)) if rate else None,
             max_submission_time=number("maxSubmissionTime", None), decrease=number("decrease", 0.15), increase=number("increase", 1_000_000.0),
-            stats_path=options.get("statsPath"), stop_path=options.get("stopPath"), fail_on_drop=options.get("failOnDrop", "false").lower() == "true",
+            stats_path=options.get("statsPath"), stop_path=options.get("stopPath"), log_path=options.get("logPath"), fail_on_drop=options.get("failOnDrop", "false").lower() == "true",
         )
 
 
@@ -128,8 +142,28 @@ class Delivered(WriterCommitMessage):
     fatal: str | None = None
 
 
+def put(settings: Settings, body: bytes) -> tuple[int | None, float | None, str]:
+    """The same for a folder: a new file of its own for each batch, seen once it is whole."""
+    name = uuid.uuid4().hex
+    try:
+        system, root = file_system(settings.url)
+        hidden = f"{root.rstrip('/')}/.{name}.tmp"
+        with system.open_output_stream(hidden, compression=None) as sink:
+            sink.write(body)
+        system.move(hidden, f"{root.rstrip('/')}/{name}.zst")
+    except FileNotFoundError as error:
+        return 404, None, str(error)
+    except PermissionError as error:
+        return 403, None, str(error)
+    except OSError as error:
+        return None, None, str(error)
+    return 201, None, ""
+
+
 def post(settings: Settings, body: bytes) -> tuple[int | None, float | None, str]:
     """Status (None: no answer), Retry-After in seconds, and what was answered."""
+    if not settings.url.lower().startswith(("http://", "https://")):
+        return put(settings, body)
     headers = {"Content-Type": "application/x-ndjson", "Content-Encoding": "zstd"}
     if settings.token:
         headers["Authorization"] = f"Bearer {settings.token}"
@@ -159,15 +193,11 @@ class Stop:
             return False
         from pyarrow import fs
 
-        from linescan.sources.manifest import file_system
-
         system, path = file_system(self.path)
         return system.get_file_info(path).type != fs.FileType.NotFound
 
     def set(self) -> None:
         if self.path:
-            from linescan.sources.manifest import file_system
-
             system, path = file_system(self.path)
             system.create_dir(path.rpartition("/")[0], recursive=True)
             with system.open_output_stream(path) as out:
@@ -182,18 +212,45 @@ class Sender:
         self.pacer = Pacer(settings, sleep=sleep)
         self.stop = Stop(settings.stop_path)
         self.out = Delivered()
+        context = TaskContext.get()
+        self.task = (context.partitionId(), context.taskAttemptId()) if context else (0, 0)
+        self.began, self.batch, self.rows = time.monotonic(), 0, []
+
+    def log(self, *row) -> None:
+        if self.s.log_path:
+            self.rows.append((self.s.run, *self.task, self.batch, *row))
+            if len(self.rows) >= LOG_ROWS:
+                self.write_log()
+
+    def write_log(self) -> None:
+        """Put the rows so far into the log, whatever becomes of the task: the tries were made."""
+        if self.rows:
+            import pyarrow.parquet as pq
+
+            system, root = file_system(self.s.log_path)
+            system.create_dir(root, recursive=True)
+            kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+            fields = [f.split() for f in LOG_SCHEMA.split(", ")]
+            made = pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*self.rows), fields)], [n for n, _ in fields])
+            name = f"{self.s.run}-{self.task[0]}-{uuid.uuid4().hex}"
+            pq.write_table(made, f"{root}/.{name}.tmp", filesystem=system)
+            system.move(f"{root}/.{name}.tmp", f"{root}/{name}.parquet")
+            self.rows = []
 
     def send(self, body: bytes, lines: int, plain: int) -> None:
         if self.out.fatal or self.stop.is_set():
             self.out.lines_dropped += lines
             return
-        refused = failed = 0
+        refused = failed = tries = 0
+        self.batch += 1
         while True:
             self.pacer.wait(len(body))
             began = time.monotonic()
             status, after, said = post(self.s, body)
             took = time.monotonic() - began
             self.out.seconds += took
+            tries += 1
+            self.log(tries, status, after, said or None, lines, plain, len(body), began - self.began, took)
             kind = response_class(status)
             if kind == "ok":
                 self.pacer.done(len(body), took)
@@ -224,26 +281,35 @@ def send_all(settings: Settings, batches: Iterator[pa.RecordBatch]) -> Delivered
     import zstandard
 
     sender = Sender(settings)
+    limit = settings.max_batch_bytes
     packer, parts, size, pending, lines, plain = None, [], 0, 0, 0, 0
-    for batch in batches:
-        for value in batch.column("value").to_pylist():
-            if value is None:
-                continue
-            if packer is None:
-                packer, parts, size, pending, lines, plain = zstandard.ZstdCompressor(level=settings.level).compressobj(), [], 0, 0, 0, 0
-            part = packer.compress(value + b"\n")
-            lines, plain, pending = lines + 1, plain + len(value) + 1, 0 if part else pending + len(value) + 1
-            if size + pending >= settings.max_batch_bytes:
-                # What the compressor holds back may fill the batch.
-                part, pending = part + packer.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK), 0
-            if part:
-                parts.append(part)
-                size += len(part)
-            if size >= settings.max_batch_bytes:
-                sender.send(b"".join([*parts, packer.flush()]), lines, plain)
-                packer = None
-    if packer is not None:
-        sender.send(b"".join([*parts, packer.flush()]), lines, plain)
+    try:
+        for batch in batches:
+            values = batch.column("value").drop_null()
+            ends = np.cumsum(pc.add(pc.binary_length(values), 1).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < len(values):
+                if packer is None:
+                    packer, parts, size, pending, lines, plain = zstandard.ZstdCompressor(level=settings.level).compressobj(), [], 0, 0, 0, 0
+                # As many lines at once as cannot fill the batch even if nothing of them is saved; at least one.
+                done = int(ends[at - 1]) if at else 0
+                stop = max(at + 1, int(np.searchsorted(ends, done + limit - size - pending)))
+                text = b"\n".join([*values.slice(at, stop - at).to_pylist(), b""])
+                part = packer.compress(text)
+                lines, plain, pending, at = lines + stop - at, plain + len(text), 0 if part else pending + len(text), stop
+                if size + pending >= limit:
+                    # What the compressor holds back may fill the batch.
+                    part, pending = part + packer.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK), 0
+                if part:
+                    parts.append(part)
+                    size += len(part)
+                if size >= limit:
+                    sender.send(b"".join([*parts, packer.flush()]), lines, plain)
+                    packer = None
+        if packer is not None:
+            sender.send(b"".join([*parts, packer.flush()]), lines, plain)
+    finally:
+        sender.write_log()
     sender.out.rate_cuts = sender.pacer.cuts
     return sender.out
 
@@ -265,8 +331,6 @@ def finish(settings: Settings, messages: list[Delivered | None]) -> None:
     """
     out = total(messages)
     if settings.stats_path:
-        from linescan.sources.manifest import file_system
-
         system, root = file_system(settings.stats_path)
         system.create_dir(root, recursive=True)
         with system.open_output_stream(f"{root}/stats-{uuid.uuid4().hex}.json") as sink:
@@ -320,9 +384,11 @@ def payload(lines: DataFrame) -> DataFrame:
 
 
 def write_http(lines: DataFrame, url: str, **options) -> None:
-    """Post the lines of ``value``. Options are those of ``Settings.of``: tokenEnv, timeout, maxBatchBytes,
-    level, maxRetries (10 at most), maxRate with tasks, maxSubmissionTime, statsPath, failOnDrop; stopPath is
-    where the first refusal leaves its mark, a new path in the shared folder unless given."""
+    """Post the lines of ``value`` to an address, or put them into a folder that is there. Options are those of
+    ``Settings.of``: tokenEnv, timeout, maxBatchBytes, level, maxRetries (10 at most), maxRate with tasks,
+    maxSubmissionTime, statsPath, failOnDrop; logPath is a folder that gets a row for every try, see
+    ``delivery_log``; stopPath is where the first refusal leaves its mark, a new path in the shared folder
+    unless given."""
     lines.sparkSession.dataSource.register(HttpLines)
     options.setdefault("stopPath", scratch(lines.sparkSession, "stop"))
     payload(lines).write.format("http_lines").options(url=url, **{k: str(v) for k, v in options.items()}).mode("append").save()
@@ -331,3 +397,8 @@ def write_http(lines: DataFrame, url: str, **options) -> None:
 def delivery_stats(spark: SparkSession, stats_path: str) -> DataFrame:
     """The counts of all runs that wrote to ``stats_path``, one row each."""
     return spark.read.schema(STATS_SCHEMA).json(stats_path)
+
+
+def delivery_log(spark: SparkSession, log_path: str) -> DataFrame:
+    """A row for every try of all runs with this ``logPath``, those of tasks that failed or ran again too: see ``LOG_SCHEMA``."""
+    return spark.read.schema(LOG_SCHEMA).parquet(log_path)
