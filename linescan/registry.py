@@ -21,6 +21,7 @@ from linescan.plans.search import match_lines
 from linescan.session import scratch
 from linescan.sources import lines as line_source
 from linescan.sources.catalog import from_inventory, list_objects
+from linescan.sources.frames import read_frames
 from linescan.sources.http_lines import delivery_log, delivery_stats, write_http
 from linescan.sources.manifest import current_files, file_system
 from linescan.sources.zstd_lines import read_written, write_lines, write_partitioned, written_files
@@ -295,6 +296,14 @@ for _kind, _name in (("plain", "c1_read_lines"), ("gzip", "c2_read_gzip"), ("zst
         return line_source.read_lines(spark, _read_back(spark, sf_dir, kind)).groupBy("value").agg(F.count("*").alias("n"))
 
 
+@query("c3_split_frames", f"WITH {LINES_SQL} SELECT value, count(*) AS n FROM lines GROUP BY ALL")
+def c3_split(spark, sf_dir):
+    """All lines in one file of many frames, read by as many tasks as there are splits."""
+    root = scratch(spark, "frames")
+    write_lines(doc_lines(spark, sf_dir).withColumn("prefix", F.lit("all")), root, frame_bytes=1 << 16)
+    return read_frames(spark, root, split_bytes=1 << 19).groupBy("value").agg(F.count("*").alias("n"))
+
+
 @query("c5_with_source", f"WITH {LINES_SQL} SELECT 'zst/' || source || '.zst' AS key, {MEASURES_SQL} FROM lines GROUP BY ALL")
 def c5(spark, sf_dir):
     root = _read_back(spark, sf_dir, "zstd")
@@ -686,9 +695,13 @@ def g2(spark, sf_dir):
 
 @query("g3_progress", f"WITH {HALF_DAYS_SQL} SELECT count(*) AS input_rows, count(*) FILTER (regexp_matches(value, '[13579]\\}}')) AS matches FROM half")
 def g3(spark, sf_dir):
-    root, out = _hour_tree(spark, sf_dir), scratch(spark, "watched")
-    found = streams.search_stream(streams.line_stream(spark, root, max_files=16), r"[13579]\}")
-    run = streams.to_table(found, out, scratch(spark, "watched-state"))
-    run.awaitTermination()
-    progress = streams.progress_table(spark, run)
-    return progress.agg(F.sum("input_rows").alias("input_rows"), F.sum("matches").alias("matches"))
+    root, out, log = _hour_tree(spark, sf_dir), scratch(spark, "watched"), streams.ProgressLog(scratch(spark, "progress"))
+    spark.streams.addListener(log)
+    try:
+        found = streams.search_stream(streams.line_stream(spark, root, max_files=4), r"[13579]\}")
+        run = streams.to_table(found, out, scratch(spark, "watched-state"))
+        run.awaitTermination()
+        log.wait(run)
+    finally:
+        spark.streams.removeListener(log)
+    return streams.progress_log(spark, log.path).agg(F.sum("input_rows").alias("input_rows"), F.sum("matches").alias("matches"))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from linescan.sources.frames import FRAME_BYTES, FrameWriter
 from linescan.sources.manifest import Entry, Folder, current_files, delete, file_system
 
 DEFAULT_LEVEL = 3
@@ -58,7 +59,7 @@ class ZstdLines(DataSource):
         return "zstd_lines"
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return ZstdLinesWriter(self.options["path"], int(self.options.get("level", DEFAULT_LEVEL)), self.options.get("statspath"))
+        return ZstdLinesWriter(self.options["path"], int(self.options.get("level", DEFAULT_LEVEL)), self.options.get("statspath"), int(self.options.get("framebytes", FRAME_BYTES)))
 
 
 def same_runs(column: pa.Array) -> list[tuple[int, int]]:
@@ -71,15 +72,13 @@ def same_runs(column: pa.Array) -> list[tuple[int, int]]:
 
 
 class ZstdLinesWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, level: int, stats_path: str | None = None):
+    def __init__(self, path: str, level: int, stats_path: str | None = None, frame_bytes: int = FRAME_BYTES):
         if not 1 <= level <= 22:
             raise ValueError("zstd levels are 1 to 22")
-        self.path, self.level, self.stats_path = path, level, stats_path
+        self.path, self.level, self.stats_path, self.frame_bytes = path, level, stats_path, frame_bytes
         self.run = uuid.uuid4().hex  # one for all tasks of this write
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        import zstandard
-
         folder = Folder(self.path)
         system, waiting = folder.system, folder.staging(self.run)
         attempt, done = uuid.uuid4().hex, []
@@ -102,7 +101,7 @@ class ZstdLinesWriter(DataSourceArrowWriter):
                         system.create_dir(waiting, recursive=True)
                         done.append(WrittenFile(f"{waiting}/{attempt}-{len(done)}.zst", key[0], part=key[1]))
                         sink = system.open_output_stream(done[-1].hidden, compression=None)
-                        stream = zstandard.ZstdCompressor(level=self.level).stream_writer(sink, closefd=False)
+                        stream = FrameWriter(sink, self.level, self.frame_bytes)
                     text = b"\n".join([*batch.column("value").slice(a, b - a).to_pylist(), b""])
                     stream.write(text)
                     done[-1].lines += b - a
@@ -149,7 +148,8 @@ class ZstdLinesWriter(DataSourceArrowWriter):
 
 
 def write_lines(
-    lines: DataFrame, directory: str, level: int = DEFAULT_LEVEL, by_bucket: bool = False, parts: int = 1, stats_path: str | None = None
+    lines: DataFrame, directory: str, level: int = DEFAULT_LEVEL, by_bucket: bool = False, parts: int = 1, stats_path: str | None = None,
+    frame_bytes: int = FRAME_BYTES,
 ) -> None:
     """Write (prefix, value) lines to ``directory/prefix.zst``; ``value`` may be text or bytes.
 
@@ -162,7 +162,9 @@ def write_lines(
     buckets share a prefix's file. A prefix that adaptive execution splits becomes
     ``prefix.part-k.zst``; ``parts`` above 1 deals every prefix to so many files
     ``prefix-k.zst``; names of another prefix's files are passed over. ``stats_path``
-    is a folder that gets a row for each file written, see ``written_files``. A write
+    is a folder that gets a row for each file written, see ``written_files``. A file of
+    more than ``frame_bytes`` of text has several frames and a seek table, so that
+    ``read_frames`` reads it by many tasks. A write
     counts as a whole or not at all for those who read by ``read_written``.
     """
     spark = lines.sparkSession
@@ -173,7 +175,7 @@ def write_lines(
     part = F.pmod(F.xxhash64("value"), F.lit(parts)).cast("int") if parts > 1 else F.lit(-1)
     rows = lines.where("value IS NOT NULL").select(name.alias("name"), part.alias("part"), F.col("value").cast("binary").alias("value"))
     dealt = spark.sql("SELECT /*+ REBALANCE(name, part) */ name, part, value FROM {rows}", rows=rows).sortWithinPartitions("name", "part")
-    writer = dealt.write.format("zstd_lines").option("level", level)
+    writer = dealt.write.format("zstd_lines").option("level", level).option("frameBytes", frame_bytes)
     if stats_path:
         writer = writer.option("statsPath", stats_path)
     writer.mode("append").save(directory)

@@ -1,0 +1,54 @@
+"""Every trigger of a stream is in the log, however many there are."""
+
+import json
+from types import SimpleNamespace
+
+import pytest
+
+from linescan.streaming import search_stream as streams
+
+
+def told(batch, run="r1", rows=10, at="2024-01-01T00:00:00.000Z", rate=5.0):
+    seen = {"matched": {"matches": rows // 2, "plaintext_bytes": rows * 3}}
+    p = SimpleNamespace(id="q", runId=run, name=None, batchId=batch, timestamp=at, observedMetrics=seen, numInputRows=rows, processedRowsPerSecond=rate, batchDuration=7)
+    return SimpleNamespace(progress=p)
+
+
+def test_more_triggers_than_are_kept(spark, tmp_path):
+    """A small file for each trigger; the listener keeps more than the query's own list of the latest ones."""
+    root = tmp_path / "in" / "dt=20240101" / "hour=00"
+    root.mkdir(parents=True)
+    for i in range(130):
+        (root / f"{i}.txt").write_text("".join(f"line {j}\n" for j in range(i % 3 + 1)))
+    log = streams.ProgressLog(str(tmp_path / "log"))
+    spark.streams.addListener(log)
+    try:
+        found = streams.search_stream(streams.line_stream(spark, str(tmp_path / "in"), max_files=1), "0")
+        run = found.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        log.wait(run)
+    finally:
+        spark.streams.removeListener(log)
+    rows = streams.progress_log(spark, str(tmp_path / "log")).collect()
+    assert sorted(r.batch_id for r in rows) == list(range(130)) and len(run.recentProgress) < 130
+    assert sum(r.input_rows for r in rows) == sum(i % 3 + 1 for i in range(130)) and sum(r.matches for r in rows) == 130 and {r.run_id for r in rows} == {str(run.runId)}
+    assert len(list((tmp_path / "log").glob("*.json"))) == 1  # gathered when the run ended
+
+
+def test_triggers_told_twice_and_restarts(spark, tmp_path):
+    log = streams.ProgressLog(str(tmp_path))
+    for batch in (0, 1, 1, 2):
+        log.onQueryProgress(told(batch, rate=float("nan")))
+    assert len(list(tmp_path.glob("*.json"))) == 3
+    log.onQueryProgress(told(2, "r2", 20, "2024-01-01T00:05:00.000Z"))  # the driver died before batch 2 was marked as done
+    log.onQueryProgress(told(3, "r2", 1, "2024-01-01T00:06:00.000Z"))
+    rows = {r.batch_id: r for r in streams.progress_log(spark, str(tmp_path)).collect()}
+    assert {b: (r.run_id, r.input_rows, r.matches) for b, r in rows.items()} == {0: ("r1", 10, 5), 1: ("r1", 10, 5), 2: ("r2", 20, 10), 3: ("r2", 1, 0)}
+    assert rows[0].rows_per_second is None and rows[3].rows_per_second == 5.0
+    log.onQueryTerminated(SimpleNamespace(id="q", runId="r2"))
+    assert sorted(p.name for p in tmp_path.iterdir() if p.suffix == ".json")[-1] == "q-r2.json"
+    (tmp_path / "q-r2-000000000003.json").write_text(json.dumps({"query_id": "q", "run_id": "r2", "batch_id": 3, "input_rows": 1, "at": "2024-01-01T00:06:00.000Z"}) + "\n")  # as if it had stopped between the two
+    assert {r.batch_id for r in streams.progress_log(spark, str(tmp_path)).collect()} == {0, 1, 2, 3}
+    with pytest.raises(TimeoutError):
+        log.wait(SimpleNamespace(runId="never"), 0.01)
+    log.wait(SimpleNamespace(runId="r2"), 0.01)
