@@ -19,6 +19,7 @@ from linescan.operators import batches, deliveries, summary
 from linescan.operators import catalog as objects
 from linescan.plans.search import match_lines
 from linescan.session import scratch
+from linescan.sources import checked
 from linescan.sources import lines as line_source
 from linescan.sources.catalog import from_inventory, list_objects
 from linescan.sources.frames import read_frames
@@ -334,6 +335,27 @@ def c8(spark, sf_dir):
     return _measures(line_source.read_lines(spark, root, skip_bad=True))
 
 
+@query("c8_damage_report", f"WITH {LINES_SQL} SELECT count(*) FILTER (doc_id % 5 <> 0) AS lines, CAST(sum(strlen(value) + 1) FILTER (doc_id % 5 <> 0) AS BIGINT) AS plaintext_bytes, true AS bad_reported, true AS missing_reported FROM lines")
+def c8_report(spark, sf_dir):
+    """The same files and some that are gone: all lines of the sound ones, and one row for each of the others."""
+    root, found = scratch(spark, "reported"), doc_lines(spark, sf_dir)
+    found.where("doc_id % 5 <> 0").select("value").write.option("lineSep", "\n").option("compression", "gzip").text(f"{root}/sound")
+    found.where("doc_id % 5 = 0").select("value").write.option("lineSep", "\n").text(f"{root}/bad")
+    system, folder = file_system(f"{root}/bad")
+    for f in system.get_file_info(fs.FileSelector(folder)):
+        if f.base_name.endswith(".txt") and f.size:
+            system.move(f.path, f"{f.path}.gz")
+    catalog = list_objects(spark, root).select("key")
+    gone = catalog.where("key LIKE 'sound/%'").select(F.concat("key", F.lit(".gone.zst")).alias("key"))
+    read = objects.kept(checked.read_checked(spark, root, catalog.union(gone)), "checked")
+    bad = checked.damage_report(read).groupBy("key").agg(F.count("*").alias("n"), F.sum("lines").alias("kept"))
+    counts = bad.agg(F.count_if(F.expr("key LIKE 'bad/%'")).alias("bad"), F.count_if(F.expr("key LIKE '%.gone.zst'")).alias("gone"), F.max("n").alias("n"), F.sum("kept").alias("kept"))
+    there = catalog.agg(F.count_if(F.expr("key LIKE 'bad/%.gz'")).alias("all_bad"), F.count_if(F.expr("key LIKE 'sound/%'")).alias("all_gone"))
+    once = (F.col("n") == 1) & (F.col("kept") == 0)
+    rows = _measures(checked.sound_lines(read)).crossJoin(counts).crossJoin(there)  # one row each
+    return rows.select("lines", "plaintext_bytes", (once & (F.col("bad") == F.col("all_bad"))).alias("bad_reported"), (F.col("gone") == F.col("all_gone")).alias("missing_reported"))
+
+
 # --- D: matching ------------------------------------------------------------------------------
 
 
