@@ -45,13 +45,19 @@ def low_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.with_toxicity(docs, model, COLUMNS).where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
+def _one_row(rows: DataFrame, *keys: str) -> DataFrame:
+    """The first row of each key."""
+    rest = ["source", "lang", "n_chars", "text"]
+    return rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each class, of its least doc_id; a doc_id with several texts is judged text by text.
 
     Texts that are null or without words are alike only under one doc_id, of which
-    one row stays. Of repeated rows one stays; which of several with unlike other
-    columns is not defined. Rows without a doc_id stay, copies among them too.
-    Whole texts are compared; no documents give none.
+    one row stays. Of repeated rows one stays, of several with unlike other columns
+    that with the least source, then lang, n_chars and text, nulls first. Rows without
+    a doc_id stay, copies among them too. Whole texts are compared; no documents give none.
     """
     docs = docs.select(*COLUMNS)
     found = keep(jaccard.text_classes(docs).where("doc_id IS NOT NULL").select("doc_id", "cid", "root", "class_id"), "text-classes")
@@ -61,11 +67,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         several = F.broadcast(several)
     named = docs.where("doc_id IS NOT NULL")
     left = by_id.where("texts > 1 OR class_id <> doc_id").select("doc_id")
-    alone = named.join(left, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    alone = _one_row(named.join(left, "doc_id", "left_anti"), "doc_id")
     # Of a class that holds several texts of its least doc_id, one of them stays.
     best = found.join(several, "doc_id", "left_semi").where("class_id = doc_id").groupBy("doc_id", "root").agg(F.min("cid").alias("cid"))
     texts = jaccard.with_class(named.join(several, "doc_id", "left_semi"))
-    judged = texts.join(best, ["doc_id", "cid"], "left_semi").dropDuplicates(["doc_id", "cid"])
+    judged = _one_row(texts.join(best, ["doc_id", "cid"], "left_semi"), "doc_id", "cid")
     rows = [part.select(*COLUMNS) for part in (alone, judged, docs.where("doc_id IS NULL"))]
     return rows[0].union(rows[1]).union(rows[2])
 
