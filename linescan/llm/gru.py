@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 8
+WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 16
 CHAR_BUCKETS = 1 << 15
 CHAR_ORDERS = (3, 4, 5)
 

@@ -91,8 +91,9 @@ def sample_texts(docs: DataFrame, labels: DataFrame, sample: tuple[int, int]) ->
     """(text, toxic) of a bounded sample, and the share of toxic ones among all labels.
 
     Of each class the labelled documents with the least hashes are taken. A
-    document with two labels has the higher one. Documents are found by a join
-    with the few sampled ids; texts beyond SAMPLE_CHARS are not sampled.
+    document with two labels has the higher one, of a doc_id with several texts the
+    least text is taken. Documents are found by a join with the few sampled ids;
+    texts beyond SAMPLE_CHARS are not sampled.
     """
     once = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = once.agg(F.avg("toxic")).first()[0]
@@ -100,7 +101,7 @@ def sample_texts(docs: DataFrame, labels: DataFrame, sample: tuple[int, int]) ->
     few = [once.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n + n // 2) for kind, n in enumerate(sample)]
     texts = docs.select("doc_id", "text").where(F.char_length("text") <= SAMPLE_CHARS)
     found = texts.join(F.broadcast(few[0].union(few[1])), "doc_id").select("text", "toxic", F.xxhash64("doc_id").alias("code"), "doc_id")
-    rows = found.dropDuplicates(["doc_id"]).collect()
+    rows = found.groupBy("doc_id", "code", "toxic").agg(F.min("text").alias("text")).collect()
     out = []
     for kind, n in enumerate(sample):
         own = sorted((r for r in rows if r.toxic == kind), key=lambda r: (r.code, r.doc_id))

@@ -131,3 +131,34 @@ def test_ftrl_against_plain_loops():
     margin = {c: sum(v * model.weights[b, c] for b, v in zip(vectors[0][0], model.vector(*vectors[0]))) + model.bias[c] for c in range(3)}
     name, p = model.predict(texts[0])
     assert name == "a" and p == pytest.approx(math.exp(margin[0]) / sum(map(math.exp, margin.values())), abs=1e-6)
+
+
+def test_easy_texts_leave_a_temperature():
+    """Margins that tell all texts apart have no least loss by themselves; smoothed targets give them one, by the number of texts."""
+    rng = np.random.default_rng(0)
+    targets = np.arange(400) % 4
+    margins = rng.normal(0, 0.3, (400, 4))
+    margins[np.arange(400), targets] += 6
+    few, many = (L.fit_temperature(margins[:n], targets[:n]) for n in (40, 400))
+    assert 0.2 < many < few < 4
+    mean = L.softmax(margins / many)[np.arange(400), targets].mean()
+    assert 0.97 < mean < 0.999
+
+
+def test_mixed_texts_score_lower(spark):
+    """A text of one language is told with more certainty than one of four, and a single letter with hardly any."""
+    model = L.trained_on(spark.read.parquet(f"{DATA}/documents.parquet"))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("lang IS NOT NULL AND n_chars BETWEEN 300 AND 3000").limit(40).collect()
+    sure = np.mean([model.predict(r.text)[1] for r in docs])
+    by = {}
+    for r in docs:
+        by.setdefault(r.lang, r.text[:300])
+    mixed = model.predict(" ".join(by.values()))[1]
+    assert len(by) > 2 and sure > 0.85 and mixed < sure - 0.1 and model.predict("x")[1] < 0.6
+
+
+def test_empty_table(spark):
+    model = L.trained_on(spark.read.parquet(f"{DATA}/documents.parquet"))
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, score double")
+    found = L.with_language(none, model, ["doc_id", "score"])
+    assert found.columns == ["doc_id", "lang_pred", "score"] and found.count() == 0

@@ -138,3 +138,12 @@ def test_long_texts_and_clashing_columns(spark):
     assert {r.doc_id for r in by["packing"]} == {1, 2, 3, 4} and sum(r.length for r in by["packing"] if r.doc_id == 3) > 1000
     for name, _ in p.STAGES[:-1]:
         assert all(r.asDict().keys() == set(p.COLUMNS) for r in by[name])
+
+
+def test_which_of_repeated_rows_stays(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long, "en", "b", 5), (1, long, "en", "a", 7), (1, long, "de", "a", 7), (2, "some other text of six words", None, "z", 1), (2, "some other text of six words", "en", "z", 1)]
+    for given in (rows, rows[::-1]):
+        docs = spark.createDataFrame(given, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        kept = sorted((r.doc_id, r.lang, r.source, r.n_chars) for r in p.near_duplicates(spark, docs, DATA).collect())
+        assert kept == [(1, "de", "a", 7), (2, None, "z", 1)]

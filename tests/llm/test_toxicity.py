@@ -131,3 +131,12 @@ def test_scores_against_a_scalar_network():
         starts = range(0, max(len(words) - T.WINDOW + T.STRIDE, 1), T.STRIDE)
         logits = [slow_logit(p, len(x[a : a + T.WINDOW]), x[a : a + T.WINDOW]) for a in starts] if words else [(-8 - model.shift) / model.slope]
         assert abs(score - 1 / (1 + np.exp(-(model.slope * max(logits) + model.shift)))) < 1e-4, text
+
+
+def test_ties_in_the_sample(spark):
+    """Of a doc_id with several texts the least one is sampled, whatever the order of the rows."""
+    rows = [(1, "b"), (1, "a"), (1, "c"), (2, "z"), (2, "z")]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    for given in (rows, rows[::-1]):
+        docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+        assert sorted(T.sample_texts(docs, labels, (5, 5))[0]) == [("a", 1), ("z", 0)]
