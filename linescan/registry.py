@@ -7,6 +7,7 @@ hour, whose size is that of its properties, in one of three buckets.
 from __future__ import annotations
 
 import time
+from datetime import timedelta
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,6 +27,7 @@ from linescan.sources.frames import read_frames
 from linescan.sources.http_lines import delivery_log, delivery_stats, write_http
 from linescan.sources.manifest import current_files, file_system
 from linescan.sources.zstd_lines import read_written, write_lines, write_partitioned, written_files
+from linescan.streaming import hour_stream
 from linescan.streaming import search_stream as streams
 
 QUERIES: dict = {}
@@ -707,6 +709,18 @@ def g1(spark, sf_dir):
     return _measures(spark.read.schema("value string, dt string, hour string").parquet(out), "dt", "hour")
 
 
+@query("g1_hour_stream", f"WITH {HALF_DAYS_SQL} SELECT dt, hour, {MEASURES_SQL} FROM half WHERE regexp_matches(value, '[13579]\\}}') GROUP BY ALL")
+def g1_hours(spark, sf_dir):
+    """The same by the source that lists open hours only, in two runs of one query."""
+    root, out, state = _hour_tree(spark, sf_dir), scratch(spark, "hour-stream"), scratch(spark, "hour-state")
+    first, last = table(spark, sf_dir, "events").agg(F.min("ts"), F.max("ts")).first()
+    half = first + (last - first) / 2
+    for end in (half, last):
+        lines = hour_stream.hour_stream(spark, root, "dt=%Y%m%d/hour=%H", f"{state}/hours", first - timedelta(hours=12), end)
+        streams.to_table(streams.search_stream(lines, r"[13579]\}"), out, state).awaitTermination()
+    return _measures(spark.read.schema("value string, dt string, hour string").parquet(out), "dt", "hour")
+
+
 @query("g2_intake_limit", f"WITH {HALF_DAYS_SQL} SELECT {MEASURES_SQL} FROM half")
 def g2(spark, sf_dir):
     root, out = _hour_tree(spark, sf_dir), scratch(spark, "limited")

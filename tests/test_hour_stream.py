@@ -1,0 +1,104 @@
+"""A stream by hour: open hours are listed, closed ones are not, and a restart loses nothing."""
+
+import gzip
+from datetime import datetime, timedelta
+
+import pytest
+
+from linescan.streaming import hour_stream as hs
+from linescan.streaming import search_stream as streams
+
+LAYOUT = "dt=%Y%m%d/hour=%H"
+START = datetime(2024, 3, 15, 22)
+
+
+def put(root, hour, name, text):
+    folder = root / (START + timedelta(hours=hour)).strftime(LAYOUT)
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / name).write_bytes(gzip.compress(text.encode()) if name.endswith(".gz") else text.encode())
+
+
+@pytest.fixture
+def reader(tmp_path, monkeypatch):
+    listed = []
+    plain = hs.HourReader._listed
+    monkeypatch.setattr(hs.HourReader, "_listed", lambda self, hour: listed.append(int((hour - START) / hs.HOUR)) or plain(self, hour))
+
+    def new(**kw):
+        return hs.HourReader(hs.Settings(str(tmp_path / "in"), LAYOUT, str(tmp_path / "log"), START, START + timedelta(hours=kw.pop("hours", 10)), kw.pop("horizon", 2), kw.pop("most", None)))
+
+    def taken(r, before):
+        after = r.latestOffset()
+        names = [k.rsplit("/", 1)[-1] for p in r.partitions(before, after) for k, _, _ in p.files]
+        return after, sorted(names)
+
+    return new, taken, listed
+
+
+def test_closed_hours_are_not_listed_again(tmp_path, reader):
+    new, taken, listed = reader
+    r, root = new(), tmp_path / "in"
+    at, found = taken(r, r.initialOffset())
+    assert found == [] and at == {"number": 0} and sorted(listed) == list(range(11))
+    put(root, 0, "a", "x"), put(root, 5, "b", "x"), put(root, 5, "_SUCCESS", "x"), put(root, 5, ".c.crc", "x")
+    at, found = taken(r, at)
+    assert found == ["a", "b"]
+    del listed[:]
+    put(root, 3, "late", "x"), put(root, 2, "too-late", "x"), put(root, 6, "c", "x")
+    at, found = taken(r, at)
+    assert found == ["c", "late"] and sorted(listed) == list(range(3, 11))  # two hours before the newest on
+    del listed[:]
+    assert taken(r, at) == (at, []) and sorted(listed) == list(range(4, 11))
+    assert set(r.seen) == {(START + timedelta(hours=h)).isoformat() for h in (5, 6)}
+
+
+def test_restart(tmp_path, reader):
+    new, taken, listed = reader
+    root, r = tmp_path / "in", new()
+    put(root, 0, "a", "x"), put(root, 1, "b", "x")
+    first, _ = taken(r, r.initialOffset())
+    put(root, 1, "c", "x"), put(root, 4, "d", "x")
+    second, _ = taken(r, first)
+    again = new()  # a driver that comes up behind the first batch
+    after, names = taken(again, first)
+    assert after == second and names == ["c", "d"] and (again.newest, again.seen) == (r.newest, r.seen)
+    put(root, 9, "e", "x")
+    third, names = taken(again, after)
+    assert names == ["e"]
+    again.commit(third)
+    assert [p.name for p in sorted((tmp_path / "log").iterdir())] == ["000000000003.json"]
+    assert taken(new(), third) == (third, [])
+    again.commit(third)
+
+
+def test_intake(tmp_path, reader):
+    new, taken, _ = reader
+    for h in range(3):
+        for k in range(4):
+            put(tmp_path / "in", h, f"{h}{k}", "x")
+    r, at, got = new(most=5), {"number": 0}, []
+    for n in (5, 5, 2, 0):
+        at, names = taken(r, at)
+        assert len(names) == n
+        got += names
+    assert got == [f"{h}{k}" for h in range(3) for k in range(4)]
+
+
+def test_a_stream(spark, tmp_path):
+    root = tmp_path / "in"
+    put(root, 0, "a.gz", "ERROR one\nfine\n"), put(root, 3, "b.txt", "ERROR two\n\xff\n")
+    given = {"root": f"file://{root}", "layout": LAYOUT, "log": str(tmp_path / "state" / "hours"), "start": START + timedelta(minutes=40), "end": START + timedelta(hours=6)}
+
+    def run():
+        found = streams.search_stream(hs.hour_stream(spark, **given), "ERROR")
+        streams.to_table(found, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        return sorted((r.value, r.dt, r.hour, r.key.rsplit("/", 1)[-1]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    first = [("ERROR one", "20240315", "22", "a.gz"), ("ERROR two", "20240316", "01", "b.txt")]
+    assert run() == first
+    put(root, 2, "late.txt", "ERROR three"), put(root, 4, "c.txt", "no\n")
+    assert run() == sorted([*first, ("ERROR three", "20240316", "00", "late.txt")])
+    (root / "dt=20240316" / "hour=03").mkdir(parents=True)
+    (root / "dt=20240316" / "hour=03" / "bad.gz").write_bytes(b"no gzip")
+    with pytest.raises(Exception, match="bad.gz"):
+        run()
