@@ -29,9 +29,10 @@ from pyspark.sql.types import StructType
 
 from linescan.functions.delivery import FIRST_DELAY_MS, response_class, retries_allowed
 from linescan.session import scratch
-from linescan.sources.manifest import file_system
+from linescan.sources.manifest import delete, file_system
 
 LEAST_RATE = 2_000_000.0
+LEASE_SECONDS, STALE_SECONDS = 2.0, 60.0
 STATS_SCHEMA = "lines_sent long, lines_dropped long, batches_sent long, plaintext_bytes_sent long, compressed_bytes_sent long, seconds double, rate_cuts long, fatal string"
 #: A row for each try: ``began`` and ``took`` in seconds of the task's own clock, ``status`` null where nobody answered.
 LOG_SCHEMA = (
@@ -50,6 +51,7 @@ class Settings:
     level: int = 3
     max_retries: int = 1
     max_rate: float | None = None
+    lease_path: str | None = None
     max_submission_time: float | None = None
     run: str = field(default_factory=lambda: uuid.uuid4().hex)
     decrease: float = 0.15
@@ -61,8 +63,8 @@ class Settings:
 
     @classmethod
     def of(cls, options: dict) -> Settings:
-        """From string options. ``tokenEnv`` names the variable that holds the bearer token; ``tasks``
-        says how many tasks send at once, among which the rate is divided."""
+        """From string options. ``tokenEnv`` names the variable that holds the bearer token; ``tasks`` says
+        how many tasks send at once, among which the rate is divided; without it they find out by leases."""
         number = lambda k, d: float(options[k]) if k in options else d
         rate = number("maxRate", None)
         return cls(
@@ -70,31 +72,88 @@ class Settings:
             timeout=number("timeout", 30.0), max_batch_bytes=int(number("maxBatchBytes", 2 * 1024 * 1024)), level=int(number("level", 3)),
             max_retries=retries_allowed(int(number("maxRetries", 1))), max_rate=rate / max(1.0, number("tasks", 1.0)) if rate else None,
             max_submission_time=number("maxSubmissionTime", None), decrease=number("decrease", 0.15), increase=number("increase", 1_000_000.0),
-            stats_path=options.get("statsPath"), stop_path=options.get("stopPath"), log_path=options.get("logPath"), fail_on_drop=options.get("failOnDrop", "false").lower() == "true",
+            stats_path=options.get("statsPath"), stop_path=options.get("stopPath"), log_path=options.get("logPath"), lease_path=options.get("leasePath"), fail_on_drop=options.get("failOnDrop", "false").lower() == "true",
         )
 
 
+class Leases:
+    """The tasks that send just now, as files in a shared folder; one that has not renewed its own for STALE_SECONDS is gone."""
+
+    def __init__(self, path: str):
+        self.system, root = file_system(path)
+        self.root, self.own = root.rstrip("/"), uuid.uuid4().hex
+
+    def renew(self) -> None:
+        self.system.create_dir(self.root, recursive=True)
+        with self.system.open_output_stream(f"{self.root}/{self.own}") as sink:
+            sink.write(b"lease")
+
+    def live(self) -> int:
+        """How many there are, this one included, by the clock of the folder."""
+        from pyarrow import fs
+
+        times = {i.base_name: i.mtime_ns for i in self.system.get_file_info(fs.FileSelector(self.root, allow_not_found=True))}
+        now = times.get(self.own, max(times.values(), default=0))
+        return max(1, sum(now - t < STALE_SECONDS * 1e9 for t in times.values()))
+
+    def drop(self) -> None:
+        delete(self.system, f"{self.root}/{self.own}")
+
+
 class Pacer:
     """A task's share of the upload rate: a bucket of two batches, filled at ``rate`` bytes a second.
 
+    With ``leases`` the share is an equal part among the tasks that send just now. It is
+    looked at again every LEASE_SECONDS; a task that comes begins with an empty bucket
+    once the others have seen it, so all shares together never pass the cap, and what a
+    task that ends leaves goes to the others.
+
     With a submission time to hold, the rate adapts: a slow or refused batch takes
     a share off, at most once in a while and never below LEAST_RATE; a quick one
     adds a step, up to a ceiling. Until the first slow batch an uncapped task is
     free, and then starts from what it has reached so far.
     """
 
-    def __init__(self, settings: Settings, clock=time.monotonic, sleep=time.sleep):
-        self.s, self.clock, self.sleep = settings, clock, sleep
+    def __init__(self, settings: Settings, clock=time.monotonic, sleep=time.sleep, leases: Leases | None = None):
+        self.s, self.clock, self.sleep, self.leases = settings, clock, sleep, leases
         self.rate = settings.max_rate
         self.ceiling = settings.max_rate
         self.room = self.left = 2.0 * settings.max_batch_bytes
         self.began = self.filled = clock()
-        self.lowered: float | None = None
+        self.lowered = self.looked = None
         self.sent = self.cuts = 0
 
+    def _share(self) -> None:
+        """Take the part of the cap that is this task's now."""
+        now = self.clock()
+        if self.looked is None:
+            self.leases.renew()
+            self.sleep(LEASE_SECONDS)  # by then the others have looked
+            now = self.clock()
+            self.left, self.filled = 0.0, now
+        elif now - self.looked < LEASE_SECONDS:
+            return
+        self.left = min(self.room, self.left + (now - self.filled) * self.rate)
+        self.filled = self.looked = now
+        self.leases.renew()
+        held_back = self.rate < self.ceiling  # by the adaptive rate
+        self.ceiling = self.s.max_rate / self.leases.live()
+        self.rate = min(self.rate, self.ceiling) if held_back else self.ceiling
+
+    def close(self) -> None:
+        if self.leases is not None:
+            self.leases.drop()
+
     def wait(self, size: int) -> None:
         if self.rate is None:
             return
+        if self.leases is not None:
+            self._share()
+            # Never asleep for longer than a share lasts.
+            while (short := size - self.left - (self.clock() - self.filled) * self.rate) > self.rate * LEASE_SECONDS:
+                self.sleep(LEASE_SECONDS)
+                self.room = max(self.room, size)
+                self._share()
         now = self.clock()
         self.left = min(self.room, self.left + (now - self.filled) * self.rate)
         self.filled = now
@@ -209,7 +268,8 @@ class Sender:
 
     def __init__(self, settings: Settings, sleep=time.sleep):
         self.s, self.sleep = settings, sleep
-        self.pacer = Pacer(settings, sleep=sleep)
+        shared = settings.max_rate is not None and settings.lease_path is not None
+        self.pacer = Pacer(settings, sleep=sleep, leases=Leases(settings.lease_path) if shared else None)
         self.stop = Stop(settings.stop_path)
         self.out = Delivered()
         context = TaskContext.get()
@@ -309,6 +369,7 @@ def send_all(settings: Settings, batches: Iterator[pa.RecordBatch]) -> Delivered
         if packer is not None:
             sender.send(b"".join([*parts, packer.flush()]), lines, plain)
     finally:
+        sender.pacer.close()
         sender.write_log()
     sender.out.rate_cuts = sender.pacer.cuts
     return sender.out
@@ -385,12 +446,15 @@ def payload(lines: DataFrame) -> DataFrame:
 
 def write_http(lines: DataFrame, url: str, **options) -> None:
     """Post the lines of ``value`` to an address, or put them into a folder that is there. Options are those of
-    ``Settings.of``: tokenEnv, timeout, maxBatchBytes, level, maxRetries (10 at most), maxRate with tasks,
-    maxSubmissionTime, statsPath, failOnDrop; logPath is a folder that gets a row for every try, see
+    ``Settings.of``: tokenEnv, timeout, maxBatchBytes, level, maxRetries (10 at most), maxRate,
+    tasks, maxSubmissionTime, statsPath, failOnDrop; logPath is a folder that gets a row for every try, see
     ``delivery_log``; stopPath is where the first refusal leaves its mark, a new path in the shared folder
-    unless given."""
+    unless given. The rate is shared by the tasks that send at a time, by leases in the shared folder, or divided by
+    ``tasks``."""
     lines.sparkSession.dataSource.register(HttpLines)
     options.setdefault("stopPath", scratch(lines.sparkSession, "stop"))
+    if "maxRate" in options and "tasks" not in options:
+        options.setdefault("leasePath", scratch(lines.sparkSession, "leases"))
     payload(lines).write.format("http_lines").options(url=url, **{k: str(v) for k, v in options.items()}).mode("append").save()
 
 

@@ -1,0 +1,103 @@
+"""A cap on the upload rate that tasks share by leases."""
+
+import os
+import threading
+import time
+
+import pytest
+
+from linescan.sources import http_lines
+from linescan.sources.http_lines import Leases, Pacer, Settings, delivery_log, delivery_stats, write_http
+
+
+class Time:
+    """A clock that stands still while some thread works, and goes on to the first that wakes when all sleep."""
+
+    def __init__(self, threads):
+        self.now, self.awake, self.wakes, self.change = 0.0, threads, {}, threading.Condition()
+
+    def clock(self):
+        return self.now
+
+    def _go_on(self):
+        if not self.awake and self.wakes:
+            self.now = min(self.wakes.values())
+            self.change.notify_all()
+
+    def sleep(self, seconds):
+        me = threading.get_ident()
+        with self.change:
+            self.wakes[me] = self.now + max(seconds, 1e-9)
+            self.awake -= 1
+            self._go_on()
+            while self.now < self.wakes[me]:
+                self.change.wait()
+            del self.wakes[me]
+            self.awake += 1
+
+    def over(self):
+        with self.change:
+            self.awake -= 1
+            self._go_on()
+
+
+@pytest.mark.parametrize("loads", [[4000, 400, 300, 100], [2000, 2000], [3000], [3000, 10, 10, 10, 10, 10, 10, 10]])
+def test_the_cap_is_held_and_used(tmp_path, loads):
+    """Uneven tasks: never more than the cap and one batch of each task at any moment, and nine tenths of it while there is work."""
+    cap, batch, at, lock = 100_000.0, 1000, Time(len(loads)), threading.Lock()
+    sent = []
+
+    def work(n):
+        pacer = Pacer(Settings("u", max_batch_bytes=batch, max_rate=cap), at.clock, at.sleep, Leases(str(tmp_path / "leases")))
+        for _ in range(n):
+            pacer.wait(batch)
+            with lock:
+                sent.append((at.clock(), batch))
+        pacer.close()
+        at.over()
+
+    threads = [threading.Thread(target=work, args=(n,)) for n in loads]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    sent.sort()
+    total = 0
+    for moment, size in sent:
+        total += size
+        assert total <= cap * max(0.0, moment - http_lines.LEASE_SECONDS) + 2 * batch * len(loads), moment
+    assert total == batch * sum(loads)
+    assert total >= 0.9 * cap * (sent[-1][0] - http_lines.LEASE_SECONDS) or len(loads) == 8  # eight ends, each seen two seconds later
+    assert list((tmp_path / "leases").iterdir()) == []
+
+
+def test_leases(tmp_path):
+    a, b = Leases(str(tmp_path / "x")), Leases(f"file://{tmp_path}/x")
+    a.renew()
+    assert a.live() == 1
+    b.renew()
+    assert a.live() == b.live() == 2
+    old = time.time() - http_lines.STALE_SECONDS - 5
+    os.utime(tmp_path / "x" / b.own, (old, old))  # its task is lost
+    assert a.live() == 1
+    b.drop(), b.drop()
+    a.drop()
+    assert a.live() == 1  # itself, even without a lease
+
+
+def test_a_batch_larger_than_the_bucket(tmp_path):
+    at = Time(1)
+    pacer = Pacer(Settings("u", max_batch_bytes=10, max_rate=100.0), at.clock, at.sleep, Leases(str(tmp_path / "x")))
+    pacer.wait(5000)
+    assert 50 <= at.now <= 50 + 2 * http_lines.LEASE_SECONDS
+
+
+def test_the_sink_shares(spark, tmp_path, monkeypatch):
+    (tmp_path / "to").mkdir()
+    lines = spark.range(400).selectExpr("concat('line ', sha2(cast(id AS string), 256)) AS value").repartition(3)
+    began = time.monotonic()
+    write_http(lines, str(tmp_path / "to"), maxBatchBytes=500, maxRate=20_000, statsPath=str(tmp_path / "stats"), logPath=str(tmp_path / "log"))
+    took = time.monotonic() - began
+    sizes = sum(r.compressed_bytes for r in delivery_log(spark, str(tmp_path / "log")).collect())
+    assert delivery_stats(spark, str(tmp_path / "stats")).first().lines_sent == 400
+    assert took >= (sizes - 3 * 2 * 500) / 20_000
