@@ -1,4 +1,4 @@
-"""Chat formatting: a role machine, a declarative template, and loss flags per segment.
+"""Chat formatting: a role machine that emits segments with loss flags, by a declarative template.
 
 Everything is DataFrame functions over one row per conversation. Turns are
 gathered by conversation, since a formatted conversation is one value.
@@ -61,21 +61,72 @@ def unescape_role(role: Column) -> Column:
     return reduce(lambda c, pair: F.replace(c, F.lit(pair[1]), F.lit(pair[0])), reversed(_ROLE_CODES), role)
 
 
-def first_bad_turn(roles: Column, template: dict = TEMPLATE) -> Column:
-    """Where the role machine stops: the turn's place from 0, the number of turns
-    if the end isn't accepted, null if the order is valid."""
+#: So many turns are walked with their segments at a time, so that a long conversation takes time that follows its length.
+BLOCK_TURNS = 128
+
+
+def _moved(template: dict):
+    """(state, role) to the next state, null where the machine refuses; from a refusal nothing leads on."""
     moves = F.create_map(*(F.lit(x) for (a, b), to in template["moves"].items() for x in (f"{a} {b}", to)))
-    begin = F.struct(F.lit(template["start"]).alias("state"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("bad"))
+    return lambda state, role: F.element_at(moves, F.concat(state, F.lit(" "), role))
+
+
+def _emitted(turn: Column, to: Column, template: dict) -> Column:
+    """What the machine emits on its way to a state: the turn's marks without loss, and its text with the loss of that state.
+
+    A turn that it refuses leads to no state; its role says whether there is loss.
+    """
+    lossy = {to for (_, role), to in template["moves"].items() if role in template["loss_roles"]}
+    loss = F.coalesce(to.isin(sorted(lossy)) & to.isNotNull(), F.lit(False)) | (to.isNull() & turn["role"].isin(template["loss_roles"]))
+    segment = lambda text, flag: F.struct(text.alias("text"), flag.alias("loss"))
+    return F.array(
+        segment(F.concat(F.lit(template["open"]), escape_role(turn["role"]), F.lit(template["role_end"])), F.lit(False)),
+        segment(escape_text(turn["text"], template), loss),
+        segment(F.lit(template["close"]), F.lit(False)),
+    )
+
+
+def _blocks(turns: Column) -> Column:
+    last = F.floor((F.size(turns) - 1) / BLOCK_TURNS).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(turns, k * BLOCK_TURNS + 1, F.lit(BLOCK_TURNS)))
+
+
+def block_states(turns: Column, template: dict = TEMPLATE) -> Column:
+    """Where the role machine is before each block of turns and behind the last: (state, at, bad), ``bad`` being the
+    place from 0 of the first turn that it refused. Roles alone are walked."""
+    move = _moved(template)
+    at = lambda state, n, bad: F.struct(state.alias("state"), n.alias("at"), bad.alias("bad"))
+
+    def walk(here: Column, turn: Column) -> Column:
+        to = move(here["state"], turn["role"])
+        bad = F.when(here["bad"].isNull() & to.isNull(), here["at"]).otherwise(here["bad"])
+        return at(F.coalesce(to, F.lit("")), here["at"] + 1, bad)
 
-    def step(acc: Column, role: Column) -> Column:
-        to = F.element_at(moves, F.concat(acc["state"], F.lit(" "), role))
-        bad = F.when(acc["bad"].isNull() & to.isNull(), acc["at"]).otherwise(acc["bad"])
-        return F.struct(F.coalesce(to, F.lit("")).alias("state"), (acc["at"] + 1).alias("at"), bad.alias("bad"))
+    begin = F.array(at(F.lit(template["start"]), F.lit(0), F.lit(None).cast("int")))
+    return F.aggregate(_blocks(turns), begin, lambda acc, block: F.concat(acc, F.array(F.aggregate(block, F.element_at(acc, -1), walk))))
 
-    def finish(acc: Column) -> Column:
-        return F.coalesce(acc["bad"], F.when(~acc["state"].isin(template["accept"]), acc["at"]))
 
-    return F.aggregate(roles, begin, step, finish)
+def bad_turn(states: Column, template: dict = TEMPLATE) -> Column:
+    """The place of the turn that the machine refuses, the number of turns if the end isn't accepted, null if the order is valid."""
+    last = F.element_at(states, -1)
+    return F.coalesce(last["bad"], F.when(~last["state"].isin(template["accept"]), last["at"]))
+
+
+def emitted(turns: Column, states: Column, template: dict = TEMPLATE) -> Column:
+    """The segments that the machine emits, block by block from the state that each begins in."""
+    move = _moved(template)
+
+    def emit(block: Column, start: Column) -> Column:
+        first = F.struct(start["state"].alias("state"), F.array().cast("array<struct<text:string,loss:boolean>>").alias("out"))
+
+        def step(here: Column, turn: Column) -> Column:
+            to = move(here["state"], turn["role"])
+            return F.struct(F.coalesce(to, F.lit("")).alias("state"), F.concat(here["out"], _emitted(turn, to, template)).alias("out"))
+
+        return F.aggregate(block, first, step, lambda here: here["out"])
+
+    blocks = _blocks(turns)
+    return F.flatten(F.zip_with(blocks, F.slice(states, F.lit(1), F.size(blocks)), emit))
 
 
 def format_conversations(turns: DataFrame, template: dict = TEMPLATE) -> DataFrame:
@@ -95,24 +146,11 @@ def format_conversations(turns: DataFrame, template: dict = TEMPLATE) -> DataFra
         .groupBy("conv_id")
         .agg(F.sort_array(F.collect_list("t")).alias("turns"))
     )
-    loss = lambda t: t["role"].isin(template["loss_roles"])
-    segment = lambda text, flag: F.struct(text.alias("text"), flag.alias("loss"))
-    segments = F.flatten(
-        F.transform(
-            "turns",
-            lambda t: F.array(
-                segment(F.concat(F.lit(template["open"]), escape_role(t["role"]), F.lit(template["role_end"])), F.lit(False)),
-                segment(escape_text(t["text"], template), loss(t)),
-                segment(F.lit(template["close"]), F.lit(False)),
-            ),
-        )
-    )
-    made = grouped.select(
-        "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        first_bad_turn(F.col("turns.role"), template).alias("bad_turn"),
-        segments.alias("segments"),
-    )
+    ran = grouped.withColumn("states", block_states(F.col("turns"), template))
+    made = ran.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), bad_turn(F.col("states"), template).alias("bad_turn"),
+        emitted(F.col("turns"), F.col("states"), template).alias("segments"),
+    )
     return made.withColumn("formatted", F.array_join(F.col("segments.text"), ""))
 
 

@@ -66,3 +66,36 @@ def test_long_conversations(spark):
         assert r.bad_turn is None and r.n_turns == len(own) and [(t.role, t.text) for t in r.back] == [t[2:] for t in own]
         assert r.loss == "".join(t[3] for t in own if t[2] == "assistant")
     assert chat.format_conversations(df.where("false")).count() == 0
+
+
+def test_machine_over_blocks(spark, monkeypatch):
+    """Whatever the block, the machine stops at the same turn and emits the same; a long conversation is walked in parts."""
+    rng = random.Random(2)
+    talks = [[rng.choice(["user", "assistant"]) for _ in range(rng.randint(1, 12))] for _ in range(60)] + [["system", *["user", "assistant"] * 400], ["user", "assistant"] * 300 + ["assistant", "user"]]
+    rows = [(c, n, role, f"{role} {n}") for c, talk in enumerate(talks) for n, role in enumerate(talk)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+    def brute(talk):
+        state = "start"
+        for n, role in enumerate(talk):
+            if (state, role) not in chat.TEMPLATE["moves"]:
+                return n
+            state = chat.TEMPLATE["moves"][state, role]
+        return None if state in chat.TEMPLATE["accept"] else len(talk)
+
+    for block in (1, 3, 128):
+        monkeypatch.setattr(chat, "BLOCK_TURNS", block)
+        for r in chat.format_conversations(df.where("conv_id < 60") if block == 1 else df).collect():
+            talk = talks[r.conv_id]
+            assert r.bad_turn == brute(talk) and r.n_turns == len(talk)
+            assert [s.text for s in r.segments if s.loss] == [f"assistant {n}" for n, role in enumerate(talk) if role == "assistant"]
+            assert len(r.segments) == 3 * len(talk)
+
+
+def test_loss_follows_the_state(spark):
+    """States of one's own: loss is that of the state a turn leads to, here only of answers to a question."""
+    template = chat.TEMPLATE | {"moves": {("start", "ask"): "asked", ("asked", "bot"): "answered", ("answered", "ask"): "asked"}, "loss_roles": ["bot"], "accept": ["answered"]}
+    rows = [(1, n, role, f"{role}{n}") for n, role in enumerate(["ask", "bot", "ask", "bot"])] + [(2, 0, "bot", "refused")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.bad_turn, [s.text for s in r.segments if s.loss]) for r in chat.format_conversations(df, template).collect()}
+    assert got == {1: (None, ["bot1", "bot3"]), 2: (0, ["refused"])}
