@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linescan.llm import jaccard, language_id, packing, secrets_scan, toxicity
-from linescan.llm.tables import keep, table
+from linescan.llm.tables import keep, passing, table
 
 #: A document stays if its language has at least this probability.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -112,8 +112,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows for ``documents``. Tables that a stage kept on its way go when its result is kept."""
+    docs, own = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        with passing(spark) as made:
+            docs = keep(stage(spark, docs, sf_dir), name)
+            last, own = own, [made.pop()]  # the result is kept last
+            made += last  # what it was made from has been read
     return STAGES[-1][1](spark, docs, sf_dir)
