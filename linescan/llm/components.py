@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +29,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return hung.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(u, root) for each node of ``edges`` (u, v): root is the least node of its component.
 
     Nodes are values of any type with an order. No neighbour list is ever
     gathered: a round takes minima and joins them back. Rounds stop when every
-    edge hangs on a root. Without edges there are no rows.
+    edge hangs on a root; they are bounded by the square of the logarithm of the
+    number of edges, 50 at least, which the method needs at most. Without edges
+    there are no rows.
     """
     now = keep(edges.where("u <> v").distinct(), "edges")
+    if most_rounds is None:
+        most_rounds = max(50, math.ceil(math.log2(now.count() + 2)) ** 2)
     for _ in range(most_rounds):
         now = keep(_star(_star(now, True), False), "stars")
         # Done when each node has one parent and no parent has a parent.

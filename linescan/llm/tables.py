@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,12 +35,35 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/corpus/{label}-{uuid.uuid4().hex}"
 
 
+_watching: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """A list of the paths of all tables that are kept meanwhile. Those that are left in it at the end are removed.
+
+    For tables that nothing reads any more, once the result made from them is kept itself.
+    """
+    made: list[str] = []
+    _watching.append(made)
+    try:
+        yield made
+    finally:
+        _watching.remove(made)
+    for path in made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table.
 
     This cuts lineage: what follows re-reads files that outlive any executor
-    instead of computing ``df`` again. Files stay until the folder is cleared.
+    instead of computing ``df`` again. Files stay until the folder is cleared, or
+    until a ``passing`` around it ends.
     """
     path = new_path(df.sparkSession, label)
+    for made in _watching:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
