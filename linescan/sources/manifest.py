@@ -16,6 +16,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Moves and removals that run at once.
 THREADS = 16
@@ -191,3 +192,13 @@ def current_files(spark: SparkSession, directory: str) -> DataFrame:
     now = folder.latest()
     rows = [(e.prefix, e.file, folder.scheme + folder.path_of(e), e.lines, e.plaintext_bytes, e.compressed_bytes) for e in now.files] if now else []
     return spark.createDataFrame(rows, CURRENT_SCHEMA)
+
+
+def with_prefix(rows: DataFrame, directory: str) -> DataFrame:
+    """``rows`` (with ``key``, relative to an output folder) plus the prefix that the file of that name was written for.
+
+    The names alone do not tell it: ``x-1.zst`` may be a file of x or of x-1, and a split prefix is several files. A
+    file that no manifest names has a null prefix.
+    """
+    files = current_files(rows.sparkSession, directory).select(F.col("file").alias("key"), "prefix")
+    return rows.join(files, "key", "left")
