@@ -11,7 +11,9 @@ the next round begins. Where the gaps cannot hold all that is left, so many new
 sequences open as the tokens in excess fill. A gap that holds several pieces of
 the band in any case takes part as often. All of it are tables: a round writes
 its gaps, its matches and the pieces left over; the driver sees a row of counts
-for each range.
+for each range. Once what is left of a band and its gaps are a few thousand rows,
+however many there were, one range is enough, and its task goes on from round to
+round by itself.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +37,8 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k"
 #: A range holds about so many pieces and gaps at most.
 RANGE_ROWS = 2_000_000
+#: So many pieces and gaps are worth a range of their own; a band that has no more left is one range until all have a place.
+TAIL_ROWS = 30_000
 
 PIECE_FIELDS = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -178,7 +183,7 @@ def swept_ranges(slots: DataFrame, left: DataFrame, rows: int) -> DataFrame:
     spark = slots.sparkSession
     gaps = slots.select(F.lit(False).alias("piece"), F.col("seq").alias("id"), "slot", "size")
     both = gaps.unionByName(left.select(F.lit(True).alias("piece"), F.col("pid").alias("id"), F.lit(0).alias("slot"), F.col("length").alias("size")))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS))
+    n = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // max(TAIL_ROWS, 1))), -(-rows // RANGE_ROWS))
     order = [F.desc("size"), "piece", "id", "slot"]
     ranges = both.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
@@ -234,6 +239,65 @@ def shrunk(gaps: DataFrame, matched: DataFrame, capacity: int, least: int) -> Da
     return keep(met.unionByName(left), "round")
 
 
+def swept_out(pieces: np.ndarray, gaps: np.ndarray, capacity: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All rounds of one range: the sequence and the offset of each of ``pieces`` (lengths), and the gaps as they are then.
+
+    Sequences are counted as in ``gaps``, those that open come behind. A round does what ``pack_band`` does.
+    """
+    sequence, offset = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+    left, usable, gaps = np.arange(len(pieces)), np.arange(len(gaps)), gaps.copy()
+    while len(left):
+        wanted, room = pieces[left], gaps[usable]
+        excess = int(wanted.sum()) - (int(room.sum()) if room.max(initial=0) >= wanted.min() else 0)
+        fresh = -(-max(0, excess) // capacity)
+        usable = np.append(usable, np.arange(len(gaps), len(gaps) + fresh))
+        gaps = np.append(gaps, np.full(fresh, capacity))
+        most = wanted.max()
+        times = np.clip(gaps[usable] // most, 1, -(-2 * len(left) // len(usable)))
+        owner = np.repeat(usable, times)
+        slot = np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times)
+        ids, slots = np.append(owner, left), np.append(slot, np.zeros(len(left), np.int64))
+        size, piece = np.append(gaps[owner] - slot * most, wanted), np.arange(len(ids)) >= len(owner)
+        order = np.lexsort((slots, ids, piece, -size))
+        swept = successors(pa.table({"piece": piece[order], "id": ids[order], "slot": slots[order].astype(np.int32), "size": size[order]}))
+        met = swept.filter(pc.and_(swept["seq"].is_valid(), swept["pid"].is_valid())).sort_by([("seq", "ascending"), ("slot", "ascending")])
+        to, taken, n = (met[c].to_numpy() for c in ("seq", "pid", "length"))
+        filled, first, count = np.unique(to, return_index=True, return_counts=True)
+        before = np.cumsum(n) - n  # tokens of the matches before, then of those in the same sequence
+        sequence[taken], offset[taken] = to, capacity - gaps[to] + before - np.repeat(before[first], count)
+        np.subtract.at(gaps, to, n)
+        usable = filled[gaps[filled] >= least]  # a gap that took none is smaller than all that is left
+        left = np.setdiff1d(left, taken, assume_unique=True)
+    return sequence, offset, gaps
+
+
+ROUND = "seq long, gap long, pid long, length long, offset long, again boolean"
+
+
+def tail(left: DataFrame, gaps: DataFrame, capacity: int, least: int, opened: int) -> DataFrame:
+    """The table of a last round that places all of ``left``, by one task: for ``TAIL_ROWS`` rows at most."""
+    none = F.lit(None).cast("long")
+    both = gaps.select("seq", "gap", none.alias("pid"), none.alias("length")).unionByName(left.select(none.alias("seq"), none.alias("gap"), "pid", "length"))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        old, pieces = rows.filter(rows["pid"].is_null()).sort_by("seq"), rows.filter(rows["pid"].is_valid()).sort_by("pid")
+        at, offset, now = swept_out(pieces["length"].to_numpy(), old["gap"].to_numpy(), capacity, least)
+        names = np.append(old["seq"].to_numpy(), -np.arange(opened + 1, opened + 1 + len(now) - len(old)))
+        n, m = len(now), len(at)
+        out = pa.table({
+            "seq": np.append(names, names[at]), "gap": pa.array(np.append(now, np.zeros(m, np.int64)), mask=np.arange(n + m) >= n),
+            "pid": pa.concat_arrays([pa.nulls(n, pa.int64()), pieces["pid"].combine_chunks()]), "length": np.append(np.zeros(n, np.int64), pieces["length"].to_numpy()),
+            "offset": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(offset)]), "again": np.zeros(n + m, bool),
+        })
+        yield from out.to_batches(max_chunksize=1 << 16)
+
+    return keep(both.repartition(1).mapInArrow(finish, ROUND), "tail")
+
+
 def pack_band(left: DataFrame, gaps: DataFrame, counts: tuple[int, int, int], least: int, capacity: int, opened: int) -> tuple[list[DataFrame], int]:
     """The tables of the rounds that place all of ``left``, and the number of sequences opened, those before included.
 
@@ -245,6 +309,10 @@ def pack_band(left: DataFrame, gaps: DataFrame, counts: tuple[int, int, int], le
     n_gaps, room, widest = gaps.agg(F.count(F.lit(1)), F.coalesce(F.sum("gap"), F.lit(0)), F.coalesce(F.max("gap"), F.lit(0))).first()
     shortest = least
     while n_left:
+        if n_left + n_gaps <= TAIL_ROWS:
+            rounds.append(tail(left, gaps, capacity, least, opened))
+            lowest = rounds[-1].agg(F.min("seq")).first()[0]
+            return rounds, max(opened, -lowest)
         # No packing goes without the sequences that the tokens in excess of all gaps fill.
         fresh = -(-max(0, tokens - (room if widest >= shortest else 0)) // capacity)
         if fresh:

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 
 from linescan.llm import packing
 from tests.conftest import DATA
@@ -102,6 +103,44 @@ def test_spark_rounds_are_as_good_as_one_by_one(spark, seed):
     assert math.ceil(sum(lengths) / 1024) <= opened <= best_fit_rounds(dict(Counter(lengths)), 1024)[1] + 2
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_rounds_of_one_range(seed):
+    rng = np.random.default_rng(seed)
+    lengths, gaps = rng.integers(1, [513, 200, 40, 300, 2, 5][seed], 700), rng.integers(1, 1024, 90)
+    at, offset, now = packing.swept_out(lengths, gaps, 1024, 1)
+    start = np.append(1024 - gaps, np.zeros(len(now) - 90, np.int64))
+    check_places([Row(sequence_id=s, offset=0, length=n) for s, n in enumerate(start.tolist()) if n] + [Row(sequence_id=s, offset=o, length=n) for s, o, n in zip(at.tolist(), offset.tolist(), lengths.tolist())], 1024)
+    assert (start + np.bincount(at, lengths, len(now)).astype(int) == 1024 - now).all()
+    assert len(now) - 90 <= max(0, math.ceil((lengths.sum() - gaps.sum()) / 1024)) + 1
+
+
+@pytest.mark.parametrize("few", [0, 150])
+def test_a_band_ends_in_one_range(spark, monkeypatch, few):
+    """Rounds over many ranges, those that end in one range, and one range alone place as well."""
+    lengths = np.random.default_rng(3).integers(1, 700, 900).tolist()
+    df = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length int").repartition(7)
+    tables = Counter()
+    keep = packing.keep
+    monkeypatch.setattr(packing, "keep", lambda df, label: tables.update([label]) or keep(df, label))
+    opened = {}
+    for rows in (few, 10_000):
+        monkeypatch.setattr(packing, "TAIL_ROWS", rows)
+        tables.clear()
+        got = packing.best_fit_packing(df).collect()
+        assert sorted((r.doc_id, r.length) for r in got) == list(enumerate(lengths))
+        opened[rows] = check_places(got, 1024)
+        assert (tables["sweep"] > 0) == (rows == few) and (tables["tail"] > 0) == (rows > 0)
+    assert tables["tail"] == 5 and max(opened.values()) <= min(opened.values()) + 1  # one table for each band
+
+
+def test_few_tables_for_few_documents(spark, monkeypatch):
+    """A round of a few hundred pieces is no job of its own."""
+    tables, keep = [], packing.keep
+    monkeypatch.setattr(packing, "keep", lambda df, label: tables.append(label) or keep(df, label))
+    assert packing.op10_best_fit_packing(spark, DATA).count() > 300
+    assert len(tables) <= 11
+
+
 def test_sweeps_within_and_between_ranges(spark, monkeypatch):
     """However the ranges lie, each piece takes the smallest gap before it that is free."""
     rng = np.random.default_rng(7)
